@@ -34,6 +34,8 @@ def products(spark: SparkSession, sf_dir: str) -> DataFrame:
                     F.concat(F.lit("Leverandør: "), F.col("p_brand"))).alias("description"),
         F.col("p_brand").alias("brand"),
         F.col("p_type").alias("category"),
+        F.array(F.struct(T.slug(F.col("p_type")).alias("id"), T.capitalize(F.col("p_type")).alias("name"),
+                         T.slug(F.col("p_type")).alias("slug"))).alias("categories"),
         F.col("p_size").alias("size"),
         F.col("p_retailprice").alias("priceOriginal"),
         F.col("p_retailprice").alias("priceCurrent"),
