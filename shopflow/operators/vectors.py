@@ -39,7 +39,9 @@ def _scorer(k: int | None, threshold: float | None, exclude_self: bool):
         if q.empty or c.empty:
             return pd.DataFrame({"qid": [], "cid": [], "sim": []})
         qm, cm = _matrix(q["vec"]), _matrix(c["vec"])
-        sims = qm @ cm.T  # cosine; a zero vector scores 0 (F12)
+        # cosine; a zero vector scores 0 (F12). Rounded to 9 places so that equal vectors tie
+        # exactly whatever the summation order, and ties resolve by id.
+        sims = np.round(qm @ cm.T, 9)
         qids = q["id"].to_numpy()
         cids = c["id"].to_numpy()
         if exclude_self:
@@ -104,21 +106,25 @@ def centroids(df: DataFrame, group: str, vec: str, dims: int) -> DataFrame:
             .select(group, F.transform("s", lambda e: e["x"]).alias("vec")))
 
 
-def hashed_embedding(text: Column, dims: int = 64) -> Column:
+def with_hashed_embedding(df: DataFrame, text_col: str, out_col: str = "vec", dims: int = 64) -> DataFrame:
     """E12 offline encoder: signed hashed bag of lower-cased letter/digit tokens, L2-normalised.
 
     A token's bucket and sign come from its md5 (bucket = last two hex digits mod
     ``dims``, sign from the first hex digit's parity); empty text gives the zero
-    vector (D21). JVM-side expression, so it stays in whole-stage codegen.
+    vector (D21). Built in separate projections so every intermediate array is
+    computed once per row; all steps are built-in expressions (no Python).
     """
-    toks = F.filter(F.split(F.lower(F.coalesce(text, F.lit(""))), r"[^\p{L}\p{N}]+"), lambda t: F.length(t) > 0)
-    hashed = F.transform(toks, lambda t: F.struct(
+    toks = F.filter(F.split(F.lower(F.coalesce(F.col(text_col), F.lit(""))), r"[^\p{L}\p{N}]+"),
+                    lambda t: F.length(t) > 0)
+    steps = df.withColumn("_h", F.transform(toks, lambda t: F.struct(
         F.pmod(F.conv(F.substring(F.md5(t), 31, 2), 16, 10).cast("int"), F.lit(dims)).alias("b"),
-        F.when(F.conv(F.substring(F.md5(t), 1, 1), 16, 10).cast("int") % 2 == 0, 1.0).otherwise(-1.0).alias("s")))
-    counts = F.transform(F.sequence(F.lit(0), F.lit(dims - 1)), lambda i: F.aggregate(
-        hashed, F.lit(0.0), lambda acc, h: acc + F.when(h["b"] == i, h["s"]).otherwise(0.0)))
-    norm = F.sqrt(F.aggregate(counts, F.lit(0.0), lambda acc, x: acc + x * x))
-    return F.transform(counts, lambda x: F.when(norm > 0, x / norm).otherwise(0.0).cast("float"))
+        F.when(F.conv(F.substring(F.md5(t), 1, 1), 16, 10).cast("int") % 2 == 0, 1.0).otherwise(-1.0).alias("s"))))
+    steps = steps.withColumn("_c", F.aggregate(
+        "_h", F.array_repeat(F.lit(0.0), dims),
+        lambda acc, h: F.transform(acc, lambda x, i: x + F.when(i == h["b"], h["s"]).otherwise(0.0))))
+    steps = steps.withColumn("_n", F.sqrt(F.aggregate("_c", F.lit(0.0), lambda acc, x: acc + x * x)))
+    return steps.withColumn(out_col, F.transform(
+        "_c", lambda x: F.when(F.col("_n") > 0, x / F.col("_n")).otherwise(0.0).cast("float"))).drop("_h", "_c", "_n")
 
 
 def embed_with(encoder, dims: int):

@@ -21,7 +21,7 @@ def _emb(spark, sf_dir):
 
 @register("knn_items", f"""
 WITH {_E},
-s AS (SELECT a.vec_id AS qid, b.vec_id AS cid, list_cosine_similarity(a.v, b.v) AS sim FROM e a JOIN e b ON a.vec_id <> b.vec_id),
+s AS (SELECT a.vec_id AS qid, b.vec_id AS cid, ROUND(list_cosine_similarity(a.v, b.v), 9) AS sim FROM e a JOIN e b ON a.vec_id <> b.vec_id),
 r AS (SELECT *, ROW_NUMBER() OVER (PARTITION BY qid ORDER BY sim DESC, cid) AS rk FROM s)
 SELECT qid AS vec_id, CAST(rk AS INTEGER) AS rank, cid AS neighbor_id, ROUND(sim, 6) AS sim FROM r WHERE rk <= 5""")
 def knn_items(spark, sf_dir):
@@ -37,7 +37,7 @@ def _centroids(spark, sf_dir):
 
 @register("knn_centroids", f"""
 WITH {_E}, {_CEN},
-s AS (SELECT c.label, e.vec_id, list_cosine_similarity(c.v, e.v) AS sim FROM cen c, e),
+s AS (SELECT c.label, e.vec_id, ROUND(list_cosine_similarity(c.v, e.v), 9) AS sim FROM cen c, e),
 r AS (SELECT *, ROW_NUMBER() OVER (PARTITION BY label ORDER BY sim DESC, vec_id) AS rk FROM s)
 SELECT label, CAST(rk AS INTEGER) AS rank, vec_id, ROUND(sim, 6) AS sim FROM r WHERE rk <= 10""")
 def knn_centroids(spark, sf_dir):
@@ -49,8 +49,8 @@ def knn_centroids(spark, sf_dir):
 
 @register("knn_threshold", f"""
 WITH {_E}, {_CEN}
-SELECT c.label, e.vec_id, ROUND(list_cosine_similarity(c.v, e.v), 6) AS sim FROM cen c, e
-WHERE list_cosine_similarity(c.v, e.v) > 0.5""")
+SELECT c.label, e.vec_id, ROUND(ROUND(list_cosine_similarity(c.v, e.v), 9), 6) AS sim FROM cen c, e
+WHERE ROUND(list_cosine_similarity(c.v, e.v), 9) > 0.5""")
 def knn_threshold(spark, sf_dir):
     r = V.knn(_centroids(spark, sf_dir), _emb(spark, sf_dir), k=None, threshold=0.5, q_id="label", q_vec="vec",
               c_id="vec_id", c_vec="embedding")
@@ -60,7 +60,7 @@ def knn_threshold(spark, sf_dir):
 
 @register("knn_label_purity", f"""
 WITH {_E},
-s AS (SELECT a.vec_id AS qid, a.label AS ql, b.vec_id AS cid, b.label AS cl, list_cosine_similarity(a.v, b.v) AS sim
+s AS (SELECT a.vec_id AS qid, a.label AS ql, b.vec_id AS cid, b.label AS cl, ROUND(list_cosine_similarity(a.v, b.v), 9) AS sim
       FROM e a JOIN e b ON a.vec_id <> b.vec_id),
 r AS (SELECT *, ROW_NUMBER() OVER (PARTITION BY qid ORDER BY sim DESC, cid) AS rk FROM s)
 SELECT ql AS label, COUNT(*) AS neighbours, ROUND(AVG(CASE WHEN ql = cl THEN 1.0 ELSE 0.0 END), 6) AS purity
