@@ -167,3 +167,36 @@ SELECT user_id, MIN(ts) AS session_start, MAX(ts) + INTERVAL 30 MINUTE AS sessio
 FROM s GROUP BY user_id, sid""")
 def sessions_feedback(spark, sf_dir):
     return M.feedback_sessions(TB.request_log(spark, sf_dir), "30 minutes")
+
+
+def _stream_log(spark, sf_dir):
+    from shopflow.streaming import jobs as J
+    return J.read_log_stream(spark, sf_dir, glob="events.parquet")
+
+
+@register("windowed_stats_stream", f"""
+WITH {LOG}, mx AS (SELECT MAX(ts) - INTERVAL 10 MINUTE AS wm FROM log)
+SELECT time_bucket(INTERVAL 1 HOUR, ts) AS window_start, time_bucket(INTERVAL 1 HOUR, ts) + INTERVAL 1 HOUR AS window_end,
+       endpoint, COUNT(*) AS count, ROUND(AVG(duration_ms), 6) AS avg_duration_ms, MAX(duration_ms) AS max_duration_ms,
+       ROUND(AVG(CASE WHEN status_code BETWEEN 200 AND 299 THEN 1.0 ELSE 0.0 END), 6) AS success_rate
+FROM log GROUP BY 1, 2, endpoint HAVING time_bucket(INTERVAL 1 HOUR, ts) + INTERVAL 1 HOUR <= (SELECT wm FROM mx)""")
+def windowed_stats_stream(spark, sf_dir):
+    """N3/N4 as a Structured Streaming job (watermark 10 minutes, append mode, availableNow)."""
+    from shopflow.streaming import jobs as J
+    return J.run_to_table(J.windowed_stats(_stream_log(spark, sf_dir)), spark, "windowed-stats")
+
+
+@register("sessions_stream", f"""
+WITH {LOG},
+g AS (SELECT *, CASE WHEN LAG(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id) IS NULL
+                       OR ts - LAG(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id) >= INTERVAL 30 MINUTE
+                     THEN 1 ELSE 0 END AS brk FROM log),
+s AS (SELECT *, SUM(brk) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING) AS sid FROM g),
+ss AS (SELECT user_id, MIN(ts) AS session_start, MAX(ts) + INTERVAL 30 MINUTE AS session_end, COUNT(*) AS events,
+       COUNT(*) FILTER (WHERE endpoint = 'click') AS clicks, COUNT(*) FILTER (WHERE endpoint = 'purchase') AS purchases
+       FROM s GROUP BY user_id, sid)
+SELECT * FROM ss WHERE session_end <= (SELECT MAX(ts) - INTERVAL 10 MINUTE FROM log)""")
+def sessions_stream(spark, sf_dir):
+    """N5 as a Structured Streaming job (session windows, watermark 10 minutes)."""
+    from shopflow.streaming import jobs as J
+    return J.run_to_table(J.session_stats(_stream_log(spark, sf_dir)), spark, "sessions")
