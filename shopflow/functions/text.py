@@ -76,7 +76,7 @@ def py_quote_regex(s: str) -> str:
 
 
 def first_word(c: Column) -> Column:
-    return F.element_at(F.split(F.trim(c), r"\s+"), 1)
+    return F.try_element_at(F.split(F.trim(c), r"\s+"), F.lit(1))
 
 
 def tokens(c: Column) -> Column:

@@ -46,8 +46,8 @@ def filter_key(filters: Column) -> Column:
 def search_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(query_id, query, filters map<string,string>, filter_key, lim, off)."""
     ev = _events_with_product(spark, sf_dir)
-    w1 = F.element_at(F.split("p_name", " "), 1)
-    w2 = F.element_at(F.split("p_name", " "), 2)
+    w1 = F.try_element_at(F.split("p_name", " "), F.lit(1))
+    w2 = F.try_element_at(F.split("p_name", " "), F.lit(2))
     et = F.col("event_type")
     query = (F.when(et == "view", F.col("p_name")).when(et == "click", w2)
              .when(et == "purchase", w1).when(et == "signup", F.substring(w2, 1, 4))
@@ -72,7 +72,7 @@ def suggest_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(query_id, prefix, lim)."""
     ev = _events_with_product(spark, sf_dir)
     name = F.lower("p_name")
-    w2 = F.element_at(F.split(name, " "), 2)
+    w2 = F.try_element_at(F.split(name, " "), F.lit(2))
     et = F.col("event_type")
     prefix = (F.when(et == "view", F.substring(name, 1, 2)).when(et == "click", F.substring(name, 1, 3))
               .when(et == "purchase", F.substring(name, 1, 4)).when(et == "signup", F.substring(w2, 1, 5))
