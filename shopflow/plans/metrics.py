@@ -200,3 +200,47 @@ def sessions_stream(spark, sf_dir):
     """N5 as a Structured Streaming job (session windows, watermark 10 minutes)."""
     from shopflow.streaming import jobs as J
     return J.run_to_table(J.session_stats(_stream_log(spark, sf_dir)), spark, "sessions")
+
+
+@register("metrics_bundle", f"""
+WITH {LOG}, w AS (SELECT * FROM log WHERE ts >= (SELECT MAX(ts) FROM log) - INTERVAL 60 MINUTE),
+s AS (SELECT COUNT(*) AS count, COALESCE(MIN(duration_ms), 0.0) AS mn, COALESCE(MAX(duration_ms), 0.0) AS mx,
+             COALESCE(ROUND(AVG(duration_ms), 6), 0.0) AS av, COALESCE(ROUND(AVG(result_count), 6), 0.0) AS ar FROM w),
+p AS (SELECT COALESCE((SELECT p95_duration_ms FROM {_pick('w', '', 'p95_duration_ms', 0.95)}), 0.0) AS p95),
+e AS (SELECT endpoint, COUNT(*) AS count, ROUND(AVG(duration_ms), 6) AS av, MAX(duration_ms) AS mx,
+             ROUND(AVG(CASE WHEN status_code BETWEEN 200 AND 299 THEN 1.0 ELSE 0.0 END), 6) AS sr FROM log GROUP BY endpoint),
+pq AS (SELECT query, COUNT(*) AS count, MIN(ts) AS fs FROM log WHERE query IS NOT NULL GROUP BY query
+       ORDER BY count DESC, fs, query LIMIT 10),
+rn AS (SELECT COALESCE(ROUND(AVG(duration_ms), 6), 0.0) AS av FROM (SELECT * FROM log ORDER BY ts DESC, event_id DESC LIMIT 100))
+SELECT 'search_performance' AS section, 'count' AS metric, CAST(count AS DOUBLE) AS value FROM s
+UNION ALL SELECT 'search_performance', 'min_duration_ms', mn FROM s
+UNION ALL SELECT 'search_performance', 'max_duration_ms', mx FROM s
+UNION ALL SELECT 'search_performance', 'avg_duration_ms', av FROM s
+UNION ALL SELECT 'search_performance', 'p95_duration_ms', p95 FROM p
+UNION ALL SELECT 'search_performance', 'avg_results', ar FROM s
+UNION ALL SELECT 'endpoint_performance', endpoint || '.count', CAST(count AS DOUBLE) FROM e
+UNION ALL SELECT 'endpoint_performance', endpoint || '.avg_duration_ms', av FROM e
+UNION ALL SELECT 'endpoint_performance', endpoint || '.max_duration_ms', mx FROM e
+UNION ALL SELECT 'endpoint_performance', endpoint || '.success_rate', sr FROM e
+UNION ALL SELECT 'popular_queries', query, CAST(count AS DOUBLE) FROM pq
+UNION ALL SELECT 'search_metrics', 'avg_processing_time', av FROM rn""")
+def metrics_bundle(spark, sf_dir):
+    """One long table (section, metric, value) for a 60-minute window: search stats, endpoint
+    stats, the ten most popular queries and the mean of the last 100 requests."""
+    log = TB.request_log(spark, sf_dir)
+    s = M.duration_stats(M.in_window(log, 60))
+    search = s.select(F.lit("search_performance").alias("section"), F.explode(F.array(*[
+        F.struct(F.lit(c).alias("metric"), F.col(c).cast("double").alias("value"))
+        for c in ["count", "min_duration_ms", "max_duration_ms", "avg_duration_ms", "p95_duration_ms", "avg_results"]
+    ])).alias("m")).select("section", "m.metric", "m.value")
+    e = M.endpoint_stats(log)
+    ep = e.select(F.lit("endpoint_performance").alias("section"), F.explode(F.array(*[
+        F.struct(F.concat(F.col("endpoint"), F.lit("." + c)).alias("metric"), F.col(c).cast("double").alias("value"))
+        for c in ["count", "avg_duration_ms", "max_duration_ms", "success_rate"]])).alias("m")).select(
+        "section", "m.metric", "m.value")
+    pq = M.popular_queries(log, 10).select(F.lit("popular_queries").alias("section"), F.col("query").alias("metric"),
+                                           F.col("count").cast("double").alias("value"))
+    rn = M.recent_mean(log, 100).select(F.lit("search_metrics").alias("section"),
+                                        F.lit("avg_processing_time").alias("metric"),
+                                        F.col("avg_processing_ms").alias("value"))
+    return search.unionByName(ep).unionByName(pq).unionByName(rn)

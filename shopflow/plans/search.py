@@ -193,3 +193,88 @@ def query_hit_rate(spark, sf_dir):
     pct = lambda c: F.round(100.0 * F.avg(F.when(F.col(c) > 0, 1.0).otherwise(0.0)), 6)
     return s.agg(F.count(F.lit(1)).alias("n_queries"), pct("n_categories").alias("pct_with_categories"),
                  pct("n_brands").alias("pct_with_brands"), pct("n_products").alias("pct_with_products"))
+
+
+@register("query_explain", f"""
+WITH {PROD}, {REQ}
+SELECT query_id, query AS query_text, regexp_split_to_array(trim(query), '\\s+') AS query_tokens,
+       len(regexp_split_to_array(trim(query), '\\s+')) AS n_tokens, 64 AS embedding_dimensions,
+       filter_key AS filters_applied,
+       CASE WHEN contains(query, ' ') THEN 'keyword+vector' ELSE 'keyword' END AS search_strategy FROM req""")
+def query_explain(spark, sf_dir):
+    """How each request is interpreted (tokens, filters, whether the vector clause applies)."""
+    r = RQ.search_requests(spark, sf_dir)
+    toks = F.split(F.trim("query"), r"\s+")
+    return r.select("query_id", F.col("query").alias("query_text"), toks.alias("query_tokens"),
+                    F.size(toks).alias("n_tokens"), F.lit(64).alias("embedding_dimensions"),
+                    F.col("filter_key").alias("filters_applied"),
+                    F.when(F.col("query").contains(" "), "keyword+vector").otherwise("keyword").alias("search_strategy"))
+
+
+_RECALL = f"""{PROD},
+tw AS (SELECT DISTINCT lower(split_part(p_name, ' ', 2)) AS target FROM part WHERE split_part(p_name, ' ', 2) <> ''),
+pq AS (SELECT target, substr(target, 1, L) AS prefix FROM tw, range(3, 64) r(L) WHERE L <= length(target)),
+tset AS (SELECT t.target, p.id FROM tw t JOIN prod p ON contains(lower(p.title), t.target)),
+hits AS (SELECT q.target, q.prefix, p.id, ROW_NUMBER() OVER (PARTITION BY q.target, q.prefix ORDER BY p.id) AS r
+         FROM pq q JOIN prod p ON contains(lower(p.title), q.prefix) OR contains(lower(p.description), q.prefix)
+                                  OR contains(lower(p.brand), q.prefix))"""
+
+
+@register("prefix_recall", f"""
+WITH {_RECALL}
+SELECT q.target, q.prefix, CAST(COUNT(h.id) AS BIGINT) AS n_results, CAST(COUNT(t.id) AS BIGINT) AS hits,
+       COUNT(t.id) > 0 AS success
+FROM pq q LEFT JOIN hits h ON h.target = q.target AND h.prefix = q.prefix AND h.r <= 20
+LEFT JOIN tset t ON t.target = h.target AND t.id = h.id GROUP BY q.target, q.prefix""")
+def prefix_recall(spark, sf_dir):
+    """For every product-noun target, each prefix of 3+ characters runs the substring search
+    (first 20 by id); hits = results inside the target set (titles containing the full word)."""
+    from shopflow.operators import textmatch as TM
+    from shopflow.operators.topk import top_k
+    products = TB.products(spark, sf_dir)
+    targets = (TB.read(spark, sf_dir, "part")
+               .select(F.lower(F.try_element_at(F.split("p_name", " "), F.lit(2))).alias("target"))
+               .where(F.length("target") > 0).distinct())
+    pq = targets.select("target", F.explode(F.transform(F.sequence(F.lit(3), F.greatest(F.length("target"), F.lit(3))),
+                                                        lambda i: F.substring("target", 1, i))).alias("prefix")) \
+        .where(F.length("prefix") >= 3).distinct()
+    text = products.select("id", F.concat_ws(S.SEP, "title", "description", "brand").alias("text"))
+    res = top_k(TM.substring_matches(pq.select(F.col("prefix").alias("q")), text), ["q"], [F.asc("id")], 20)
+    tset = TM.substring_matches(targets.select(F.col("target").alias("q")), products.select("id", F.col("title").alias("text")))
+    j = (pq.join(res.withColumnRenamed("q", "prefix"), "prefix", "left")
+         .join(tset.withColumnRenamed("q", "target").withColumn("_t", F.lit(1)), ["target", "id"], "left"))
+    return j.groupBy("target", "prefix").agg(F.count("id").alias("n_results"), F.count("_t").alias("hits")) \
+        .withColumn("success", F.col("hits") > 0)
+
+
+_FEEDBACK = f"""{PROD}, {REQ}, {MATCHED},
+rk AS (SELECT qn, filter_key, id, ROW_NUMBER() OVER (PARTITION BY qn, filter_key ORDER BY id) AS r FROM m),
+page AS (SELECT r.query_id, r.query, rk.id, rk.r FROM req r JOIN rk ON lower(r.query) = rk.qn AND r.filter_key = rk.filter_key
+         WHERE rk.r > r.off AND rk.r <= r.off + r.lim),
+fb AS (SELECT e.event_id AS query_id, q.query, CAST(json_extract_string(e.props, '$.k') AS BIGINT) AS clicked,
+              (SELECT list(id ORDER BY r) FROM page WHERE page.query_id = e.event_id) AS shown
+       FROM events e JOIN req q ON q.query_id = e.event_id WHERE e.event_type = 'click')"""
+
+
+@register("feedback_ctr", f"""
+WITH {_FEEDBACK},
+pos AS (SELECT query, coalesce(list_position(shown, clicked), 0) AS position FROM fb)
+SELECT query, COUNT(*) AS impressions, COUNT(*) FILTER (WHERE position > 0) AS clicks_in_results,
+       ROUND(COUNT(*) FILTER (WHERE position > 0) * 1.0 / COUNT(*), 6) AS ctr,
+       ROUND(AVG(position) FILTER (WHERE position > 0), 6) AS mean_click_position FROM pos GROUP BY query""")
+def feedback_ctr(spark, sf_dir):
+    """Feedback rows (query, clicked id, shown ids) from click events and the page each request
+    was shown; click position via ``array_position`` and click-through rate per query."""
+    req = RQ.search_requests(spark, sf_dir)
+    page = S.search_page(req, TB.products(spark, sf_dir))
+    shown = page.groupBy("query_id").agg(
+        F.transform(F.array_sort(F.collect_list(F.struct("rank", "id"))), lambda e: e["id"]).alias("shown"))
+    clicks = (TB.read(spark, sf_dir, "events").where(F.col("event_type") == "click")
+              .select(F.col("event_id").alias("query_id"), F.get_json_object("props", "$.k").cast("bigint").alias("clicked")))
+    fb = clicks.join(req.select("query_id", "query"), "query_id").join(shown, "query_id", "left")
+    pos = fb.select("query", F.coalesce(F.array_position("shown", F.col("clicked")), F.lit(0)).alias("position"))
+    hit = F.col("position") > 0
+    return pos.groupBy("query").agg(
+        F.count(F.lit(1)).alias("impressions"), F.count_if(hit).alias("clicks_in_results"),
+        F.round(F.count_if(hit) / F.count(F.lit(1)), 6).alias("ctr"),
+        F.round(F.avg(F.when(hit, F.col("position"))), 6).alias("mean_click_position"))
