@@ -18,6 +18,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from shopflow.operators.topk import top_k
+from shopflow.session import checkpoint_dir
 
 OUT_SCHEMA = "qid long, cid long, sim double"
 
@@ -70,7 +71,16 @@ def knn(queries: DataFrame, corpus: DataFrame, k: int | None = 10, threshold: fl
         q_id: str = "id", q_vec: str = "vec", c_id: str = "id", c_vec: str = "vec",
         exclude_self: bool = False, block_rows: int = 2048) -> DataFrame:
     """(qid, cid, sim, rank): per query the ``k`` most similar corpus rows (ties by corpus id),
-    or with ``threshold`` every corpus row with similarity above it."""
+    or with ``threshold`` every corpus row with similarity above it.
+
+    Both inputs are first materialised with a reliable ``checkpoint()`` into the shared
+    checkpoint folder (the vector "index"): each side is read twice by the block join
+    (once per role) and derived vectors must not be recomputed per block.
+    """
+    checkpoint_dir(queries.sparkSession)
+    same = queries is corpus
+    queries = queries.select(q_id, q_vec).checkpoint()
+    corpus = queries if same and (q_id, q_vec) == (c_id, c_vec) else corpus.select(c_id, c_vec).checkpoint()
     nq, nc = queries.count(), corpus.count()
     qb, cb = _blocks(nq, block_rows), _blocks(nc, block_rows)
     # queries are replicated to every corpus block and corpus rows to every query block
