@@ -20,7 +20,8 @@ HEADLINE = [
     "basket_pairs", "fbt_topk", "copurchase_topk", "user_collaborative", "latest_basket",
     "search_stats_p95", "latency_percentiles", "health_score", "sessions_feedback",
     "substring_search_page", "facets_matched", "fuzzy_suggest", "consolidated_search",
-    "rule_violations", "field_coverage", "bm25_search", "knn_items", "product_hybrid",
+    "rule_violations", "field_coverage", "feed_transform", "bm25_search", "knn_items", "product_hybrid",
+    "hybrid_search", "windowed_stats_stream",
 ]
 
 

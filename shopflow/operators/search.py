@@ -256,3 +256,21 @@ def consolidated_summary(requests: DataFrame, products: DataFrame, min_len: int
                    *[F.coalesce(F.col(c), F.lit(0)).cast("bigint").alias(c)
                      for c in ["n_categories", "n_brands", "n_products"]]))
     return out.withColumn("total_results", F.col("n_categories") + F.col("n_brands") + F.col("n_products"))
+
+
+def ngram_search(requests: DataFrame, products: DataFrame, min_gram: int = 3, max_gram: int = 4) -> DataFrame:
+    """T5: partial-word match on title n-grams (lengths ``min_gram..max_gram`` over the lower-cased
+    text, token order irrelevant). Score = share of the query's distinct grams found in the title;
+    order score desc, id asc; first ``lim`` per request."""
+    def grams(c):
+        arrs = [TM._grams(F.lower(c), n) for n in range(min_gram, max_gram + 1)]
+        return F.array_distinct(F.flatten(F.array(*[F.coalesce(a, F.array().cast("array<string>")) for a in arrs])))
+    qs = requests.groupBy(F.lower("query").alias("qn")).agg(F.max("lim").alias("max_lim"))
+    qg = qs.select("qn", F.size(grams(F.col("qn"))).alias("nq"), F.explode(grams(F.col("qn"))).alias("gram"))
+    pg = products.select("id", F.explode(grams(F.col("title"))).alias("gram"))
+    hits = (qg.join(pg, "gram").groupBy("qn", "nq", "id").agg(F.count(F.lit(1)).alias("hit"))
+            .select("qn", "id", F.round(F.col("hit") / F.col("nq"), 6).alias("score")))
+    ranked = top_k(hits.join(qs, "qn"), ["qn"], [F.desc("score"), F.asc("id")], F.col("max_lim"))
+    req = requests.select("query_id", F.lower("query").alias("qn"), "lim")
+    return (req.join(ranked, "qn").where(F.col("rank") <= F.col("lim"))
+            .select("query_id", F.col("rank").cast("int").alias("rank"), "id", "score"))

@@ -278,3 +278,20 @@ def feedback_ctr(spark, sf_dir):
         F.count(F.lit(1)).alias("impressions"), F.count_if(hit).alias("clicks_in_results"),
         F.round(F.count_if(hit) / F.count(F.lit(1)), 6).alias("ctr"),
         F.round(F.avg(F.when(hit, F.col("position"))), 6).alias("mean_click_position"))
+
+
+def _grams_sql(t: str, lo: int = 3, hi: int = 4) -> str:
+    parts = [f"list_transform(range(1, length({t}) - {n} + 2), lambda i: substr({t}, i, {n}))" for n in range(lo, hi + 1)]
+    return f"list_distinct(flatten([{', '.join(parts)}]))"
+
+
+@register("ngram_search", f"""
+WITH {PROD}, {REQ},
+qs AS (SELECT DISTINCT lower(query) AS qn FROM req),
+qg AS (SELECT qn, len({_grams_sql('qn')}) AS nq, unnest({_grams_sql('qn')}) AS gram FROM qs),
+pg AS (SELECT id, unnest({_grams_sql('lower(title)')}) AS gram FROM prod),
+h AS (SELECT qn, id, ROUND(COUNT(*) / nq, 6) AS score FROM qg JOIN pg USING (gram) GROUP BY qn, nq, id),
+r AS (SELECT *, ROW_NUMBER() OVER (PARTITION BY qn ORDER BY score DESC, id) AS rk FROM h)
+SELECT q.query_id, CAST(r.rk AS INTEGER) AS rank, r.id, r.score FROM req q JOIN r ON r.qn = lower(q.query) WHERE r.rk <= q.lim""")
+def ngram_search(spark, sf_dir):
+    return S.ngram_search(RQ.search_requests(spark, sf_dir), TB.products(spark, sf_dir))
