@@ -32,10 +32,10 @@ def _num(c: str) -> Column:
     return F.col(c).cast("string")
 
 
-def rule_checks(df: DataFrame) -> list[Column]:
+def rule_checks(df: DataFrame, presence: bool = True, unexpected: bool = True) -> list[Column]:
     cols = set(df.columns)
     checks = []
-    for f in REQUIRED_FIELDS:
+    for f in REQUIRED_FIELDS if presence else []:
         if f not in cols:
             checks.append(_err(F.lit(True), "required_missing", f, F.lit(f"Required field '{f}' is missing")))
         else:
@@ -59,7 +59,7 @@ def rule_checks(df: DataFrame) -> list[Column]:
         if f in cols:
             checks.append(_err(F.col(f) > hi, "too_large", f,
                                F.concat(F.lit(f"Field '{f}' is too large ("), _num(f), F.lit(f", max {hi})"))))
-    for f in sorted(cols - set(REQUIRED_FIELDS) - set(OPTIONAL_FIELDS) - {"row_index"}):
+    for f in sorted(cols - set(REQUIRED_FIELDS) - set(OPTIONAL_FIELDS) - {"row_index"}) if unexpected else []:
         checks.append(_err(F.col(f).isNotNull(), "unexpected_field", f, F.lit(f"Unexpected field '{f}'")))
     if {"priceOriginal", "priceCurrent", "isOnSale"} <= cols:
         po, pc, s = F.col("priceOriginal"), F.col("priceCurrent"), F.col("isOnSale")
@@ -120,3 +120,70 @@ def duplicate_ids(df: DataFrame, show: int = 10) -> DataFrame:
          .where(F.col("occurrences") > 1))
     n = d.agg(F.count(F.lit(1)).alias("duplicate_count"))
     return d.orderBy("id").limit(show).crossJoin(n)
+
+
+# Q2 on raw JSON records. The accepted JSON value types of each field, named the way the
+# reference reports them (a boolean also passes an integer check).
+EXPECTED_TYPES = {
+    "id": ["str"], "title": ["str"], "description": ["str"], "brand": ["str"],
+    "priceOriginal": ["int", "float"], "priceCurrent": ["int", "float"], "isOnSale": ["bool"],
+    "productType": ["str"], "seasonRelevancyFactor": ["int", "float"], "stockLevel": ["int"],
+    "imageThumbnailUrl": ["str"], "ageFrom": ["int", "NoneType"], "ageTo": ["int", "NoneType"],
+    "ageBucket": ["str", "NoneType"], "color": ["str", "NoneType"], "seasons": ["list", "NoneType"],
+}
+SPARK_TYPES = {"str": "string", "int": "bigint", "float": "double", "bool": "boolean", "list": "array<string>"}
+
+
+def _json_type(v: Column) -> Column:
+    """Python type name of a variant value; null when the key is absent."""
+    t = F.schema_of_variant(v)
+    return (F.when(v.isNull(), F.lit(None).cast("string"))
+            .when(t == "STRING", "str").when(t.isin("BIGINT", "INT", "SMALLINT", "TINYINT"), "int")
+            .when(t.isin("DOUBLE", "FLOAT") | t.startswith("DECIMAL"), "float").when(t == "BOOLEAN", "bool")
+            .when(t.startswith("ARRAY"), "list").when(t.startswith("OBJECT"), "dict").when(t == "VOID", "NoneType")
+            .otherwise(F.lower(t)))
+
+
+def raw_violations(raw: DataFrame, text_col: str = "value") -> DataFrame:
+    """Q1/Q2/Q7/Q8 + constraints on raw JSON object text, one row per failure.
+
+    Presence, JSON value type and unexpected keys come from the parsed VARIANT;
+    the typed rules (lengths, ranges, pattern, sale flag, ages) then run on values
+    whose JSON type fits the rule, as the reference's type-guarded constraint checks do.
+    """
+    v = raw.select(F.parse_json(F.col(text_col)).alias("_v"),
+                   F.json_object_keys(F.col(text_col)).alias("_keys"))
+    cols, typed = [], []
+    for f, accepted in EXPECTED_TYPES.items():
+        val = F.try_variant_get("_v", f"$.{f}", "variant")
+        cols += [val.alias(f"_raw_{f}"), _json_type(val).alias(f"_t_{f}")]
+    v = v.select("_v", "_keys", *cols)
+    checks = []
+    for f, accepted in EXPECTED_TYPES.items():
+        t = F.col(f"_t_{f}")
+        names = " or ".join(accepted)
+        ok = t.isin(*accepted) | ((t == "bool") & F.lit("int" in accepted))
+        msg = F.concat(F.lit(f"Field '{f}' has type "), t, F.lit(f", expected {names}"))
+        if f in REQUIRED_FIELDS:
+            checks.append(_err(t.isNull(), "required_missing", f, F.lit(f"Required field '{f}' is missing")))
+            checks.append(_err(t.isNotNull() & ~ok, "type", f, msg))
+        else:
+            checks.append(_err(t.isNotNull() & (t != "NoneType") & ~ok, "type", f, msg))
+        # typed value only when the JSON type fits the constraint class (str rules / numeric rules)
+        sp = SPARK_TYPES[[a for a in accepted if a != "NoneType"][0]]
+        fits = t.isin("str") if sp == "string" else (t.isin("int", "float", "bool") if sp in ("bigint", "double")
+                                                     else t == accepted[0])
+        typed.append(F.when(fits, F.try_variant_get(F.col(f"_raw_{f}"), "$", sp)).alias(f))
+    known = list(EXPECTED_TYPES)
+    checks.append(F.transform(F.filter("_keys", lambda k: ~k.isin(*known)),
+                              lambda k: F.struct(F.lit("unexpected_field").alias("rule_id"), k.alias("field"),
+                                                 F.concat(F.lit("Unexpected field '"), k, F.lit("'")).alias("message"))))
+    base = v.select(F.try_variant_get("_v", "$.id", "string").alias("_id"),
+                    F.array_compact(F.array(*checks[:-1])).alias("_e1"), checks[-1].alias("_e2"), *typed)
+    typed_df = base.select("_id", "_e1", "_e2", *known)
+    # presence and unexpected keys were judged on the raw record above
+    keep = rule_checks(typed_df.select(*known), presence=False, unexpected=False)
+    out = typed_df.select(F.col("_id").alias("id"), F.concat(
+        F.col("_e1"), F.coalesce(F.col("_e2"), F.array().cast(f"array<{ERROR_STRUCT}>")),
+        F.array_compact(F.array(*keep)).cast(f"array<{ERROR_STRUCT}>")).alias("errors"))
+    return out.select("id", F.explode("errors").alias("e")).select("id", "e.rule_id", "e.field", "e.message")

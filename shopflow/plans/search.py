@@ -295,3 +295,33 @@ r AS (SELECT *, ROW_NUMBER() OVER (PARTITION BY qn ORDER BY score DESC, id) AS r
 SELECT q.query_id, CAST(r.rk AS INTEGER) AS rank, r.id, r.score FROM req q JOIN r ON r.qn = lower(q.query) WHERE r.rk <= q.lim""")
 def ngram_search(spark, sf_dir):
     return S.ngram_search(RQ.search_requests(spark, sf_dir), TB.products(spark, sf_dir))
+
+
+@register("result_analysis", f"""
+WITH {PROD}, {REQ}, {MATCHED},
+ev AS (SELECT event_id AS query_id, event_type AS suite FROM events),
+per AS (SELECT r.query_id, ev.suite, coalesce(t.total, 0) AS total FROM req r JOIN ev USING (query_id)
+        LEFT JOIN tot t ON t.qn = lower(r.query) AND t.filter_key = r.filter_key)
+SELECT suite, COUNT(*) AS queries, COUNT(*) FILTER (WHERE total > 0) AS successful,
+       COUNT(*) FILTER (WHERE total = 0) AS failed, ROUND(AVG(total), 6) AS avg_results FROM per GROUP BY suite""")
+def result_analysis(spark, sf_dir):
+    """Per request suite (event type) how many requests found products, and the mean total."""
+    tot = S.search_totals(RQ.search_requests(spark, sf_dir), TB.products(spark, sf_dir))
+    ev = TB.read(spark, sf_dir, "events").select(F.col("event_id").alias("query_id"), F.col("event_type").alias("suite"))
+    return tot.join(ev, "query_id").groupBy("suite").agg(
+        F.count(F.lit(1)).alias("queries"), F.count_if(F.col("total") > 0).alias("successful"),
+        F.count_if(F.col("total") == 0).alias("failed"), F.round(F.avg("total"), 6).alias("avg_results"))
+
+
+@register("result_top3", f"""
+WITH {PROD}, {REQ}, {MATCHED},
+rk AS (SELECT qn, filter_key, id, ROW_NUMBER() OVER (PARTITION BY qn, filter_key ORDER BY id) AS r FROM m)
+SELECT qn AS query, filter_key, CAST(r AS INTEGER) AS position, rk.id, p.title
+FROM rk JOIN prod p ON p.id = rk.id WHERE r <= 3""")
+def result_top3(spark, sf_dir):
+    """The first three products (1-based position) of every distinct search key."""
+    from shopflow.operators.topk import top_k
+    m = S.matched_set(RQ.search_requests(spark, sf_dir), TB.products(spark, sf_dir))
+    r = top_k(m, ["qn", "filter_key"], [F.asc("id")], 3, "position")
+    return r.join(TB.products(spark, sf_dir).select("id", "title"), "id").select(
+        F.col("qn").alias("query"), "filter_key", F.col("position").cast("int").alias("position"), "id", "title")

@@ -158,3 +158,21 @@ def brand_dimension(spark, sf_dir):
     p = TB.products(spark, sf_dir).where(F.col("brand").isNotNull())
     return p.groupBy("brand").agg(F.count(F.lit(1)).alias("product_count")).select(
         F.concat(F.lit("brand_"), T.slug(F.col("brand"))).alias("id"), F.col("brand").alias("name"), "product_count")
+
+
+@register("batch_import", """
+WITH cur AS (SELECT DISTINCT l_partkey AS id FROM lineitem), b AS (SELECT DISTINCT p_partkey AS id FROM part),
+pc AS (SELECT COUNT(*) AS processed, COUNT(*) FILTER (WHERE cur.id IS NULL) AS inserted,
+              COUNT(*) FILTER (WHERE cur.id IS NOT NULL) AS updated FROM b LEFT JOIN cur USING (id))
+SELECT 'products' AS table_name, processed, inserted, updated FROM pc
+UNION ALL SELECT 'orderlines', COUNT(*), COUNT(*), 0 FROM lineitem l JOIN orders o ON o.o_orderkey = l.l_orderkey""")
+def batch_import(spark, sf_dir):
+    """One job imports the product feed (upsert) and the order lines (append, products not
+    checked); one summary row per table."""
+    cur = TB.read(spark, sf_dir, "lineitem").select(F.col("l_partkey").alias("id"))
+    prod = ST.upsert_counts(cur, TB.read(spark, sf_dir, "part").select(F.col("p_partkey").alias("id"))) \
+        .select(F.lit("products").alias("table_name"), "processed", "inserted", "updated")
+    lines = TB.order_lines(spark, sf_dir).agg(F.count(F.lit(1)).alias("processed")).select(
+        F.lit("orderlines").alias("table_name"), "processed", F.col("processed").alias("inserted"),
+        F.lit(0).cast("bigint").alias("updated"))
+    return prod.unionByName(lines)

@@ -46,3 +46,29 @@ def test_coverage_and_duplicates(spark):
     assert cov["id"] == (3, 100.0) and cov["ageFrom"] == (1, 33.33) and cov["color"] == (0, 0.0)
     d = Q.duplicate_ids(df).collect()
     assert [(r.id, r.occurrences, r.duplicate_count) for r in d] == [("a", 2, 1)]
+
+
+def test_raw_type_rules(spark):
+    import json
+    good = {"id": "p1", "title": "Good title", "description": "Long enough", "brand": "B", "priceOriginal": 10,
+            "priceCurrent": 10.0, "isOnSale": False, "productType": "main", "seasonRelevancyFactor": 0.5, "stockLevel": 1}
+    rows = [dict(good, id="ok"),
+            dict(good, id="t1", priceCurrent="abc"),
+            dict(good, id="t2", stockLevel=True),          # bool passes an int check
+            dict(good, id="t3", isOnSale=1),
+            dict(good, id="t4", extra=1),
+            dict(good, id="t5", seasons="winter"),
+            dict(good, id="t6", ageFrom=None),             # optional null: fine
+            {k: v for k, v in dict(good, id="t7").items() if k != "brand"},
+            dict(good, id="t8", title="x")]
+    df = spark.createDataFrame([(json.dumps(r),) for r in rows], "value string")
+    got = {}
+    for r in Q.raw_violations(df).collect():
+        got.setdefault(r.id, set()).add((r.rule_id, r.field, r.message))
+    assert "ok" not in got and "t2" not in got and "t6" not in got
+    assert ("type", "priceCurrent", "Field 'priceCurrent' has type str, expected int or float") in got["t1"]
+    assert ("type", "isOnSale", "Field 'isOnSale' has type int, expected bool") in got["t3"]
+    assert ("unexpected_field", "extra", "Unexpected field 'extra'") in got["t4"]
+    assert ("type", "seasons", "Field 'seasons' has type str, expected list or NoneType") in got["t5"]
+    assert ("required_missing", "brand", "Required field 'brand' is missing") in got["t7"]
+    assert any(r[0] == "too_short" and r[1] == "title" for r in got["t8"])
