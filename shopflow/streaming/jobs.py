@@ -149,3 +149,35 @@ def ingest_order_lines(spark: SparkSession, source: DataFrame, base: str | None
          .trigger(availableNow=True).start())
     q.awaitTermination()
     return upd, base
+
+
+class CatalogueUpserter:
+    """Product upserts arrive as a stream; each micro-batch is applied exactly once.
+
+    Within a batch the last record per key wins (``order`` columns); the merge with the
+    latest snapshot is written as version ``batch_id`` and committed, so a redelivered
+    batch finds its version already committed and changes nothing.
+    """
+
+    def __init__(self, spark: SparkSession, root: str, key: str = "id", order: tuple[str, ...] = ("seq",)):
+        self.spark, self.root, self.key, self.order = spark, root, key, list(order)
+
+    def __call__(self, batch: DataFrame, batch_id: int) -> None:
+        from shopflow.sources import store as ST
+        done = ST.latest_version(self.spark, self.root)
+        if done is not None and done >= batch_id:
+            return
+        last = ST.last_wins(batch, self.key, self.order)
+        cur = (ST.read_latest(self.spark, self.root) if done is not None
+               else self.spark.createDataFrame([], last.schema))
+        ST.write_version(ST.upsert(cur.select(*last.columns), last).drop("_action"), self.root, batch_id)
+
+
+def upsert_products_stream(spark: SparkSession, source: DataFrame, root: str | None = None,
+                           key: str = "id", order: tuple[str, ...] = ("seq",)) -> str:
+    """Run a product-upsert stream with ``availableNow`` into versioned snapshots under ``root``."""
+    root = root or job_dir(spark, "catalogue")
+    q = (source.writeStream.foreachBatch(CatalogueUpserter(spark, root, key, order))
+         .option("checkpointLocation", f"{root}/_checkpoint").trigger(availableNow=True).start())
+    q.awaitTermination()
+    return root

@@ -65,3 +65,15 @@ def test_pair_stream_replay_equals_batch(spark):
     before = upd.current_pairs().count()
     upd(spark.createDataFrame([(1, 2)], "orderNr bigint, productNr bigint"), 0)
     assert upd.current_pairs().count() == before
+
+
+def test_product_upsert_stream(spark):
+    from shopflow.sources import store as ST
+    d = tempfile.mkdtemp(prefix="ups-", dir="/tmp")
+    schema = "id string, price double, seq int"
+    spark.createDataFrame([("a", 1.0, 1), ("b", 2.0, 1), ("b", 2.5, 2)], schema).coalesce(1).write.parquet(d + "/f1")
+    spark.createDataFrame([("b", 3.0, 1), ("c", 4.0, 1)], schema).coalesce(1).write.parquet(d + "/f2")
+    src = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(d + "/*")
+    root = J.upsert_products_stream(spark, src)
+    got = {r.id: r.price for r in ST.read_latest(spark, root).collect()}
+    assert got == {"a": 1.0, "b": 3.0, "c": 4.0}
