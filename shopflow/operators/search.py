@@ -76,9 +76,9 @@ def _product_text(products: DataFrame, fields: list[str]) -> DataFrame:
 
 
 def matched_set(requests: DataFrame, products: DataFrame,
-                fields: tuple[str, ...] = ("title", "description", "brand")) -> DataFrame:
+                fields: tuple[str, ...] = ("title", "description", "brand"), keys: DataFrame | None = None) -> DataFrame:
     """T7 match: (qn, filter_key, id) for substring hits that pass the request's filters."""
-    keys = search_keys(requests)
+    keys = keys if keys is not None else search_keys(requests)
     hits = TM.substring_matches(keys.select(F.col("qn").alias("q")), _product_text(products, list(fields)))
     pred = filter_predicate(products.columns, F.col("filters"))
     return (hits.join(keys, hits.q == keys.qn).drop("q")
@@ -88,8 +88,9 @@ def matched_set(requests: DataFrame, products: DataFrame,
 
 def search_page(requests: DataFrame, products: DataFrame) -> DataFrame:
     """T7 + W2 + D4: per request the page ``off+1..off+lim`` (id order) and the pre-pagination total."""
-    keys = search_keys(requests).select("qn", "filter_key", "max_end")
-    m = matched_set(requests, products)
+    all_keys = search_keys(requests)
+    keys = all_keys.select("qn", "filter_key", "max_end")
+    m = matched_set(requests, products, keys=all_keys)
     totals = m.groupBy("qn", "filter_key").agg(F.count(F.lit(1)).alias("total"))
     ranked = top_k(m.join(keys, ["qn", "filter_key"]), ["qn", "filter_key"], [F.asc("id")], F.col("max_end"))
     req = requests.select("query_id", F.lower("query").alias("qn"), "filter_key", "off", "lim")
