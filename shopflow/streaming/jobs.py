@@ -81,18 +81,23 @@ def run_to_table(stream: DataFrame, spark: SparkSession, name: str, mode: str =
 class PairTableUpdater:
     """Order lines arrive; the pair table follows them exactly once.
 
-    Each micro-batch (deduplicated within the watermark) recomputes the pair rows
-    of the orders it touches from *all* of their lines (old + new), subtracts the
-    rows those orders contributed before, and merges the difference into a new
-    pair-table snapshot. Snapshots are written under ``v<batch_id>`` and marked
-    committed; a re-delivered batch id finds its commit and is skipped, so a
-    retried batch never double-counts.
+    Each micro-batch (deduplicated within the watermark) recomputes the pair rows of
+    the orders it touches from *all* of their lines (old + new) and subtracts the rows
+    those orders contributed before. Only that difference is written, as an append-only
+    delta folder for the batch, followed by a commit row; a redelivered batch id finds
+    its commit and is skipped. The table is the base snapshot plus the committed deltas
+    summed per pair; every ``compact_every`` batches the deltas are folded into a new
+    base, so a batch costs O(touched orders) and reads stay bounded.
     """
 
-    def __init__(self, spark: SparkSession, base: str, block_size: int = PR.DEFAULT_BLOCK):
-        self.spark, self.base, self.block_size = spark, base, block_size
+    SCHEMA = "product1 bigint, product2 bigint, cnt bigint"
+
+    def __init__(self, spark: SparkSession, base: str, block_size: int = PR.DEFAULT_BLOCK,
+                 compact_every: int = 20):
+        self.spark, self.base, self.block_size, self.compact_every = spark, base, block_size, compact_every
         self.lines_path = f"{base}/lines"
-        self.pairs_root = f"{base}/pairs"
+        self.delta_path = f"{base}/pair_deltas"
+        self.base_path = f"{base}/pair_base"
         self.commits_path = f"{base}/commits"
 
     def _read(self, path: str, schema: str) -> DataFrame:
@@ -101,23 +106,35 @@ class PairTableUpdater:
         except AnalysisException:  # nothing written yet
             return self.spark.createDataFrame([], schema)
 
-    def _committed(self) -> list[int]:
+    def _commits(self) -> DataFrame:
         # one small row per finished batch; read through Spark so any shared filesystem works
-        return sorted(r.batch_id for r in self._read(self.commits_path, "batch_id bigint").collect())
+        return self._read(self.commits_path, "batch_id bigint, base_version bigint")
+
+    def _committed(self) -> list[int]:
+        return sorted({r.batch_id for r in self._commits().select("batch_id").collect()})
 
     def current_pairs(self) -> DataFrame:
-        done = self._committed()
-        if not done:
-            return self.spark.createDataFrame([], "product1 bigint, product2 bigint, cnt bigint")
-        return self.spark.read.parquet(f"{self.pairs_root}/v{done[-1]}")
+        """Base snapshot + committed deltas after it, summed per pair (positive counts only)."""
+        info = self._commits().agg(F.max("batch_id").alias("b"), F.max("base_version").alias("v")).first()
+        if info.b is None:
+            return self.spark.createDataFrame([], self.SCHEMA)
+        v = info.v if info.v is not None and info.v >= 0 else -1
+        base = (self._read(f"{self.base_path}/v{v}", self.SCHEMA) if v >= 0
+                else self.spark.createDataFrame([], self.SCHEMA))
+        done = [b for b in self._committed() if b > v]
+        deltas = (self._read(self.delta_path, "product1 bigint, product2 bigint, d bigint, batch_id bigint")
+                  .where(F.col("batch_id").isin(done)).select("product1", "product2", F.col("d").alias("cnt")))
+        return (base.unionByName(deltas).groupBy("product1", "product2")
+                .agg(F.sum("cnt").cast("bigint").alias("cnt")).where(F.col("cnt") > 0))
 
     def current_lines(self) -> DataFrame:
         return self._read(self.lines_path, "orderNr bigint, productNr bigint, batch_id bigint")
 
     def __call__(self, batch: DataFrame, batch_id: int) -> None:
-        if batch_id in self._committed():
+        committed = self._committed()
+        if batch_id in committed:
             return  # already applied
-        lines = self.current_lines().where(F.col("batch_id") < batch_id).select("orderNr", "productNr")
+        lines = self.current_lines().where(F.col("batch_id").isin(committed)).select("orderNr", "productNr")
         new = batch.select("orderNr", "productNr")
         touched = new.select("orderNr").distinct()
         before = lines.join(touched, "orderNr", "left_semi")
@@ -125,15 +142,22 @@ class PairTableUpdater:
         old_rows = PR.basket_pair_rows(before, block_size=self.block_size).select("p1", "p2", F.lit(-1).alias("d"))
         new_rows = PR.basket_pair_rows(after, block_size=self.block_size).select("p1", "p2", F.lit(1).alias("d"))
         delta = (old_rows.unionByName(new_rows).groupBy(F.col("p1").alias("product1"), F.col("p2").alias("product2"))
-                 .agg(F.sum("d").alias("d")))
-        merged = (self.current_pairs().join(delta, ["product1", "product2"], "full_outer")
-                  .select("product1", "product2",
-                          (F.coalesce(F.col("cnt"), F.lit(0)) + F.coalesce(F.col("d"), F.lit(0))).cast("bigint")
-                          .alias("cnt"))
-                  .where(F.col("cnt") > 0))
+                 .agg(F.sum("d").cast("bigint").alias("d")).where(F.col("d") != 0))
         new.write.mode("overwrite").parquet(f"{self.lines_path}/batch_id={batch_id}")
-        merged.write.mode("overwrite").parquet(f"{self.pairs_root}/v{batch_id}")
-        self.spark.createDataFrame([(batch_id,)], "batch_id bigint").write.mode("append").parquet(self.commits_path)
+        delta.write.mode("overwrite").parquet(f"{self.delta_path}/batch_id={batch_id}")
+        base_version = self._commits().agg(F.max("base_version")).first()[0]
+        base_version = -1 if base_version is None else base_version
+        if len(committed) + 1 - sum(1 for b in committed if b <= base_version) >= self.compact_every:
+            # fold base + deltas (including this batch) into a new base snapshot
+            self.spark.createDataFrame([(batch_id, base_version)], "batch_id bigint, base_version bigint") \
+                .write.mode("append").parquet(self.commits_path)
+            snap = self.current_pairs()
+            snap.write.mode("overwrite").parquet(f"{self.base_path}/v{batch_id}")
+            self.spark.createDataFrame([(batch_id, batch_id)], "batch_id bigint, base_version bigint") \
+                .write.mode("append").parquet(self.commits_path)
+            return
+        self.spark.createDataFrame([(batch_id, base_version)], "batch_id bigint, base_version bigint") \
+            .write.mode("append").parquet(self.commits_path)
 
 
 def ingest_order_lines(spark: SparkSession, source: DataFrame, base: str | None = None,

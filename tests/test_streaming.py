@@ -61,6 +61,14 @@ def test_pair_stream_replay_equals_batch(spark):
     got = {(r.product1, r.product2): r.cnt for r in upd.current_pairs().collect()}
     want = {(r.product1, r.product2): r.cnt for r in PR.pair_counts(TB.basket_lines(spark, SF)).collect()}
     assert got == want
+    # same replay with compaction after every second batch
+    src2 = spark.readStream.schema(J.LINES_SCHEMA).option("maxFilesPerTrigger", 1).parquet(land + "/*")
+    base = J.job_dir(spark, "orderlines-compact")
+    upd2 = J.PairTableUpdater(spark, base, compact_every=2)
+    q = (src2.writeStream.foreachBatch(upd2).option("checkpointLocation", base + "/checkpoint")
+         .trigger(availableNow=True).start())
+    q.awaitTermination()
+    assert {(r.product1, r.product2): r.cnt for r in upd2.current_pairs().collect()} == want
     # re-delivering an applied batch changes nothing
     before = upd.current_pairs().count()
     upd(spark.createDataFrame([(1, 2)], "orderNr bigint, productNr bigint"), 0)
