@@ -162,8 +162,14 @@ def tumbling_stats(log: DataFrame, every: str = "1 hour", group: Sequence[str] =
                     "count", "avg_duration_ms", "max_duration_ms"))
 
 
-def feedback_sessions(log: DataFrame, gap: str = "30 minutes") -> DataFrame:
-    """N5 batch form: per user session (gap-based) events, clicks and purchases."""
+def feedback_sessions(log: DataFrame, gap_minutes: int = 30) -> DataFrame:
+    """N5 batch form: per user session (gap-based) events, clicks and purchases (skew-safe)."""
+    from shopflow.operators.sessions import sessions
+    return sessions(log, gap_minutes)
+
+
+def feedback_sessions_builtin(log: DataFrame, gap: str = "30 minutes") -> DataFrame:
+    """N5 with Spark's ``session_window`` (one user's events are sorted in one task)."""
     return (log.groupBy("user_id", F.session_window("ts", gap).alias("s"))
             .agg(F.count(F.lit(1)).alias("events"),
                  F.count_if(F.col("endpoint") == "click").alias("clicks"),

@@ -166,7 +166,7 @@ SELECT user_id, MIN(ts) AS session_start, MAX(ts) + INTERVAL 30 MINUTE AS sessio
        COUNT(*) FILTER (WHERE endpoint = 'click') AS clicks, COUNT(*) FILTER (WHERE endpoint = 'purchase') AS purchases
 FROM s GROUP BY user_id, sid""")
 def sessions_feedback(spark, sf_dir):
-    return M.feedback_sessions(TB.request_log(spark, sf_dir), "30 minutes")
+    return M.feedback_sessions(TB.request_log(spark, sf_dir), 30)
 
 
 def _stream_log(spark, sf_dir):

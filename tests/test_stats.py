@@ -25,3 +25,20 @@ def test_empty_log_gives_zero_row(spark):
     empty = spark.createDataFrame([], "ts timestamp_ntz, duration_ms double, result_count int")
     r = M.duration_stats(empty).first()
     assert r["count"] == 0 and r.p95_duration_ms == 0.0 and r.avg_results == 0.0
+
+
+def test_sessions_hot_user_matches_builtin(spark):
+    # user 1 holds most events and spans many range partitions; gaps of 10 or 40 minutes
+    from shopflow.operators.sessions import sessions
+    rows = []
+    import datetime as dt
+    t = dt.datetime(2024, 1, 1)
+    for i in range(3000):
+        t += dt.timedelta(minutes=40 if i % 7 == 0 else 10)
+        rows.append((1, t, "click" if i % 3 == 0 else "purchase" if i % 5 == 0 else "view"))
+    for u in range(2, 40):
+        rows.append((u, dt.datetime(2024, 1, 1, 5, u), "click"))
+    log = spark.createDataFrame(rows, "user_id bigint, ts timestamp_ntz, endpoint string").repartition(16)
+    got = sorted(tuple(r) for r in sessions(log, 30).collect())
+    want = sorted(tuple(r) for r in M.feedback_sessions_builtin(log, "30 minutes").collect())
+    assert got == want and len(got) > 400
