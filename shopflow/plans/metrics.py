@@ -244,3 +244,12 @@ def metrics_bundle(spark, sf_dir):
                                         F.lit("avg_processing_time").alias("metric"),
                                         F.col("avg_processing_ms").alias("value"))
     return search.unionByName(ep).unionByName(pq).unionByName(rn)
+
+
+@register("recent_history", f"""
+WITH {LOG}
+SELECT event_id, ts, endpoint, duration_ms FROM log ORDER BY ts DESC, event_id DESC LIMIT 1000""")
+def recent_history(spark, sf_dir):
+    """The latest 1000 log rows (the rolling history), a top-k over the whole log."""
+    log = TB.request_log(spark, sf_dir)
+    return log.orderBy(F.desc("ts"), F.desc("event_id")).limit(1000).select("event_id", "ts", "endpoint", "duration_ms")

@@ -325,3 +325,16 @@ def result_top3(spark, sf_dir):
     r = top_k(m, ["qn", "filter_key"], [F.asc("id")], 3, "position")
     return r.join(TB.products(spark, sf_dir).select("id", "title"), "id").select(
         F.col("qn").alias("query"), "filter_key", F.col("position").cast("int").alias("position"), "id", "title")
+
+
+@register("request_fingerprints", f"""
+WITH {PROD}, {REQ}
+SELECT md5(lower(query) || chr(1) || filter_key || chr(1) || CAST(lim AS VARCHAR) || chr(1) || CAST(off AS VARCHAR)) AS fingerprint,
+       lower(query) AS query, filter_key, COUNT(*) AS requests FROM req GROUP BY ALL""")
+def request_fingerprints(spark, sf_dir):
+    """stable fingerprint of each distinct request (text, canonical filters, limit, offset)
+    and how many requests share it (the work the search plans save by matching once per key)."""
+    r = RQ.search_requests(spark, sf_dir)
+    fp = F.md5(F.concat_ws("\u0001", F.lower("query"), "filter_key", F.col("lim").cast("string"), F.col("off").cast("string")))
+    return r.groupBy(fp.alias("fingerprint"), F.lower("query").alias("query"), "filter_key").agg(
+        F.count(F.lit(1)).alias("requests"))
