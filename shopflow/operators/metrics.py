@@ -31,10 +31,7 @@ def in_window(log: DataFrame, minutes: int | None, as_of: Column | None = None)
     if minutes is None:
         return log
     if as_of is None:
-        latest = log.agg(F.max("ts").alias("_as_of"))
-        return (log.crossJoin(F.broadcast(latest))  # one-row table
-                .where(F.col("ts") >= F.col("_as_of") - F.make_dt_interval(mins=F.lit(minutes)))
-                .drop("_as_of"))
+        as_of = log.agg(F.max("ts")).scalar()  # scalar subquery, evaluated once
     return log.where(F.col("ts") >= as_of - F.make_dt_interval(mins=F.lit(minutes)))
 
 
@@ -53,8 +50,8 @@ def duration_stats(log: DataFrame, group: Sequence[str] = (), with_results: bool
     picks = rank_pick(log, group, "duration_ms", pcts).drop("n")
     if group:
         out = base.join(picks, group, "left")
-    else:  # both sides are single-row global aggregates
-        out = base.crossJoin(picks.agg(*[F.max(c).alias(c) for c in pcts]))
+    else:  # single-row global aggregate; each percentile is a scalar subquery
+        out = base.select("*", *[picks.agg(F.max(c)).scalar().alias(c) for c in pcts])
     zero = [F.coalesce(F.col(c), F.lit(0.0)).alias(c) for c in
             ["min_duration_ms", "max_duration_ms", "avg_duration_ms", *pcts]
             + (["avg_results"] if with_results else [])]
@@ -89,8 +86,7 @@ def popular_queries(log: DataFrame, n: int = 10) -> DataFrame:
 
 def window_summary(log: DataFrame, windows: dict[str, int]) -> DataFrame:
     """Count / mean / p95 for several look-back windows, one output row per window."""
-    latest = log.agg(F.max("ts").alias("_as_of"))
-    tagged = log.crossJoin(F.broadcast(latest))
+    tagged = log.withColumn("_as_of", log.agg(F.max("ts")).scalar())
     parts = []
     for name, minutes in windows.items():
         w = tagged.where(F.col("ts") >= F.col("_as_of") - F.make_dt_interval(mins=F.lit(minutes))) \
@@ -112,7 +108,7 @@ def health_score(log: DataFrame, p95_window_minutes: int = 60) -> DataFrame:
         .alias("success_penalty"))
     slow = F.when(F.col("p95") > 500, F.least(F.lit(30.0), (F.col("p95") - 500) / 20)).otherwise(0.0)
     score = F.greatest(F.lit(0.0), F.least(F.lit(100.0), F.round(F.lit(100.0) - slow - F.col("success_penalty"), 1)))
-    out = p95.crossJoin(rates).select(
+    out = p95.withColumn("success_penalty", rates.scalar()).select(
         _r(F.col("p95")).alias("p95_last_hour"), "hour_count", _r(F.col("success_penalty")).alias("success_penalty"),
         score.alias("health_score"))
     return out.withColumn("status", F.when(F.col("health_score") >= 90, "excellent")

@@ -119,7 +119,7 @@ def duplicate_ids(df: DataFrame, show: int = 10) -> DataFrame:
     d = (df.where(F.col("id").isNotNull()).groupBy("id").agg(F.count(F.lit(1)).alias("occurrences"))
          .where(F.col("occurrences") > 1))
     n = d.agg(F.count(F.lit(1)).alias("duplicate_count"))
-    return d.orderBy("id").limit(show).crossJoin(n)
+    return d.orderBy("id").limit(show).withColumn("duplicate_count", n.scalar())
 
 
 # Q2 on raw JSON records. The accepted JSON value types of each field, named the way the

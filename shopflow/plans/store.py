@@ -126,7 +126,7 @@ def load_summary(spark, sf_dir):
     p = TB.products(spark, sf_dir).agg(F.count(F.lit(1)).alias("products"))
     ol = TB.order_lines(spark, sf_dir).agg(F.count(F.lit(1)).alias("order_lines"),
                                            F.countDistinct("customerNr").alias("customers"))
-    return p.crossJoin(ol)
+    return ol.select(p.scalar().alias("products"), "order_lines", "customers")
 
 
 @register("catalogue_profile", """

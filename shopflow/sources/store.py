@@ -77,8 +77,8 @@ def reconcile(expected: DataFrame, loaded: DataFrame, key: str = "id", show: int
     counts = e.join(loaded.select(key).distinct().withColumn("_f", F.lit(1)), key, "left").agg(
         F.count(F.lit(1)).alias("expected"), F.count("_f").alias("found"))
     first = missing.orderBy(key).limit(show).agg(F.sort_array(F.collect_list(key)).alias("missing_ids"))
-    return counts.crossJoin(first).select("expected", "found", (F.col("expected") - F.col("found")).alias("missing"),
-                                          "missing_ids")
+    return counts.withColumn("missing_ids", first.scalar()).select(
+        "expected", "found", (F.col("expected") - F.col("found")).alias("missing"), "missing_ids")
 
 
 def pair_status(pairs: DataFrame) -> DataFrame:
