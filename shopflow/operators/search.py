@@ -111,19 +111,21 @@ def search_totals(requests: DataFrame, products: DataFrame) -> DataFrame:
 
 
 def _facet_values(df: DataFrame, fields: list[str]) -> DataFrame:
-    """Stack facet fields into (field, value) rows; arrays unwound, nulls dropped."""
-    parts = []
+    """Stack facet fields into (field, value) rows in one pass: one ``explode`` of an array of
+    (field, value) structs, arrays unwound into it; nulls dropped."""
+    types = dict(df.dtypes)
+
+    def tagged(name):  # binds the field name; a two-argument lambda would mean (element, index)
+        return lambda x: F.struct(F.lit(name).alias("field"), x.cast("string").alias("value"))
+    pairs = []
     for f in fields:
-        dtype = dict(df.dtypes)[f]
-        if dtype.startswith("array"):
-            v = F.explode(F.col(f))
+        if types[f].startswith("array"):
+            pairs.append(F.transform(F.coalesce(F.col(f), F.array().cast(types[f])), tagged(f)))
         else:
-            v = F.col(f).cast("string")
-        parts.append(df.select(*[c for c in df.columns if c not in fields], F.lit(f).alias("field"), v.alias("value")))
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out.where(F.col("value").isNotNull())
+            pairs.append(F.array(F.struct(F.lit(f).alias("field"), F.col(f).cast("string").alias("value"))))
+    keep = [c for c in df.columns if c not in fields]
+    return (df.select(*keep, F.explode(F.concat(*pairs)).alias("_fv"))
+            .select(*keep, "_fv.field", "_fv.value").where(F.col("value").isNotNull()))
 
 
 def facets(df: DataFrame, group: list[str], fields: list[str], top: int = 10) -> DataFrame:
