@@ -44,11 +44,14 @@ def checkpoint_dir(spark: SparkSession) -> str:
     Only when the session leaves it unset (local tests) is a fresh scratch
     folder created and registered.
     """
-    path = spark.conf.get("spark.checkpoint.dir", None)
-    if not path:
-        path = spark.sparkContext.getCheckpointDir()
-    if not path:
+    sc = spark.sparkContext
+    path = spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
+    if not path:  # unset: local runs and tests only
         path = tempfile.mkdtemp(prefix="shopflow-ckpt-", dir=os.environ.get("TMPDIR", "/tmp"))
-        spark.conf.set("spark.checkpoint.dir", path)
-    spark.sparkContext.setCheckpointDir(path)
-    return spark.sparkContext.getCheckpointDir() or path
+        try:
+            spark.conf.set("spark.checkpoint.dir", path)
+        except Exception:  # noqa: BLE001 - some sessions reject core settings at runtime
+            pass
+    if not sc.getCheckpointDir():
+        sc.setCheckpointDir(path)
+    return sc.getCheckpointDir() or path
