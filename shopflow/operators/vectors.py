@@ -145,8 +145,7 @@ def embed_with(encoder, dims: int):
 
     from pyspark.sql.functions import pandas_udf
 
-    @pandas_udf("array<float>")
-    def _embed(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    def _embed(batches):
         for s in batches:
             texts = s.fillna("").tolist()
             out = np.zeros((len(texts), dims), dtype=np.float32)
@@ -154,4 +153,6 @@ def embed_with(encoder, dims: int):
             if idx:
                 out[idx] = np.asarray(encoder([texts[i] for i in idx]), dtype=np.float32)
             yield pd.Series(list(out))
-    return _embed
+    # real (not string) hints: this module uses postponed annotations
+    _embed.__annotations__ = {"batches": Iterator[pd.Series], "return": Iterator[pd.Series]}
+    return pandas_udf(_embed, "array<float>")
