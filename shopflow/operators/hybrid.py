@@ -49,7 +49,8 @@ def hybrid_search(requests: DataFrame, products: DataFrame) -> DataFrame:
     m = (scored.join(keys, "qn").join(products, "id").where(pred)
          .select("qn", "filter_key", "id", "score", "max_end", "title"))
     totals = m.groupBy("qn", "filter_key").agg(F.count(F.lit(1)).alias("total"))
-    ranked = top_k(m, ["qn", "filter_key"], [F.desc("score"), F.asc("id")], F.col("max_end"))
+    ranked = top_k(m, ["qn", "filter_key"], [F.desc("score"), F.asc("id")],
+                   S.max_of(requests, F.col("off") + F.col("lim")) or 0)
     req = requests.select("query_id", F.lower("query").alias("qn"), "filter_key", "off", "lim")
     page = (req.join(ranked, ["qn", "filter_key"])
             .where((F.col("rank") > F.col("off")) & (F.col("rank") <= F.col("off") + F.col("lim")))

@@ -64,6 +64,12 @@ def filter_predicate(products_cols: list[str], filters: Column, only: list[str]
                                entry_ok), F.lit(True))
 
 
+def max_of(df: DataFrame, expr: Column) -> int | None:
+    """A literal upper bound for per-request limits (one small aggregate read on the driver)."""
+    v = df.agg(F.max(expr)).first()[0]
+    return int(v) if v is not None else None
+
+
 def search_keys(requests: DataFrame) -> DataFrame:
     """Distinct (qn, filter_key) with the filter map and the deepest page any request asks for."""
     return (requests.groupBy(F.lower(F.col("query")).alias("qn"), "filter_key")
@@ -92,7 +98,8 @@ def search_page(requests: DataFrame, products: DataFrame) -> DataFrame:
     keys = all_keys.select("qn", "filter_key", "max_end")
     m = matched_set(requests, products, keys=all_keys)
     totals = m.groupBy("qn", "filter_key").agg(F.count(F.lit(1)).alias("total"))
-    ranked = top_k(m.join(keys, ["qn", "filter_key"]), ["qn", "filter_key"], [F.asc("id")], F.col("max_end"))
+    ranked = top_k(m.join(keys, ["qn", "filter_key"]), ["qn", "filter_key"], [F.asc("id")],
+                   max_of(requests, F.col("off") + F.col("lim")) or 0)
     req = requests.select("query_id", F.lower("query").alias("qn"), "filter_key", "off", "lim")
     page = (req.join(ranked.drop("max_end"), ["qn", "filter_key"])
             .where((F.col("rank") > F.col("off")) & (F.col("rank") <= F.col("off") + F.col("lim"))))
@@ -161,7 +168,8 @@ def any_term_search(requests: DataFrame, products: DataFrame) -> DataFrame:
          .join(products, "id").where(pred).select("qn", "filter_key", "id"))
     totals = m.groupBy("qn", "filter_key").agg(F.count(F.lit(1)).alias("total"))
     ranked = top_k(m.join(keys.select("qn", "filter_key", "max_end"), ["qn", "filter_key"]),
-                   ["qn", "filter_key"], [F.asc("id")], F.col("max_end"))
+                   ["qn", "filter_key"], [F.asc("id")],
+                   max_of(requests, F.col("off") + F.col("lim")) or 0)
     req = requests.select("query_id", F.lower("query").alias("qn"), "filter_key", "lim")
     return (req.join(ranked.drop("max_end"), ["qn", "filter_key"]).where(F.col("rank") <= F.col("lim"))
             .join(totals, ["qn", "filter_key"]).join(products.select("id", "title"), "id")
@@ -173,7 +181,7 @@ def prefix_suggest(requests: DataFrame, products: DataFrame) -> DataFrame:
     """Titles starting with the prefix (case-insensitive), first ``lim`` by id."""
     keys = requests.groupBy("prefix").agg(F.max("lim").alias("max_lim"))
     hits = TM.prefix_matches(keys, products)
-    ranked = top_k(hits.join(keys, "prefix"), ["prefix"], [F.asc("id")], F.col("max_lim"))
+    ranked = top_k(hits.join(keys, "prefix"), ["prefix"], [F.asc("id")], max_of(requests, F.col("lim")) or 0)
     return (requests.join(ranked.drop("max_lim"), "prefix").where(F.col("rank") <= F.col("lim"))
             .join(products.select("id", "title", "brand"), "id")
             .select("query_id", F.col("rank").cast("int").alias("rank"), "id", "title", "brand"))
@@ -190,7 +198,7 @@ def fuzzy_suggest(requests: DataFrame, products: DataFrame, min_gram: int = 2, m
     hits = (close.join(grams, "gram").groupBy(F.col("q").alias("prefix"), "id")
             .agg(F.min("dist").alias("dist"))
             .withColumn("score", F.when(F.col("dist") == 0, 2.0).otherwise(1.0)))
-    ranked = top_k(hits.join(keys, "prefix"), ["prefix"], [F.desc("score"), F.asc("id")], F.col("max_lim"))
+    ranked = top_k(hits.join(keys, "prefix"), ["prefix"], [F.desc("score"), F.asc("id")], max_of(requests, F.col("lim")) or 0)
     return (requests.join(ranked.drop("max_lim"), "prefix").where(F.col("rank") <= F.col("lim"))
             .join(products.select("id", "title", "brand"), "id")
             .select("query_id", F.col("rank").cast("int").alias("rank"), "id", "title", "brand", "score"))
@@ -273,7 +281,7 @@ def ngram_search(requests: DataFrame, products: DataFrame, min_gram: int = 3, ma
     pg = products.select("id", F.explode(grams(F.col("title"))).alias("gram"))
     hits = (qg.join(pg, "gram").groupBy("qn", "nq", "id").agg(F.count(F.lit(1)).alias("hit"))
             .select("qn", "id", F.round(F.col("hit") / F.col("nq"), 6).alias("score")))
-    ranked = top_k(hits.join(qs, "qn"), ["qn"], [F.desc("score"), F.asc("id")], F.col("max_lim"))
+    ranked = top_k(hits.join(qs, "qn"), ["qn"], [F.desc("score"), F.asc("id")], max_of(requests, F.col("lim")) or 0)
     req = requests.select("query_id", F.lower("query").alias("qn"), "lim")
     return (req.join(ranked, "qn").where(F.col("rank") <= F.col("lim"))
             .select("query_id", F.col("rank").cast("int").alias("rank"), "id", "score"))

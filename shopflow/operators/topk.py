@@ -16,14 +16,15 @@ def top_k(df: DataFrame, group: Sequence, order: Sequence, k: int | Column,
           rank_col: str = "rank") -> DataFrame:
     """Keep the first ``k`` rows of each group under a total order.
 
-    ``row_number() <= k`` plans as a partial ``WindowGroupLimit`` before the
-    shuffle and a final one after it, so a hot group never carries more than k
-    rows per task into the exchange. ``k`` may be a column (per-request limit).
+    With a literal ``k``, ``row_number() <= k`` plans as a partial ``WindowGroupLimit``
+    before the shuffle and a final one after it, so a hot group never carries more than
+    k rows per task into the exchange. ``k`` may be a column (a per-group limit), which
+    gives up that partial limit; callers with per-request limits pass the largest one as
+    a literal and apply each request's own limit when joining back.
     """
     w = Window.partitionBy(*_cols(group)).orderBy(*_cols(order))
     limit = k if isinstance(k, Column) else F.lit(k)
-    return (df.withColumn(rank_col, F.row_number().over(w))
-            .where(F.col(rank_col) <= limit))
+    return df.withColumn(rank_col, F.row_number().over(w)).where(F.col(rank_col) <= limit)
 
 
 def page(df: DataFrame, group: Sequence, order: Sequence, offset: Column | int,
