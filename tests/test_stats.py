@@ -42,3 +42,15 @@ def test_sessions_hot_user_matches_builtin(spark):
     got = sorted(tuple(r) for r in sessions(log, 30).collect())
     want = sorted(tuple(r) for r in M.feedback_sessions_builtin(log, "30 minutes").collect())
     assert got == want and len(got) > 400
+
+
+def test_health_score_formula(spark):
+    import datetime as dt
+    t = dt.datetime(2024, 1, 1, 12)
+    rows = [(i, t - dt.timedelta(minutes=i % 50), "search", 900.0 if i < 10 else 100.0, 200 if i % 10 else 500)
+            for i in range(100)]
+    log = spark.createDataFrame(rows, "event_id long, ts timestamp_ntz, endpoint string, duration_ms double, status_code int")
+    r = M.health_score(log, 60).first()
+    # p95 of 100 values (10 x 900, 90 x 100) is 900 -> penalty min(30, 400/20) = 20;
+    # success 0.9 -> penalty min(20, 9) = 9; score 71.0 -> 'fair'
+    assert (r.p95_last_hour, r.success_penalty, r.health_score, r.status) == (900.0, 9.0, 71.0, "fair")
