@@ -28,7 +28,7 @@ HEADLINE = [
 def main() -> None:
     sf_dir = os.environ.get("BENCH_SF_DIR", "/root/testdata/sf0.1")
     cpus = os.environ.get("BENCH_CPUS", "8")
-    spark = build_session("shopflow-bench", cpus=cpus, shuffle_partitions=int(cpus) * 2)
+    spark = build_session("shopflow-bench", cpus=cpus, shuffle_partitions=int(os.environ.get("BENCH_SHUFFLE", int(cpus) * 2)))
     registry.load_all()
     names = [n for n in HEADLINE if n in registry.QUERIES]
     r = spark.range(1000)
