@@ -164,9 +164,11 @@ def rejected_products(feed: DataFrame) -> DataFrame:
     """E9 side output: rows skipped for a missing id or as later duplicates, with the reason."""
     no_id = feed.where(_truthy(F.col("id")).isNull()).select("_file", "_pos", F.col("id"),
                                                              F.lit("missing id").alias("reason"))
-    ranked = top_k(feed.where(_truthy(F.col("id")).isNotNull()), ["id"], [F.asc("_file"), F.asc("_pos")],
-                   F.lit(1 << 30), "_rk")
-    dups = ranked.where(F.col("_rk") > 1).select("_file", "_pos", "id", F.lit("duplicate id").alias("reason"))
+    # first occurrence per id by a partial+final aggregate (no per-id window, so a hot id is not one task)
+    with_id = feed.where(_truthy(F.col("id")).isNotNull())
+    first = with_id.groupBy("id").agg(F.min(F.struct("_file", "_pos")).alias("_first"))
+    dups = (with_id.join(first, "id").where(F.struct("_file", "_pos") != F.col("_first"))
+            .select("_file", "_pos", "id", F.lit("duplicate id").alias("reason")))
     return no_id.unionByName(dups)
 
 

@@ -115,3 +115,14 @@ def read_latest(spark: SparkSession, root: str, schema: str | None = None) -> Da
             raise FileNotFoundError(root)
         return spark.createDataFrame([], schema)
     return spark.read.parquet(f"{root}/v{v:08d}")
+
+
+def load_statistics(load_log: DataFrame) -> DataFrame:
+    """Totals over a load log (batch, inserted, updated, errors, started, finished):
+    rows, batches, wall-clock span in seconds and rows per second."""
+    span = F.timestamp_diff("MILLISECOND", F.min("started"), F.max("finished")) / 1000.0
+    rows = F.sum(F.col("inserted") + F.col("updated"))
+    return load_log.agg(
+        F.count(F.lit(1)).alias("batches"), F.sum("inserted").alias("inserted"), F.sum("updated").alias("updated"),
+        F.sum("errors").alias("errors"), span.alias("duration_s"),
+        F.when(span > 0, F.round(rows / span, 3)).otherwise(F.lit(0.0)).alias("rows_per_s"))

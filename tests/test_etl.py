@@ -57,3 +57,21 @@ def test_clean_html(spark):
     from pyspark.sql import functions as F
     df = spark.createDataFrame([("<html><script>var t='</p>';</script><p>Hi &amp; bye</p>\n <b>x</b></html>",)], "h string")
     assert df.select(E.clean_html(F.col("h")).alias("t")).first().t == "Hi & bye x"
+
+
+def test_alternate_mapping(spark):
+    prods = [_base(id="z", name="", alternativeProductName="Alt name", supplierName="Acme",
+                   price={"marketId": "b2c_nor", "unitPrice": 50.0}, tags=["t1"], ean="123")]
+    r = E.alternate_mapping(_feed(spark, prods)).first()
+    assert (r.title, r.brand, r.priceCurrent, r.priceOriginal, r.tags, r.ean) == ("Alt name", "Acme", 50.0, 50.0, ["t1"], "123")
+
+
+def test_load_statistics(spark):
+    import datetime as dt
+    from shopflow.sources import store as ST
+    t = dt.datetime(2024, 1, 1)
+    log = spark.createDataFrame([(0, 80, 20, 1, t, t + dt.timedelta(seconds=2)),
+                                 (1, 50, 50, 0, t + dt.timedelta(seconds=2), t + dt.timedelta(seconds=4))],
+                                "batch int, inserted long, updated long, errors long, started timestamp_ntz, finished timestamp_ntz")
+    r = ST.load_statistics(log).first()
+    assert (r.batches, r.inserted, r.updated, r.errors, r.duration_s, r.rows_per_s) == (2, 130, 70, 1, 4.0, 50.0)
