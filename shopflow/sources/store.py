@@ -126,3 +126,13 @@ def load_statistics(load_log: DataFrame) -> DataFrame:
         F.count(F.lit(1)).alias("batches"), F.sum("inserted").alias("inserted"), F.sum("updated").alias("updated"),
         F.sum("errors").alias("errors"), span.alias("duration_s"),
         F.when(span > 0, F.round(rows / span, 3)).otherwise(F.lit(0.0)).alias("rows_per_s"))
+
+
+def write_report(parts: dict[str, DataFrame], root: str, mode: str = "overwrite") -> dict[str, str]:
+    """Write each report DataFrame (errors, coverage, summary, ...) as JSON under ``root/<name>``."""
+    out = {}
+    for name, df in parts.items():
+        path = f"{root}/{name}"
+        df.write.mode(mode).json(path)
+        out[name] = path
+    return out

@@ -34,3 +34,29 @@ def test_snapshot_versions(spark):
     ST.write_version(df.union(df), root, 2)
     assert ST.latest_version(spark, root) == 2
     assert ST.read_latest(spark, root).count() == 2
+
+
+def test_json_array_sources_and_report_sink(spark):
+    import json
+    import os
+    import tempfile
+
+    from shopflow.operators import quality as Q
+    from shopflow.sources.feed import ORDERLINE, read_products_json
+    d = tempfile.mkdtemp(prefix="json-", dir="/tmp")
+    lines = [{"orderNr": "O1", "productNr": "p1", "customerNr": "c1", "seasonName": "winter",
+              "dateTime": "2023-12-15T14:30:00"},
+             {"orderNr": "O1", "productNr": "p2", "customerNr": "c1", "seasonName": "winter",
+              "dateTime": "2023-12-15T14:30:00"}]
+    with open(os.path.join(d, "lines.json"), "w") as f:
+        json.dump(lines, f)
+    df = read_products_json(spark, os.path.join(d, "lines.json"), ORDERLINE)
+    assert df.count() == 2 and dict(df.dtypes)["dateTime"] == "timestamp"
+    prods = spark.createDataFrame([("p1", "Title", "Description", "B", 1.0, 1.0, False, "main", 0.5, 1)],
+                                  "id string, title string, description string, brand string, priceOriginal double, "
+                                  "priceCurrent double, isOnSale boolean, productType string, "
+                                  "seasonRelevancyFactor double, stockLevel int")
+    paths = ST.write_report({"summary": Q.summary(prods), "coverage": Q.field_coverage(prods)},
+                            checkpoint_dir(spark) + "/report-test")
+    assert spark.read.json(paths["summary"]).first().valid_products == 1
+    assert spark.read.json(paths["coverage"]).count() == 16
