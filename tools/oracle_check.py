@@ -54,10 +54,17 @@ def digest(cols, rows):
 def main():
     ap = argparse.ArgumentParser()
     ap.add_argument("--sf", default="/root/testdata/sf0.01")
+    ap.add_argument("--plain-tz", default=None, help="use a plain session with this time zone")
     ap.add_argument("names", nargs="*")
     a = ap.parse_args()
     registry.load_all()
-    spark = build_session("oracle-check")
+    if a.plain_tz:
+        from pyspark.sql import SparkSession
+        spark = (SparkSession.builder.master("local[8]").config("spark.ui.enabled", "false")
+                 .config("spark.sql.session.timeZone", a.plain_tz).getOrCreate())
+        spark.sparkContext.setLogLevel("ERROR")
+    else:
+        spark = build_session("oracle-check")
     con = duckdb.connect()
     for t in TABLES:
         con.execute(f"CREATE VIEW {t} AS SELECT * FROM read_parquet('{a.sf}/{t}.parquet')")
