@@ -68,14 +68,26 @@ def session_stats(log: DataFrame, gap: str = "30 minutes", delay: str = "10 minu
                     F.col("s.end").cast("timestamp_ntz").alias("session_end"), "events", "clicks", "purchases"))
 
 
-def run_to_table(stream: DataFrame, spark: SparkSession, name: str, mode: str = "append") -> DataFrame:
-    """Run a streaming result with ``availableNow`` into a parquet sink and read it back."""
+def run_to_table(stream: DataFrame, spark: SparkSession, name: str, mode: str = "append",
+                 with_dropped: bool = False):
+    """Run a streaming result with ``availableNow`` into a parquet sink and read it back.
+
+    With ``with_dropped`` also return how many rows the stateful operators dropped as later
+    than the watermark (the engine's own count, after partial aggregation). Spark judges
+    lateness against the previous micro-batch's watermark, so rows are dropped from the
+    batch after the one that advanced the watermark past them.
+    """
     base = job_dir(spark, name)
     q = (stream.writeStream.format("parquet").outputMode(mode)
          .option("checkpointLocation", os.path.join(base, "checkpoint"))
          .option("path", os.path.join(base, "out")).trigger(availableNow=True).start())
     q.awaitTermination()
-    return spark.read.schema(stream.schema).parquet(os.path.join(base, "out"))
+    out = spark.read.schema(stream.schema).parquet(os.path.join(base, "out"))
+    if not with_dropped:
+        return out
+    dropped = sum(int(s.get("numRowsDroppedByWatermark") or 0)
+                  for p in q.recentProgress for s in p.get("stateOperators", []))
+    return out, dropped
 
 
 class PairTableUpdater:

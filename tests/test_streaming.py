@@ -35,15 +35,16 @@ def test_windowed_stream_equals_batch_for_closed_windows(spark):
     assert a == b and len(a) > 0
 
 
-def test_watermark_advances_over_replay(spark):
+def test_late_rows_are_dropped_and_counted(spark):
     events = TB.read(spark, SF, "events")
     d = tempfile.mkdtemp(prefix="late-", dir="/tmp")
-    events.where("ts >= '2024-01-15'").coalesce(1).write.parquet(d + "/a")
-    events.where("ts < '2024-01-02'").coalesce(1).write.parquet(d + "/b")  # older than the watermark
+    events.where("ts >= '2024-01-15' and ts < '2024-01-20'").coalesce(1).write.parquet(d + "/a")
+    events.where("ts >= '2024-01-20'").coalesce(1).write.parquet(d + "/b")
+    events.where("ts < '2024-01-02'").coalesce(1).write.parquet(d + "/c")  # far behind the watermark
     stream = J.read_log_stream(spark, d + "/*", max_files_per_trigger=1)
-    got = J.run_to_table(J.windowed_stats(stream), spark, "test-late")
-    # every emitted window is closed (end behind the final watermark) and counts are positive
-    assert got.count() > 0 and got.where("count < 1").count() == 0
+    got, dropped = J.run_to_table(J.windowed_stats(stream), spark, "test-late", with_dropped=True)
+    assert got.where("window_start < '2024-01-02'").count() == 0
+    assert dropped > 0 and got.count() > 0
 
 
 def test_session_stream(spark):
