@@ -17,6 +17,7 @@ from shopflow.operators import search as S
 from shopflow.operators import textsearch as TS
 from shopflow.operators import vectors as V
 from shopflow.operators.topk import top_k
+from shopflow.session import checkpoint_dir
 
 TEXT_FIELDS = ("title", "description", "brand")
 
@@ -43,7 +44,10 @@ def clause_scores(queries: DataFrame, products: DataFrame, text_boost: float = 2
 
 def hybrid_search(requests: DataFrame, products: DataFrame) -> DataFrame:
     """R2 + R3: fused score, post-filter, per-request page (score desc, id asc), total and match type."""
-    keys = S.search_keys(requests)
+    # the distinct request keys feed five clauses and the filter join: materialise them once
+    # (a small table; reliable checkpoint in the shared folder)
+    checkpoint_dir(requests.sparkSession)
+    keys = S.search_keys(requests).checkpoint()
     scored = clause_scores(keys, products)
     pred = S.filter_predicate(products.columns, F.col("filters"))
     m = (scored.join(keys, "qn").join(products, "id").where(pred)
