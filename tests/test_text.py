@@ -30,3 +30,23 @@ def test_hashed_embedding_unit_norm_and_zero(spark):
     rows = {r.id: np.array(r.vec) for r in V.with_hashed_embedding(df, "t").collect()}
     assert abs(np.linalg.norm(rows[1]) - 1) < 1e-6 and not rows[2].any()
     assert np.allclose(rows[1], rows[3])  # case-insensitive tokens
+
+
+def test_blocked_knn_equals_brute_force(spark):
+    rng = np.random.default_rng(3)
+    n = 50
+    vecs = rng.normal(size=(n, 8)).astype(np.float32)
+    vecs[7] = 0.0  # a zero vector scores 0 against everything
+    df = spark.createDataFrame([(i, vecs[i].tolist()) for i in range(n)], "id long, vec array<float>")
+    got = {}
+    for r in V.knn(df, df, k=4, exclude_self=True, block_rows=7).collect():  # 8 x 8 block pairs
+        got.setdefault(r.qid, []).append((r.rank, r.cid))
+    m = vecs.astype(np.float64)
+    norms = np.linalg.norm(m, axis=1, keepdims=True)
+    unit = np.where(norms > 0, m / np.where(norms > 0, norms, 1), 0)
+    sims = np.round(unit @ unit.T, 9)
+    for q in range(n):
+        order = sorted((c for c in range(n) if c != q), key=lambda c: (-sims[q, c], c))[:4]
+        assert [c for _, c in sorted(got[q])] == order
+    thr = {(r.qid, r.cid) for r in V.knn(df, df, k=None, threshold=0.5, block_rows=7).collect()}
+    assert thr == {(q, c) for q in range(n) for c in range(n) if sims[q, c] > 0.5}
