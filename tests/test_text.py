@@ -50,3 +50,34 @@ def test_blocked_knn_equals_brute_force(spark):
         assert [c for _, c in sorted(got[q])] == order
     thr = {(r.qid, r.cid) for r in V.knn(df, df, k=None, threshold=0.5, block_rows=7).collect()}
     assert thr == {(q, c) for q in range(n) for c in range(n) if sims[q, c] > 0.5}
+
+
+def test_bm25_equals_python(spark):
+    import math
+    import re
+    docs = [(1, "red plate red"), (2, "blue plate"), (3, ""), (4, "red red red gizmo plate plate"), (5, "anvil")]
+    queries = [(10, "red plate"), (11, "plate plate gizmo"), (12, "nothing")]
+    tok = lambda s: [t for t in re.split(r"[^\w]+", s.lower()) if t]
+    n = len(docs)
+    dl = {d: len(tok(t)) for d, t in docs}
+    avgdl = sum(dl.values()) / n
+    df = {}
+    for d, t in docs:
+        for term in set(tok(t)):
+            df[term] = df.get(term, 0) + 1
+    want = {}
+    for q, text in queries:
+        for d, t in docs:
+            toks = tok(t)
+            s = 0.0
+            for term in set(tok(text)):
+                if term in toks:
+                    tf, qtf = toks.count(term), tok(text).count(term)
+                    idf = math.log(1 + (n - df[term] + 0.5) / (df[term] + 0.5))
+                    s += qtf * idf * tf * 2.2 / (tf + 1.2 * (1 - 0.75 + 0.75 * dl[d] / avgdl))
+            if s:
+                want[(q, d)] = round(s, 9)
+    got = {(r.qid, r.doc_id): round(r.score, 9) for r in TS.bm25_scores(
+        spark.createDataFrame(queries, "item_id long, text string"),
+        spark.createDataFrame(docs, "doc_id long, text string")).collect()}
+    assert got == want
