@@ -6,7 +6,11 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from shopflow.llm.chat import conversation_digests, format_conversations
 from shopflow.llm.common import table
+from shopflow.llm.decontam import contaminated
+from shopflow.llm.exact_dedup import exact_duplicates
+from shopflow.llm.mixing import mix_sources
 from shopflow.llm.ngram_join import ngram_jaccard_join
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -25,3 +29,34 @@ def register(name: str, sql: str | None = None):
 @register("op1_ngram_jaccard_join")
 def op1(spark, sf_dir):
     return ngram_jaccard_join(table(spark, sf_dir, "documents"))
+
+
+# Lower-cases A-Z only.
+_LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+
+
+@register("op5_exact_dedup", f"""
+with d as (select doc_id, sha256({_LOWER}) as text_sha256 from documents),
+g as (select text_sha256, max(doc_id) as keep_id, count(*) as group_size from d group by text_sha256)
+select doc_id, keep_id, group_size, doc_id = keep_id as kept, text_sha256 from d join g using (text_sha256)
+""")
+def op5(spark, sf_dir):
+    return exact_duplicates(table(spark, sf_dir, "documents"))
+
+
+@register("op7_mix_sources")
+def op7(spark, sf_dir):
+    return mix_sources(table(spark, sf_dir, "documents"))
+
+
+@register("op9_chat_trees")
+def op9(spark, sf_dir):
+    rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    extra = spark.sql("select * from values (-1L, 0L, 'user', '</s>[INST] ok [/INST]'), "
+                      "(-1L, 1L, 'assistant', '</s>[INST] ok [/INST]') as t(conv_id, turn, role, text)")
+    return conversation_digests(format_conversations(rows.unionByName(extra)))
+
+
+@register("op10_decontaminate")
+def op10(spark, sf_dir):
+    return contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
