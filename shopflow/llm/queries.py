@@ -12,6 +12,8 @@ from shopflow.llm.decontam import contaminated
 from shopflow.llm.exact_dedup import exact_duplicates
 from shopflow.llm.mixing import mix_sources
 from shopflow.llm.ngram_join import ngram_jaccard_join
+from shopflow.llm.urlrank import filter_urls
+from shopflow.llm.warc import warc_round_trip
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -60,3 +62,21 @@ def op9(spark, sf_dir):
 @register("op10_decontaminate")
 def op10(spark, sf_dir):
     return contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+@register("op4_url_link_graph")
+def op4(spark, sf_dir):
+    return filter_urls(table(spark, sf_dir, "pages"))
+
+
+@register("op6_warc_zstd", """
+with p as (select page_id, coalesce(html, '') as h from pages),
+b as (select page_id, octet_length(encode(h)) as payload_bytes, sha1(h) as payload_digest from p),
+g as (select payload_digest, max(page_id) as top from b where payload_bytes >= 1000 group by payload_digest)
+select page_id, payload_bytes, payload_digest,
+       case when top is null or top = page_id then 'response' else 'revisit' end as record_type,
+       case when top <> page_id then top end as refers_to
+from b left join g using (payload_digest)
+""")
+def op6(spark, sf_dir):
+    return warc_round_trip(table(spark, sf_dir, "pages")).drop("target_uri", "archive")
