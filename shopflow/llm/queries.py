@@ -12,6 +12,7 @@ from shopflow.llm.decontam import contaminated
 from shopflow.llm.exact_dedup import exact_duplicates
 from shopflow.llm.mixing import mix_sources
 from shopflow.llm.ngram_join import ngram_jaccard_join
+from shopflow.llm.pii import find_personal_data
 from shopflow.llm.urlrank import filter_urls
 from shopflow.llm.warc import warc_round_trip
 
@@ -80,3 +81,8 @@ from b left join g using (payload_digest)
 """)
 def op6(spark, sf_dir):
     return warc_round_trip(table(spark, sf_dir, "pages")).drop("target_uri", "archive")
+
+
+@register("op2_pii_boosting")
+def op2(spark, sf_dir):
+    return find_personal_data(table(spark, sf_dir, "documents"))
