@@ -13,6 +13,7 @@ from shopflow.llm.exact_dedup import exact_duplicates
 from shopflow.llm.mixing import mix_sources
 from shopflow.llm.ngram_join import ngram_jaccard_join
 from shopflow.llm.pii import find_personal_data
+from shopflow.llm.substring_dedup import remove_repeats
 from shopflow.llm.urlrank import filter_urls
 from shopflow.llm.warc import warc_round_trip
 
@@ -86,3 +87,8 @@ def op6(spark, sf_dir):
 @register("op2_pii_boosting")
 def op2(spark, sf_dir):
     return find_personal_data(table(spark, sf_dir, "documents"))
+
+
+@register("op8_suffix_dedup")
+def op8(spark, sf_dir):
+    return remove_repeats(table(spark, sf_dir, "documents"))
