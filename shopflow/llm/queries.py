@@ -13,6 +13,7 @@ from shopflow.llm.exact_dedup import exact_duplicates
 from shopflow.llm.mixing import mix_sources
 from shopflow.llm.ngram_join import ngram_jaccard_join
 from shopflow.llm.pii import find_personal_data
+from shopflow.llm.quality import score_quality
 from shopflow.llm.substring_dedup import remove_repeats
 from shopflow.llm.urlrank import filter_urls
 from shopflow.llm.warc import warc_round_trip
@@ -92,3 +93,8 @@ def op2(spark, sf_dir):
 @register("op8_suffix_dedup")
 def op8(spark, sf_dir):
     return remove_repeats(table(spark, sf_dir, "documents"))
+
+
+@register("op3_quality_mil")
+def op3(spark, sf_dir):
+    return score_quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
