@@ -1,19 +1,20 @@
 """Operator 1: n-gram Jaccard self-join by vertical partitioning.
 
 The global n-gram order puts rare n-grams first (frequent ones, counted over every document,
-last; ties by hash). Three passes over hashed shingle sets:
+last; ties by hash). Passes over hashed shingle sets:
 
 1. counts: each task combines its n-grams and ships packed (hash range, hashes, counts); each
-   range keeps those above ``RARE``; the ``HOT`` most frequent ones (a fixed number, so a fixed
-   size) are broadcast. They only decide the order, never what is compared.
-2. candidates: two sets with Jaccard >= 0.8 share an n-gram among the first
-   n - ceil(0.8 n) + 1 of either one in that order. Each hash range links neighbours of a bucket
-   whose sizes allow 0.8, in order of size: a chain, not all pairs. The components of the chains
-   are the only groups inside which links can exist.
-3. verification: in each group the n-gram order is cut into fragments, the overlap of all
-   pairs is counted fragment by fragment as a small matrix product, and the partial counts
-   are summed per pair. Groups over ``BLOCK`` sets are dealt out as pairs of blocks, each a task
-   of its own with bounded memory, so that no link is lost and no group is collected.
+   range keeps those above ``RARE``; at most ``HOT`` of them, the most frequent, are broadcast (a fixed size). They
+   only decide the order, never what is compared.
+2. candidates: two sets with Jaccard >= 0.8 share ``SHARED`` n-grams (fewer if they are that small) among the
+   first n - ceil(0.8 n) + ``SHARED`` of either one in that order. The order is cut into fragments, the
+   hash ranges; each counts the n-grams that pairs of a bucket of at most ``RARE`` sets share, and the partial
+   counts are summed per pair. A larger bucket links neighbours in order of size (a chain, not
+   all pairs), if their sizes allow 0.8. The components are the only groups inside which links can exist.
+3. verification: in each group the order is cut into fragments again, the overlap of all pairs is
+   counted fragment by fragment as a small matrix product, and the partial counts are summed per pair.
+   Groups over ``BLOCK`` sets are dealt out as pairs of blocks, each a task of its own with bounded
+   memory, so that no link is lost and no group is collected.
 
 Equal sets (exact copies) are one node, so a large group of copies costs one comparison.
 Hashes have 64 bits (n-grams) and 128 bits (whole sets); collisions are not checked further.
@@ -28,18 +29,24 @@ from pyspark.sql import functions as F
 
 from shopflow.llm.common import materialise, ranges_for, text_bytes, text_chunks
 from shopflow.llm.components import components
-from shopflow.llm.shingles import set_digest, shingle_sets
+from shopflow.llm.shingles import range_key, set_digest, shingle_sets
 
-RARE = 16            # n-grams in more sets than this come late in the order
-HOT = 1 << 18        # at most so many of them are told apart (2 MB broadcast)
+RARE = 8             # n-grams in more sets than this come late in the order
+HOT = 1 << 21        # at most so many of them are told apart (18 MB broadcast)
+SHARED = 4           # n-grams that candidates share at least
 BLOCK = 512          # sets compared in one task: two blocks at most
 BLOCK_GRAMS = 1 << 20
 FRAGMENT = 2048      # distinct n-grams in one fragment
 
 
+def shared_len(n):
+    """n-grams that a set of n shares at least, as a candidate, with another one."""
+    return np.minimum(SHARED, (4 * n + 4) // 5)
+
+
 def prefix_len(n: int) -> int:
-    """n-grams to look at so that Jaccard >= 0.8 with any other set shows."""
-    return n - (4 * n + 4) // 5 + 1 if n else 0
+    """n-grams to look at so that Jaccard >= 0.8 with any other set shows in ``shared_len`` of them."""
+    return n - (4 * n + 4) // 5 + int(shared_len(n)) if n else 0
 
 
 def _doc_sets(batches):
@@ -60,8 +67,6 @@ def _split(keys: np.ndarray, bits: int):
 
 
 def _count_packets(bits: int, gather: int = 1 << 20):
-    shift = np.uint64(32 - bits)
-
     def run(batches):
         def flush(held):
             keys, counts = np.unique(np.concatenate(held), return_counts=True)
@@ -77,7 +82,7 @@ def _count_packets(bits: int, gather: int = 1 << 20):
                 # n-grams that can reach a prefix unless most earlier ones are frequent
                 s = s[:2 * prefix_len(len(s))]
                 if len(s):
-                    held.append(s >> shift)
+                    held.append(range_key(s, bits))
                     size += len(s)
             if size >= gather:
                 yield flush(held)
@@ -96,17 +101,36 @@ def _frequent(pdf):
     first = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]]))
     total = np.add.reduceat(counts, first)
     keep = total > RARE
-    return pd.DataFrame({"gram": (int(pdf["rng"].iloc[0]) << 32) + keys[first][keep].astype(np.int64), "n": total[keep]})
+    keys, level = keys[first][keep], np.log2(total[keep]).astype(np.int32)
+    at = [np.flatnonzero(level == x) for x in range(level.max(initial=-1) + 1)]
+    return pd.DataFrame([(int(pdf["rng"].iloc[0]), x, len(a), keys[a].tobytes()) for x, a in enumerate(at) if len(a)],
+                        columns=["rng", "level", "n", "grams"]).astype({"rng": "int32", "level": "int32", "n": "int64"})
+
+
+def hot_grams(frequent: DataFrame, most: int = HOT) -> tuple[np.ndarray, np.ndarray]:
+    """(sorted keys, levels) of the most frequent n-grams, ``most`` at most, whole levels of frequency."""
+    levels, total, least = frequent.groupBy("level").agg(F.sum("n").alias("n")).orderBy(F.desc("level")).collect(), 0, 99
+    for r in levels:
+        total += r["n"]
+        if total > most:
+            break
+        least = r["level"]
+    rows = frequent.where(F.col("level") >= least).collect()
+    keys = [(np.uint64(r["rng"]) << np.uint64(32)) + np.frombuffer(r["grams"], np.uint32).astype(np.uint64) for r in rows]
+    level = [np.full(len(k), r["level"], np.uint8) for k, r in zip(keys, rows)]
+    if not keys:
+        return np.empty(0, np.uint64), np.empty(0, np.uint8)
+    keys, level = np.concatenate(keys), np.concatenate(level)
+    order = np.argsort(keys)
+    return keys[order], level[order]
 
 
 def _prefix_packets(bits: int, hot, gather: int = 1 << 19):
-    shift = np.uint64(32 - bits)
-
     def run(batches):
-        hot_keys, hot_counts = hot.value
+        hot_keys, hot_levels = hot.value
 
         def flush(held):
-            keys = np.concatenate([x[0] for x in held]) >> shift
+            keys = range_key(np.concatenate([x[0] for x in held]), bits)
             doc = np.repeat(np.arange(len(held)), [len(x[0]) for x in held])
             order = np.argsort(keys, kind="stable")
             keys, doc = keys[order], doc[order]
@@ -128,13 +152,13 @@ def _prefix_packets(bits: int, hot, gather: int = 1 << 19):
                     continue
                 p = prefix_len(n)
                 if len(hot_keys):
-                    keys = s >> shift
+                    keys = range_key(s, bits)
                     at = np.minimum(np.searchsorted(hot_keys, keys), len(hot_keys) - 1)
                     frequent = hot_keys[at] == keys
                     rare = s[~frequent]
                     if len(rare) < p:
                         late = s[frequent]
-                        late = late[np.lexsort((late, hot_counts[at[frequent]]))]
+                        late = late[np.lexsort((late, hot_levels[at[frequent]]))]
                         rare = np.concatenate([rare, late])
                 else:
                     rare = s
@@ -166,7 +190,8 @@ def _labels(a: np.ndarray, b: np.ndarray, n: int) -> np.ndarray:
         label = new
 
 
-def _chains(pdf):
+def _candidates(pdf):
+    """Of a hash range: pairs of sets with the n-grams they share in it, and chains through large buckets."""
     import pandas as pd
     grams, nodes, sizes = [], [], []
     for g, r, own, size in zip(pdf["grams"], pdf["refs"], pdf["nodes"], pdf["sizes"]):
@@ -175,20 +200,32 @@ def _chains(pdf):
         grams.append(g)
         nodes.append(np.frombuffer(own, np.int64)[ref])
         sizes.append(np.frombuffer(size, np.int32)[ref])
-    grams, nodes, sizes = map(np.concatenate, (grams, nodes, sizes))
-    order = np.argsort(grams, kind="stable")
-    g = grams[order]
-    same = g[1:] == g[:-1]
-    shared = np.concatenate([same, [False]]) | np.concatenate([[False], same])
-    order = order[shared]
-    order = order[np.lexsort((nodes[order], sizes[order], grams[order]))]
-    g, v, n = grams[order], nodes[order], sizes[order].astype(np.int64)
-    link = (g[1:] == g[:-1]) & (v[1:] != v[:-1]) & (5 * n[:-1] >= 4 * n[1:])
-    a, b = v[:-1][link], v[1:][link]
-    ids, both = np.unique(np.concatenate([a, b]), return_inverse=True)
-    label = _labels(both[:len(a)], both[len(a):], len(ids))
-    out = np.flatnonzero(label != np.arange(len(ids)))
-    return pd.DataFrame({"a": ids[out], "b": ids[label[out]]})
+    g, v, n = map(np.concatenate, (grams, nodes, sizes))
+    order = np.argsort(g, kind="stable")
+    same = g[order][1:] == g[order][:-1]
+    order = order[np.concatenate([same, [False]]) | np.concatenate([[False], same])]
+    order = order[np.lexsort((v[order], n[order], g[order]))]
+    g, v, n = g[order], v[order], n[order].astype(np.int64)
+    new = np.concatenate([[True], (g[1:] != g[:-1]) | (v[1:] != v[:-1])]) if len(g) else np.empty(0, bool)
+    g, v, n = g[new], v[new], n[new]  # copies are one set
+    size = np.bincount(np.cumsum(np.concatenate([[0], g[1:] != g[:-1]]).astype(int))) if len(g) else np.empty(0, int)
+    large = np.repeat(size, size) > RARE
+    out = []
+    for k in range(1, RARE):  # pairs k places apart in a small bucket
+        link = (g[k:] == g[:-k]) & ~large[k:] & (5 * n[:-k] >= 4 * n[k:])
+        a, b = v[:-k][link], v[k:][link]
+        out.append((np.minimum(a, b), np.maximum(a, b), shared_len(n[:-k][link])))
+    a, b, need = map(np.concatenate, zip(*out))
+    order = np.lexsort((b, a))
+    a, b, need = a[order], b[order], need[order]
+    first = np.flatnonzero(np.concatenate([[True], (a[1:] != a[:-1]) | (b[1:] != b[:-1])])) if len(a) else np.empty(0, int)
+    pairs = pd.DataFrame({"a": a[first], "b": b[first], "shared": np.diff([*first, len(a)]), "need": need[first]})
+    link = (g[1:] == g[:-1]) & large[1:] & (5 * n[:-1] >= 4 * n[1:])
+    ids, both = np.unique(np.concatenate([v[:-1][link], v[1:][link]]), return_inverse=True)
+    label = _labels(both[:link.sum()], both[link.sum():], len(ids))
+    off = np.flatnonzero(label != np.arange(len(ids)))
+    chains = pd.DataFrame({"a": ids[off], "b": ids[label[off]], "shared": SHARED, "need": SHARED})
+    return pd.concat([pairs, chains]).astype("int64")
 
 
 def _member_sets(batches):
@@ -262,13 +299,12 @@ def ngram_jaccard_join(docs: DataFrame) -> DataFrame:
     own = materialise(docs.mapInArrow(_doc_sets, "doc_id long, n long, hi long, lo long"), "sets")
 
     counted = (texts.mapInArrow(_count_packets(bits), "rng int, grams binary, counts binary")
-               .groupBy("rng").applyInPandas(_frequent, "gram long, n long"))
-    hot = counted.orderBy(F.desc("n"), "gram").limit(HOT).collect()
-    hot = sorted((r["gram"], r["n"]) for r in hot)
-    hot = spark.sparkContext.broadcast((np.array([x[0] for x in hot], np.uint64), np.array([x[1] for x in hot], np.int64)))
-    chains = (texts.mapInArrow(_prefix_packets(bits, hot), "rng int, grams binary, refs binary, nodes binary, sizes binary")
-              .groupBy("rng").applyInPandas(_chains, "a long, b long"))
-    groups = components(chains)
+               .groupBy("rng").applyInPandas(_frequent, "rng int, level int, n long, grams binary"))
+    hot = spark.sparkContext.broadcast(hot_grams(materialise(counted, "frequent")))
+    pairs = (texts.mapInArrow(_prefix_packets(bits, hot), "rng int, grams binary, refs binary, nodes binary, sizes binary")
+             .groupBy("rng").applyInPandas(_candidates, "a long, b long, shared long, need long")
+             .groupBy("a", "b").agg(F.sum("shared").alias("shared"), F.max("need").alias("need")).where("shared >= need"))
+    groups = components(pairs.select("a", "b"))
 
     classes = (own.where("hi is not null").groupBy("hi", "lo")
                .agg(F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("copies"), F.first("n").alias("n")))
@@ -276,7 +312,7 @@ def ngram_jaccard_join(docs: DataFrame) -> DataFrame:
     stats = members.groupBy("root").agg(
         F.greatest(F.ceil(F.count(F.lit(1)) / BLOCK), F.ceil(F.sum("n") / BLOCK_GRAMS)).cast("int").alias("blocks"))
     placed = members.join(stats, "root").withColumn("block", F.pmod(F.xxhash64("lo"), F.col("blocks")).cast("int"))
-    found = (docs.join(placed.drop("n"), docs["doc_id"].eqNullSafe(placed["rep"]))
+    found = (docs.join(placed.drop("n").hint("merge"), docs["doc_id"].eqNullSafe(placed["rep"]))
              .select("root", "blocks", "block", "hi", "lo", "copies", "text")
              .mapInArrow(_member_sets, "root long, blocks int, block int, hi long, lo long, copies long, grams binary")
              .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))

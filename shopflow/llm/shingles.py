@@ -97,6 +97,12 @@ def shingle_sets(texts: list, width: int = 5) -> list[np.ndarray]:
     return out
 
 
+def range_key(hashes: np.ndarray, bits: int) -> np.ndarray:
+    """Range (``bits`` bits) and 32 more bits of each hash, mixed again: the smallest hashes of a
+    text would else crowd the lowest ranges."""
+    return mix(hashes + np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(32 - bits)
+
+
 def set_digest(hashes: np.ndarray) -> tuple[int, int]:
     """128 bits that stand for a shingle set, as two signed 64-bit numbers."""
     d = hashlib.blake2b(hashes.tobytes(), digest_size=16).digest()
