@@ -1,7 +1,7 @@
 """Operator 8: removal of repeated 50-byte strings with partitioned suffix arrays.
 
 A corpus-wide suffix array is built in parts that never need each other. Every 50-byte window has
-an anchor, the smallest hash of its 20-byte grams: equal windows have equal anchors, so neighbouring
+an anchor, the smallest hash of its 34-byte grams: equal windows have equal anchors, so neighbouring
 windows with one anchor form a piece, and pieces of one anchor meet in one task.
 
 1. Anchors of all texts are shipped as packed hashes; each hash range names those that two
@@ -11,7 +11,7 @@ windows with one anchor form a piece, and pieces of one anchor meet in one task.
    than ``HOT`` texts hold are dealt out window by window instead, keyed by the window itself.
 3. A range sorts the distinct pieces of its anchors with two-stage suffix sorting, and adjacent common
    prefixes of 50 bytes give each window's smallest doc_id.
-4. Covered bytes are joined back to the texts and cut out.
+4. Covered bytes are joined to the texts that had named pieces (kept aside in step 2) and cut out.
 
 Copies of a text smaller in doc_id are removed whole. Hashes (64 bits, 44 as keys) choose what meets;
 windows themselves are compared byte by byte.
@@ -27,15 +27,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from shopflow.llm.common import materialise, ranges_for, text_bytes, text_chunks
-from shopflow.llm.ngram_join import _split
-from shopflow.llm.shingles import _powers, _splitmix, mix
+from shopflow.llm.shingles import _powers, _splitmix, mix, range_key
 from shopflow.llm.suffix import WINDOW, shared_windows
 
-GRAM = 20
+GRAM = 34
 HOT = 2000
 PART = 512               # windows in one piece at most
 LONG = 4 << 20           # longer texts are hashed part by part
-SORT_BYTES = 4 << 20     # of pieces sorted together
+SORT_BYTES = 1 << 20     # of pieces sorted together
 _BYTE: list = []
 
 
@@ -70,27 +69,28 @@ def pieces(text: bytes):
 
 
 def _anchor_packets(bits: int, gather: int = 1 << 19):
-    shift = np.uint64(32 - bits)
-
     def run(batches):
         def flush(held):
             keys = np.concatenate([x[0] for x in held])
             doc = np.repeat(np.arange(len(held)), [len(x[0]) for x in held])
-            order = np.argsort(keys, kind="stable")
-            keys, doc = keys[order], doc[order]
+            rng = (keys >> np.uint64(32)).astype(np.uint32)
+            order = np.argsort(rng, kind="stable")
+            keys, doc, rng = keys[order].astype(np.uint32), doc[order], rng[order]
             node = np.array([x[1] for x in held], np.int64)
             cols = [[], [], [], []]
-            for r, a, b in _split(keys, bits):
-                own, ref = np.unique(doc[a:b], return_inverse=True)
-                for c, v in zip(cols, (r, keys[a:b].astype(np.uint32).tobytes(), ref.astype(np.uint32 if len(own) > 65535 else np.uint16).tobytes(), node[own].tobytes())):
+            cuts = np.searchsorted(rng, np.arange((1 << bits) + 1))
+            for r in np.flatnonzero(np.diff(cuts)):
+                a, b = cuts[r], cuts[r + 1]
+                own, n = np.unique(doc[a:b], return_counts=True)
+                for c, v in zip(cols, (int(r), keys[a:b].tobytes(), n.astype(np.uint32).tobytes(), node[own].tobytes())):
                     c.append(v)
             return pa.RecordBatch.from_arrays([pa.array(cols[0], pa.int32()), *(pa.array(c, pa.binary()) for c in cols[1:])],
-                                              names=["rng", "anchors", "refs", "nodes"])
+                                              names=["rng", "anchors", "counts", "nodes"])
 
         held, total = [], 0
         for rows, texts in text_chunks(batches, "text"):
             for text, node in zip(texts, rows.column(rows.schema.get_field_index("dg")).to_pylist()):
-                keys = np.unique(pieces(text or b"")[0] >> shift)
+                keys = np.unique(range_key(pieces(text or b"")[0], bits))
                 if len(keys):
                     held.append((keys, node))
                     total += len(keys)
@@ -105,26 +105,22 @@ def _anchor_packets(bits: int, gather: int = 1 << 19):
 def _shared(pdf):
     """Of a hash range: for each text, the anchors that other texts hold too, and which are hot."""
     import pandas as pd
-    anchors, nodes = [], []
-    for g, r, own in zip(pdf["anchors"], pdf["refs"], pdf["nodes"]):
-        g = np.frombuffer(g, np.uint32)
-        ref = np.frombuffer(r, np.uint16 if len(r) == 2 * len(g) else np.uint32)
-        anchors.append(g)
-        nodes.append(np.frombuffer(own, np.int64)[ref])
-    g, v = np.concatenate(anchors), np.concatenate(nodes)
-    order = np.argsort(g, kind="stable")
-    g, v = g[order], v[order]
-    same = g[1:] == g[:-1]
-    keep = np.concatenate([same, [False]]) | np.concatenate([[False], same])
-    g, v = g[keep], v[keep]
-    order = np.lexsort((v, g))
-    g, v = g[order], v[order]
-    if len(g):  # copies of a text in several tasks are one text
-        keep = np.concatenate([[True], (g[1:] != g[:-1]) | (v[1:] != v[:-1])])
-        g, v = g[keep], v[keep]
-    _, at, n = np.unique(g, return_inverse=True, return_counts=True)
-    keep = n[at] > 1
-    g, v, n = g[keep], v[keep], n[at][keep]
+    names = np.unique(np.concatenate([np.frombuffer(x, np.int64) for x in pdf["nodes"]]))
+    held = []
+    for g, n, own in zip(pdf["anchors"], pdf["counts"], pdf["nodes"]):
+        place = np.searchsorted(names, np.frombuffer(own, np.int64)).astype(np.uint64)
+        held.append((np.frombuffer(g, np.uint32).astype(np.uint64) << np.uint64(32)) | np.repeat(place, np.frombuffer(n, np.uint32)))
+    both = np.concatenate(held)
+    del held
+    both.sort()
+    if len(both):  # copies of a text in several tasks are one text
+        both = both[np.concatenate([[True], both[1:] != both[:-1]])]
+    g = (both >> np.uint64(32)).astype(np.uint32)
+    first = np.flatnonzero(np.concatenate([[True], g[1:] != g[:-1]])) if len(g) else np.empty(0, np.int64)
+    n = np.diff(np.append(first, len(g)))
+    n = np.repeat(n, n)
+    keep = n > 1
+    g, v, n = g[keep], names[(both[keep] & np.uint64(0xFFFFFFFF)).astype(np.int64)], n[keep]
     order = np.argsort(v, kind="stable")
     g, v, hot = g[order], v[order], n[order] > HOT
     cuts = np.flatnonzero(np.concatenate([[True], v[1:] != v[:-1]])) if len(v) else np.empty(0, np.int64)
@@ -152,12 +148,12 @@ class _Holders:
                 for g, s in old[1]:
                     self.cover(old[0], g, s, s + len(content))
             else:
-                self.size += len(content) + 200
+                self.size += len(content) + 600
             self.best[key, content] = [doc, [(dg, start)]]
         elif doc == old[0]:
             old[1].append((dg, start))
         else:
-            self.size += 60
+            self.size += 130
             self.cover(doc, dg, start, start + len(content))
 
     def covered_columns(self) -> list:
@@ -184,44 +180,47 @@ def join_runs(runs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 PACKED = "rng int, dg long, doc long, keys binary, docs binary, dgs binary, starts binary, ends binary, blob binary"
 
 
+COLUMNS = PACKED.replace(",", "").split()[::2]
+TYPES = (pa.int32(), pa.int64(), pa.int64(), *[pa.binary()] * 6)
+COVERED, TEXT = -1, -2
+
+
+def _rows(rows: list) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate(TYPES)], names=COLUMNS)
+
+
 def _pack(held: _Holders, bits: int):
-    """The covered stretches (range -1) and, by hash range, the distinct pieces of a task."""
-    cols: list[list] = [[] for _ in range(9)]
-    for row in zip(*held.covered_columns()):
-        for c, v in zip(cols, (-1, row[0], row[1], None, None, None, row[2], row[3], None)):
-            c.append(v)
+    """The covered stretches and, by hash range, the distinct pieces of a task."""
+    rows = [(COVERED, dg, doc, None, None, None, a, b, None) for dg, doc, a, b in zip(*held.covered_columns())]
     by: dict[int, list] = {}
     for (key, content), (doc, places) in held.best.items():
         for dg, start in places:
             by.setdefault(key >> 32, []).append((key & 0xFFFFFFFF, doc, dg, start, content))
     for r, own in by.items():
-        ends = np.cumsum([len(x[4]) for x in own])
-        row = (r, None, None, np.array([x[0] for x in own], np.uint32).tobytes(), np.array([x[1] for x in own], np.int64).tobytes(),
-               np.array([x[2] for x in own], np.int64).tobytes(), np.array([x[3] for x in own], np.int64).tobytes(),
-               ends.astype(np.int64).tobytes(), b"".join(x[4] for x in own))
-        for c, v in zip(cols, row):
-            c.append(v)
-    types = (pa.int32(), pa.int64(), pa.int64(), *[pa.binary()] * 6)
-    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types)],
-                                      names=["rng", "dg", "doc", "keys", "docs", "dgs", "starts", "ends", "blob"])
-
+        rows.append((r, None, None, np.array([x[0] for x in own], np.uint32).tobytes(),
+                     *(np.array([x[k] for x in own], np.int64).tobytes() for k in (1, 2, 3)),
+                     np.cumsum([len(x[4]) for x in own]).astype(np.int64).tobytes(), b"".join(x[4] for x in own)))
+    return _rows(rows)
 
-def _cut_pieces(bits: int, gather: int = 24 << 20):
-    shift = np.uint64(32 - bits)
 
+def _cut_pieces(bits: int, gather: int = 32 << 20):
     def run(batches):
         held = _Holders()
         for rows, texts in text_chunks(batches, "text"):
+            aside = []
             col = lambda c: rows.column(rows.schema.get_field_index(c)).to_pylist()
             for text, doc, dg, named in zip(texts, col("doc"), col("dg"), col("named")):
                 keys, first, last = pieces(text or b"")
-                keys = keys >> shift
+                keys = range_key(keys, bits)
                 wanted = np.concatenate([(np.uint64(x["rng"]) << np.uint64(32)) + np.frombuffer(x["shared"], np.uint32) for x in named])
                 hot = np.concatenate([np.unpackbits(np.frombuffer(x["hot"], np.uint8), count=len(x["shared"]) // 4) for x in named])
                 order = np.argsort(wanted)
                 wanted, hot = wanted[order], hot[order]
                 at = np.minimum(np.searchsorted(wanted, keys), len(wanted) - 1)
-                for i in np.flatnonzero(wanted[at] == keys).tolist():
+                found = np.flatnonzero(wanted[at] == keys).tolist()
+                if found:
+                    aside.append((TEXT, dg, doc, None, None, None, None, None, text))
+                for i in found:
                     a, b = int(first[i]), int(last[i])
                     if hot[at[i]]:
                         for w in range(a, b + 1):
@@ -231,9 +230,11 @@ def _cut_pieces(bits: int, gather: int = 24 << 20):
                     else:
                         for w in range(a, b + 1, PART):
                             held.add(int(keys[i]), text[w:min(w + PART - 1, b) + WINDOW], doc, dg, w)
-                if held.size >= gather:
-                    yield _pack(held, bits)
-                    held = _Holders()
+                    if held.size >= gather:
+                        yield _pack(held, bits)
+                        held = _Holders()
+            if aside:
+                yield _rows(aside)
         if held.best or held.covered:
             yield _pack(held, bits)
     return run
@@ -276,26 +277,20 @@ def _sort_pieces(pdf):
 
 
 def _cut_out(batches):
-    for rows, texts in text_chunks(batches, "text"):
-        col = lambda c: rows.column(rows.schema.get_field_index(c)).to_pylist()
-        out = [[], [], [], []]
-        for text, copy, found in zip(texts, col("copy"), col("found")):
-            text = text or b""
-            if copy and len(text) >= WINDOW:
-                a, b = np.zeros(1, np.int64), np.array([len(text)])
-            else:
-                runs = [np.stack([np.frombuffer(x["starts"], np.int64), np.frombuffer(x["ends"], np.int64)], 1) for x in (found or []) if not copy]
-                a, b = join_runs(np.concatenate(runs) if runs else np.empty((0, 2), np.int64))
+    for rows, texts in text_chunks(batches, "blob"):
+        col = lambda c: rows.column(rows.schema.get_field_index(c))
+        out = [[], [], []]
+        for text, found in zip(texts, col("found").to_pylist()):
+            a, b = join_runs(np.concatenate([np.stack([np.frombuffer(x["starts"], np.int64), np.frombuffer(x["ends"], np.int64)], 1) for x in found]))
             kept, at = hashlib.sha256(), 0
             for x, y in zip(a.tolist(), b.tolist()):
                 kept.update(text[at:x])
                 at = y
             kept.update(text[at:])
-            for c, v in zip(out, (len(text), int((b - a).sum()), len(a), kept.hexdigest())):
+            for c, v in zip(out, (int((b - a).sum()), len(a), kept.hexdigest())):
                 c.append(v)
-        yield pa.RecordBatch.from_arrays(
-            [rows.column(rows.schema.get_field_index("doc_id")), *(pa.array(c, pa.int64()) for c in out[:3]), pa.array(out[3], pa.string())],
-            names=["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"])
+        yield pa.RecordBatch.from_arrays([col("dg"), col("doc"), pa.array(out[0], pa.int64()), pa.array(out[1], pa.int64()), pa.array(out[2], pa.string())],
+                                         names=["dg", "doc", "removed", "spans", "sha"])
 
 
 def remove_repeats(docs: DataFrame) -> DataFrame:
@@ -307,20 +302,30 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
     that repeat a doc_id don't act on each other. Other columns are ignored. An empty table gives no rows.
     """
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
-    bits = ranges_for(text_bytes(docs), 32 << 20, 32)
+    bits = ranges_for(text_bytes(docs))
     docs = docs.withColumns({"dg": F.xxhash64("text"), "doc": F.coalesce("doc_id", F.lit((1 << 63) - 1))})
-    classes = materialise(docs.groupBy("dg").agg(F.min("doc").alias("rep")), "texts")
-    shared = (docs.select("text", "dg").mapInArrow(_anchor_packets(bits), "rng int, anchors binary, refs binary, nodes binary")
+    texts = materialise(docs.select("doc_id", "doc", "dg", F.octet_length("text").cast("long").alias("n_bytes"), F.sha2("text", 256).alias("own_sha")), "texts")
+    classes = texts.groupBy(F.col("dg").alias("c_dg")).agg(F.min("doc").alias("rep"))
+    shared = (docs.select("text", "dg").mapInArrow(_anchor_packets(bits), "rng int, anchors binary, counts binary, nodes binary")
               .groupBy("rng").applyInPandas(_shared, "node long, rng int, shared binary, hot binary"))
     named = (shared.groupBy("node").agg(F.collect_list(F.struct("rng", "shared", "hot")).alias("named"))
-             .join(classes, F.col("node") == F.col("dg")).select("node", "rep", "named"))
-    cut = (docs.join(named, (F.col("dg") == F.col("node")) & (F.col("doc") == F.col("rep"))).select("text", "doc", "dg", "named")
+             .join(classes, F.col("node") == F.col("c_dg")).select("node", "rep", "named"))
+    cut = (docs.join(named.hint("merge"), (F.col("dg") == F.col("node")) & (F.col("doc") == F.col("rep"))).select("text", "doc", "dg", "named")
            .mapInArrow(_cut_pieces(bits), PACKED))
     cut = materialise(cut, "pieces")
-    sorted_out = cut.where("rng >= 0").drop("dg", "doc").groupBy("rng").applyInPandas(_sort_pieces, "dg long, doc long, starts binary, ends binary")
-    covered = cut.where("rng < 0").select("dg", "doc", "starts", "ends").union(sorted_out)
+    sorted_out = (cut.where("rng >= 0").drop("dg", "doc").groupBy("rng")
+                  .applyInPandas(_sort_pieces, "dg long, doc long, starts binary, ends binary"))
+    covered = cut.where(f"rng = {COVERED}").select("dg", "doc", "starts", "ends").union(sorted_out)
     covered = covered.groupBy(F.col("dg").alias("f_dg"), F.col("doc").alias("f_doc")).agg(F.collect_list(F.struct("starts", "ends")).alias("found"))
-    info = (classes.join(covered, (F.col("dg") == F.col("f_dg")) & (F.col("rep") == F.col("f_doc")), "left")
-            .select(F.col("dg").alias("i_dg"), "rep", "found"))
-    return (docs.join(info, F.col("dg") == F.col("i_dg")).select("doc_id", "text", (F.col("doc") > F.col("rep")).alias("copy"), "found")
-            .mapInArrow(_cut_out, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string"))
+    left = (cut.where(f"rng = {TEXT}").select("dg", "doc", "blob").join(covered, (F.col("dg") == F.col("f_dg")) & (F.col("doc") == F.col("f_doc")))
+            .select("dg", "doc", "found", "blob").mapInArrow(_cut_out, "dg long, doc long, removed long, spans long, sha string")
+            .groupBy(F.col("dg").alias("l_dg"), F.col("doc").alias("l_doc"))  # rows that repeat both id and text
+            .agg(F.first("removed").alias("removed"), F.first("spans").alias("spans"), F.first("sha").alias("sha")))
+    info = (classes.join(left, (F.col("c_dg") == F.col("l_dg")) & (F.col("rep") == F.col("l_doc")), "left")
+            .select("c_dg", "rep", "removed", "spans", "sha"))
+    whole = (F.col("doc") > F.col("rep")) & (F.col("n_bytes") >= WINDOW)
+    first = F.col("doc") == F.col("rep")
+    return texts.join(info, F.col("dg") == F.col("c_dg")).select(
+        "doc_id", "n_bytes", F.when(whole, F.col("n_bytes")).when(first, F.coalesce("removed", F.lit(0))).otherwise(0).cast("long").alias("n_removed"),
+        F.when(whole, 1).when(first, F.coalesce("spans", F.lit(0))).otherwise(0).cast("long").alias("n_spans"),
+        F.when(whole, F.sha2(F.lit("").cast("binary"), 256)).when(first, F.coalesce("sha", "own_sha")).otherwise(F.col("own_sha")).alias("kept_sha256"))
