@@ -1,7 +1,7 @@
 """Operator 8: removal of repeated 50-byte strings with partitioned suffix arrays.
 
 A corpus-wide suffix array is built in parts that never need each other. Every 50-byte window has
-an anchor, the smallest hash of its 34-byte grams: equal windows have equal anchors, so neighbouring
+an anchor, the smallest hash of its 26-byte grams: equal windows have equal anchors, so neighbouring
 windows with one anchor form a piece, and pieces of one anchor meet in one task.
 
 1. Anchors of all texts are shipped as packed hashes; each hash range names those that two
@@ -11,7 +11,7 @@ windows with one anchor form a piece, and pieces of one anchor meet in one task.
    than ``HOT`` texts hold are dealt out window by window instead, keyed by the window itself.
 3. A range sorts the distinct pieces of its anchors with two-stage suffix sorting, and adjacent common
    prefixes of 50 bytes give each window's smallest doc_id.
-4. Covered bytes are joined to the texts that had named pieces (kept aside in step 2) and cut out.
+4. Covered bytes are joined back to their texts and cut out.
 
 Copies of a text smaller in doc_id are removed whole. Hashes (64 bits, 44 as keys) choose what meets;
 windows themselves are compared byte by byte.
@@ -30,7 +30,7 @@ from shopflow.llm.common import materialise, ranges_for, text_bytes, text_chunks
 from shopflow.llm.shingles import _powers, _splitmix, mix, range_key
 from shopflow.llm.suffix import WINDOW, shared_windows
 
-GRAM = 34
+GRAM = 26
 HOT = 2000
 PART = 512               # windows in one piece at most
 LONG = 4 << 20           # longer texts are hashed part by part
@@ -182,7 +182,7 @@ PACKED = "rng int, dg long, doc long, keys binary, docs binary, dgs binary, star
 
 COLUMNS = PACKED.replace(",", "").split()[::2]
 TYPES = (pa.int32(), pa.int64(), pa.int64(), *[pa.binary()] * 6)
-COVERED, TEXT = -1, -2
+COVERED = -1
 
 
 def _rows(rows: list) -> pa.RecordBatch:
@@ -207,7 +207,6 @@ def _cut_pieces(bits: int, gather: int = 32 << 20):
     def run(batches):
         held = _Holders()
         for rows, texts in text_chunks(batches, "text"):
-            aside = []
             col = lambda c: rows.column(rows.schema.get_field_index(c)).to_pylist()
             for text, doc, dg, named in zip(texts, col("doc"), col("dg"), col("named")):
                 keys, first, last = pieces(text or b"")
@@ -217,10 +216,7 @@ def _cut_pieces(bits: int, gather: int = 32 << 20):
                 order = np.argsort(wanted)
                 wanted, hot = wanted[order], hot[order]
                 at = np.minimum(np.searchsorted(wanted, keys), len(wanted) - 1)
-                found = np.flatnonzero(wanted[at] == keys).tolist()
-                if found:
-                    aside.append((TEXT, dg, doc, None, None, None, None, None, text))
-                for i in found:
+                for i in np.flatnonzero(wanted[at] == keys).tolist():
                     a, b = int(first[i]), int(last[i])
                     if hot[at[i]]:
                         for w in range(a, b + 1):
@@ -233,8 +229,6 @@ def _cut_pieces(bits: int, gather: int = 32 << 20):
                     if held.size >= gather:
                         yield _pack(held, bits)
                         held = _Holders()
-            if aside:
-                yield _rows(aside)
         if held.best or held.covered:
             yield _pack(held, bits)
     return run
@@ -277,7 +271,7 @@ def _sort_pieces(pdf):
 
 
 def _cut_out(batches):
-    for rows, texts in text_chunks(batches, "blob"):
+    for rows, texts in text_chunks(batches, "text"):
         col = lambda c: rows.column(rows.schema.get_field_index(c))
         out = [[], [], []]
         for text, found in zip(texts, col("found").to_pylist()):
@@ -313,12 +307,12 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
     cut = (docs.join(named.hint("merge"), (F.col("dg") == F.col("node")) & (F.col("doc") == F.col("rep"))).select("text", "doc", "dg", "named")
            .mapInArrow(_cut_pieces(bits), PACKED))
     cut = materialise(cut, "pieces")
-    sorted_out = (cut.where("rng >= 0").drop("dg", "doc").groupBy("rng")
+    sorted_out = (cut.where(f"rng <> {COVERED}").drop("dg", "doc").groupBy("rng")
                   .applyInPandas(_sort_pieces, "dg long, doc long, starts binary, ends binary"))
     covered = cut.where(f"rng = {COVERED}").select("dg", "doc", "starts", "ends").union(sorted_out)
     covered = covered.groupBy(F.col("dg").alias("f_dg"), F.col("doc").alias("f_doc")).agg(F.collect_list(F.struct("starts", "ends")).alias("found"))
-    left = (cut.where(f"rng = {TEXT}").select("dg", "doc", "blob").join(covered, (F.col("dg") == F.col("f_dg")) & (F.col("doc") == F.col("f_doc")))
-            .select("dg", "doc", "found", "blob").mapInArrow(_cut_out, "dg long, doc long, removed long, spans long, sha string")
+    left = (docs.join(covered.hint("merge"), (F.col("dg") == F.col("f_dg")) & (F.col("doc") == F.col("f_doc")))
+            .select("dg", "doc", "found", "text").mapInArrow(_cut_out, "dg long, doc long, removed long, spans long, sha string")
             .groupBy(F.col("dg").alias("l_dg"), F.col("doc").alias("l_doc"))  # rows that repeat both id and text
             .agg(F.first("removed").alias("removed"), F.first("spans").alias("spans"), F.first("sha").alias("sha")))
     info = (classes.join(left, (F.col("c_dg") == F.col("l_dg")) & (F.col("rep") == F.col("l_doc")), "left")
