@@ -221,7 +221,8 @@ def write_warc(pages: DataFrame, folder: str) -> DataFrame:
 def read_warc(manifest: DataFrame, folder: str) -> DataFrame:
     """Records of the archives that ``manifest(archive, records)`` names: ``page_id``,
     ``payload_bytes``, ``payload_digest`` (bare hex SHA-1), ``record_type``, ``refers_to``, ``target_uri``, ``archive``."""
-    return manifest.repartition("archive").mapInArrow(
+    # one task an archive: by bytes of these few rows they would all meet in one
+    return manifest.repartition(max(1, manifest.count())).mapInArrow(
         _read_archives(_uri(folder)), "page_id long, payload_bytes long, payload_digest string, record_type string, "
                                       "refers_to long, target_uri string, archive string")
 
