@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import re
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -66,17 +65,9 @@ def season_of_month(ts: Column) -> Column:
             .when(m.between(9, 11), "autumn").otherwise("winter"))
 
 
-def quote_regex(s: str) -> str:
-    """Literal regex for a user string (Java ``\\Q..\\E`` quoting)."""
-    return "\\Q" + s.replace("\\E", "\\E\\\\E\\Q") + "\\E"
-
-
-def py_quote_regex(s: str) -> str:
-    return re.escape(s)
-
-
-def first_word(c: Column) -> Column:
-    return F.try_element_at(F.split(F.trim(c), r"\s+"), F.lit(1))
+def quote_regex(c: Column) -> Column:
+    """Literal regex for a user string (``\\Q..\\E`` quoting, also where it holds ``\\E``)."""
+    return F.concat(F.lit("\\Q"), F.replace(c, F.lit("\\E"), F.lit("\\E\\\\E\\Q")), F.lit("\\E"))
 
 
 def tokens(c: Column) -> Column:

@@ -43,7 +43,7 @@ def first_prop(*keys: str) -> Column:
 def to_int(c: Column) -> Column:
     """``int(float(x))`` with null on failure (truncation toward zero like Python)."""
     d = F.trim(c).try_cast("double")
-    return F.when(d.isNotNull() & ~F.isnan(d) & (F.abs(d) < 2.0 ** 31), d.cast("int"))
+    return F.when(d.isNotNull() & ~F.isnan(d) & (F.abs(d) < 2.0 ** 63), d.cast("bigint"))
 
 
 def brand() -> Column:

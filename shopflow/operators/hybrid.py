@@ -25,7 +25,7 @@ TEXT_FIELDS = ("title", "description", "brand")
 def clause_scores(queries: DataFrame, products: DataFrame, text_boost: float = 2.0,
                   title_knn=(100, 1.5), desc_knn=(100, 1.0)) -> DataFrame:
     """(qn, id, score): fused clause scores for distinct lower-cased query texts ``qn``."""
-    q = queries.select(F.col("qn").alias("qid_text")).distinct().withColumn("qid", F.xxhash64("qid_text"))
+    q = queries.select(F.col("qn").alias("qid_text")).distinct().withColumn("qid", F.col("qid_text"))
     parts = []
     for f in TEXT_FIELDS:
         s = TS.bm25_scores(q, products.select("id", f), q_id="qid", q_text="qid_text", d_id="id", d_text=f)

@@ -151,7 +151,7 @@ def raw_violations(raw: DataFrame, text_col: str = "value") -> DataFrame:
     the typed rules (lengths, ranges, pattern, sale flag, ages) then run on values
     whose JSON type fits the rule, as the reference's type-guarded constraint checks do.
     """
-    v = raw.select(F.parse_json(F.col(text_col)).alias("_v"),
+    v = raw.select(F.try_parse_json(F.col(text_col)).alias("_v"),
                    F.json_object_keys(F.col(text_col)).alias("_keys"))
     cols, typed = [], []
     for f, accepted in EXPECTED_TYPES.items():

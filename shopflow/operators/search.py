@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from shopflow.functions.text import quote_regex  # noqa: F401  (re-exported for callers)
+from shopflow.functions.text import quote_regex
 from shopflow.operators import textmatch as TM
 from shopflow.operators.topk import top_k
 
@@ -144,11 +144,9 @@ def facets(df: DataFrame, group: list[str], fields: list[str], top: int = 10) ->
         F.col("rank").cast("int").alias("rank"))
 
 
-def facets_matched(requests: DataFrame, products: DataFrame, max_total: int = 1000) -> DataFrame:
-    """A2: facets over each search key's matched set, only when 0 < total < max_total."""
+def facets_matched(requests: DataFrame, products: DataFrame) -> DataFrame:
+    """A2: facets over each search key's matched set, whatever its size."""
     m = matched_set(requests, products)
-    totals = m.groupBy("qn", "filter_key").agg(F.count(F.lit(1)).alias("total"))
-    m = m.join(totals.where(F.col("total") < max_total), ["qn", "filter_key"]).drop("total")
     fields = ["brand", "color", "productType", "isOnSale", "seasons"]
     rows = m.join(products.select("id", *fields), "id")
     return facets(rows, ["qn", "filter_key"], fields).withColumnRenamed("qn", "query")
@@ -187,13 +185,13 @@ def prefix_suggest(requests: DataFrame, products: DataFrame) -> DataFrame:
             .select("query_id", F.col("rank").cast("int").alias("rank"), "id", "title", "brand"))
 
 
-def fuzzy_suggest(requests: DataFrame, products: DataFrame, min_gram: int = 2, max_gram: int = 15) -> DataFrame:
+def fuzzy_suggest(requests: DataFrame, products: DataFrame, min_gram: int = 2) -> DataFrame:
     """Autocomplete on title tokens' edge grams with at most one edit.
 
     Score 2 for an exact gram, 1 for a one-edit gram; order score desc, id asc.
     """
     keys = requests.groupBy("prefix").agg(F.max("lim").alias("max_lim"))
-    grams = TM.token_edge_grams(products, min_gram, max_gram)
+    grams = TM.token_edge_grams(products, min_gram)
     close = TM.one_edit_matches(keys.select(F.col("prefix").alias("q")), grams)
     hits = (close.join(grams, "gram").groupBy(F.col("q").alias("prefix"), "id")
             .agg(F.min("dist").alias("dist"))
@@ -241,7 +239,7 @@ def consolidated_products(queries: DataFrame, products: DataFrame, max_col: str
     qs = queries.groupBy("query").agg(F.max(max_col).alias("mx"))
     text = _product_text(products, ["title", "description"])
     hits = TM.substring_matches(qs.select(F.col("query").alias("q")), text)
-    pat = F.concat(F.lit("(?iU)\\b\\Q"), F.col("q"), F.lit("\\E\\b"))
+    pat = F.concat(F.lit("(?iU)\\b"), quote_regex(F.col("q")), F.lit("\\b"))
     cand = (hits.join(text, "id").join(qs, hits.q == qs.query)
             .withColumn("is_exact", F.regexp(F.col("text"), pat)))
     exact = top_k(cand.where("is_exact"), ["query"], [F.asc("id")], F.col("mx"), "erank")

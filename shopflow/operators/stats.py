@@ -6,7 +6,8 @@ sort each group inside a single task; a hot group (a third of the log) would the
 sit in one task. Instead the values are range-partitioned on ``(group, value)``
 so a hot group spans many partitions, each partition is sorted locally, and only
 a tiny ``(partition, group) -> count`` table is used to turn a global rank into a
-(partition, position) address.
+(partition, position) address. The sorted table is written once (reliable checkpoint):
+range bounds are sampled, so a second evaluation could number the rows otherwise.
 """
 
 from __future__ import annotations
@@ -16,6 +17,8 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from shopflow.session import checkpoint_dir
+
 
 def rank_pick(df: DataFrame, group: Sequence[str], value: str,
               fractions: dict[str, float]) -> DataFrame:
@@ -27,6 +30,8 @@ def rank_pick(df: DataFrame, group: Sequence[str], value: str,
          .withColumn("_pid", F.spark_partition_id())
          # position inside the partition: the id is (partition << 33) + row index
          .withColumn("_pos", F.monotonically_increasing_id() - F.shiftleft(F.col("_pid").cast("long"), 33)))
+    checkpoint_dir(df.sparkSession)
+    s = s.checkpoint()
     seg = s.groupBy("_pid", *group).agg(F.count(F.lit(1)).alias("_c"), F.min("_pos").alias("_first"))
     gw = Window.partitionBy(*group) if group else Window.partitionBy(F.lit(0))
     seg = (seg.withColumn("_n", F.sum("_c").over(gw))

@@ -76,14 +76,14 @@ def prefix_matches(prefixes: DataFrame, docs: DataFrame, p_col: str = "prefix",
             .join(edge_grams(docs, id_col, text_col), "gram").select("prefix", "id"))
 
 
-def token_edge_grams(docs: DataFrame, min_gram: int = 2, max_gram: int = 15,
+def token_edge_grams(docs: DataFrame, min_gram: int = 2,
                      id_col: str = "id", text_col: str = "title") -> DataFrame:
-    """(gram, id): leading substrings (lengths min..max) of every whitespace token of the text."""
+    """(gram, id): leading substrings (``min_gram`` characters and more) of every whitespace token of the text."""
     toks = docs.select(F.col(id_col).alias("id"),
                        F.explode(F.split(F.lower(F.col(text_col)), r"\s+")).alias("tok"))
     toks = toks.where(F.length("tok") >= min_gram)
     return (toks.select("id", F.explode(F.transform(
-        F.sequence(F.lit(min_gram), F.least(F.length("tok"), F.lit(max_gram))),
+        F.sequence(F.lit(min_gram), F.length("tok")),
         lambda i: F.substring("tok", 1, i))).alias("gram")).distinct())
 
 
@@ -91,7 +91,7 @@ def _deletions(s: Column) -> Column:
     """The string itself and every single-character deletion of it."""
     return F.array_union(F.array(s), F.transform(
         F.sequence(F.lit(1), F.length(s)),
-        lambda i: F.concat(F.substring(s, 1, i - 1), F.substring(s, i + 1, 1 << 20))))
+        lambda i: F.concat(F.substring(s, 1, i - 1), F.substr(s, i + 1))))
 
 
 def one_edit_matches(queries: DataFrame, grams: DataFrame, q_col: str = "q") -> DataFrame:

@@ -20,7 +20,6 @@ from pyspark.sql import functions as F
 from shopflow.operators.topk import top_k
 from shopflow.session import checkpoint_dir
 
-OUT_SCHEMA = "qid long, cid long, sim double"
 
 
 def _blocks(n_rows: int, block_rows: int) -> int:
@@ -61,12 +60,16 @@ def _scorer(k: int | None, threshold: float | None, exclude_self: bool):
             out_q.append(np.full(len(sel), qids[i]))
             out_c.append(ids[sel])
             out_s.append(row[sel])
-        return pd.DataFrame({"qid": np.concatenate(out_q).astype("int64"),
-                             "cid": np.concatenate(out_c).astype("int64"),
+        return pd.DataFrame({"qid": np.concatenate(out_q), "cid": np.concatenate(out_c),
                              "sim": np.concatenate(out_s).astype("float64")})
     return score
 
 
+def _id(df: DataFrame, name: str) -> Column:
+    """An id column: whole numbers as bigint, any other type as it is."""
+    return F.col(name).cast("bigint") if dict(df.dtypes)[name] in ("tinyint", "smallint", "int", "bigint") else F.col(name)
+
+
 def knn(queries: DataFrame, corpus: DataFrame, k: int | None = 10, threshold: float | None = None,
         q_id: str = "id", q_vec: str = "vec", c_id: str = "id", c_vec: str = "vec",
         exclude_self: bool = False, block_rows: int = 2048) -> DataFrame:
@@ -85,15 +88,16 @@ def knn(queries: DataFrame, corpus: DataFrame, k: int | None = 10, threshold: fl
     qb, cb = _blocks(nq, block_rows), _blocks(nc, block_rows)
     # queries are replicated to every corpus block and corpus rows to every query block
     q = queries.where(F.col(q_vec).isNotNull()).select(
-        F.col(q_id).cast("long").alias("id"), F.col(q_vec).alias("vec"),
+        _id(queries, q_id).alias("id"), F.col(q_vec).alias("vec"),
         F.pmod(F.xxhash64(F.col(q_id)), F.lit(qb)).cast("int").alias("qb"),
         F.explode(F.sequence(F.lit(0), F.lit(cb - 1))).alias("cb"))
     c = corpus.where(F.col(c_vec).isNotNull()).select(
-        F.col(c_id).cast("long").alias("id"), F.col(c_vec).alias("vec"),
+        _id(corpus, c_id).alias("id"), F.col(c_vec).alias("vec"),
         F.explode(F.sequence(F.lit(0), F.lit(qb - 1))).alias("qb"),
         F.pmod(F.xxhash64(F.col(c_id)), F.lit(cb)).cast("int").alias("cb"))
     scored = (q.groupBy("qb", "cb").cogroup(c.groupBy("qb", "cb"))
-              .applyInPandas(_scorer(k, threshold, exclude_self), OUT_SCHEMA))
+              .applyInPandas(_scorer(k, threshold, exclude_self),
+                             f"qid {dict(q.dtypes)['id']}, cid {dict(c.dtypes)['id']}, sim double"))
     if threshold is not None:
         return scored
     return top_k(scored, ["qid"], [F.desc("sim"), F.asc("cid")], k)

@@ -44,8 +44,7 @@ fr AS (SELECT *, ROW_NUMBER() OVER ({part} ORDER BY count DESC, value) AS rank F
 
 @register("facets_matched", f"""
 WITH {PROD}, {REQ}, {MATCHED},
-mp AS (SELECT m.qn AS query, m.filter_key, p.* FROM m JOIN tot USING (qn, filter_key) JOIN prod p ON p.id = m.id
-       WHERE tot.total < 1000),
+mp AS (SELECT m.qn AS query, m.filter_key, p.* FROM m JOIN tot USING (qn, filter_key) JOIN prod p ON p.id = m.id),
 {_facet_sql('mp', 'query, filter_key')}
 SELECT query, filter_key, field, value, count, CAST(rank AS INTEGER) AS rank FROM fr WHERE rank <= 10""")
 def facets_matched(spark, sf_dir):
@@ -99,7 +98,7 @@ def prefix_suggest(spark, sf_dir):
 @register("fuzzy_suggest", f"""
 WITH {PROD}, {SUGGEST},
 tok AS (SELECT id, unnest(regexp_split_to_array(lower(title), '\\s+')) AS t FROM prod),
-g AS (SELECT DISTINCT id, substr(t, 1, L) AS gram FROM tok, range(2, 16) r(L) WHERE length(t) >= 2 AND L <= length(t)),
+g AS (SELECT DISTINCT id, substr(t, 1, L) AS gram FROM tok, range(2, 65536) r(L) WHERE length(t) >= 2 AND L <= length(t)),
 q AS (SELECT DISTINCT prefix FROM sreq WHERE length(prefix) > 0),
 h AS (SELECT q.prefix, g.id, MIN(levenshtein(lower(q.prefix), g.gram)) AS d FROM q JOIN g
       ON levenshtein(lower(q.prefix), g.gram) <= 1 GROUP BY ALL),

@@ -41,17 +41,20 @@ def build_session(app: str = "shopflow", cpus: str | int = "*",
 def checkpoint_dir(spark: SparkSession) -> str:
     """The shared folder the cluster names in ``spark.checkpoint.dir``.
 
-    Only when the session leaves it unset (local tests) is a fresh scratch
-    folder created and registered.
+    Only when a session with a local master leaves it unset (tests) is a fresh scratch
+    folder created and registered; on a cluster executors would not share it.
     """
     sc = spark.sparkContext
     path = spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
-    if not path:  # unset: local runs and tests only
+    if not path:
+        if not (sc.master or "").startswith("local") or sc.master.startswith("local-cluster"):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         path = tempfile.mkdtemp(prefix="shopflow-ckpt-", dir=os.environ.get("TMPDIR", "/tmp"))
         try:
             spark.conf.set("spark.checkpoint.dir", path)
         except Exception:  # noqa: BLE001 - some sessions reject core settings at runtime
             pass
-    if not sc.getCheckpointDir():
+    # Spark keeps checkpoints in a folder of its own below the one that is set
+    if not sc.getCheckpointDir() or not sc.getCheckpointDir().removeprefix("file:").startswith(path.removeprefix("file:").removeprefix("//")):
         sc.setCheckpointDir(path)
-    return sc.getCheckpointDir() or path
+    return path

@@ -38,9 +38,16 @@ def _events_with_product(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def filter_key(filters: Column) -> Column:
-    """Canonical text of a filter map: sorted ``key=value`` joined by ``&`` (F19 fingerprint input)."""
+    """Canonical text of a filter map: sorted ``key=value`` joined by ``&`` (F19 fingerprint input).
+
+    ``%``, ``=`` and ``&`` inside keys and values are escaped, so different maps have different keys.
+    """
+    def safe(c):
+        for plain, code in (("%", "%25"), ("=", "%3D"), ("&", "%26")):
+            c = F.replace(c, F.lit(plain), F.lit(code))
+        return c
     return F.array_join(F.array_sort(F.transform(
-        F.map_entries(filters), lambda e: F.concat(e["key"], F.lit("="), e["value"]))), "&")
+        F.map_entries(filters), lambda e: F.concat(safe(e["key"]), F.lit("="), safe(e["value"])))), "&")
 
 
 def search_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -76,7 +83,7 @@ def suggest_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
     et = F.col("event_type")
     prefix = (F.when(et == "view", F.substring(name, 1, 2)).when(et == "click", F.substring(name, 1, 3))
               .when(et == "purchase", F.substring(name, 1, 4)).when(et == "signup", F.substring(w2, 1, 5))
-              .otherwise(F.concat(F.substring(w2, 1, 1), F.substring(w2, 3, 1 << 20))))
+              .otherwise(F.concat(F.substring(w2, 1, 1), F.substr(w2, F.lit(3)))))
     return ev.select(F.col("event_id").alias("query_id"), prefix.alias("prefix"), F.lit(5).alias("lim"))
 
 
