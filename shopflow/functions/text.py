@@ -65,6 +65,11 @@ def season_of_month(ts: Column) -> Column:
             .when(m.between(9, 11), "autumn").otherwise("winter"))
 
 
+def matches_pattern(c: Column, pattern: str) -> Column:
+    """The opt-in raw pattern: case-insensitive beyond ASCII too."""
+    return F.coalesce(F.regexp_like(c, F.lit("(?iu)" + pattern)), F.lit(False))
+
+
 def quote_regex(c: Column) -> Column:
     """Literal regex for a user string (``\\Q..\\E`` quoting, also where it holds ``\\E``)."""
     return F.concat(F.lit("\\Q"), F.replace(c, F.lit("\\E"), F.lit("\\E\\\\E\\Q")), F.lit("\\E"))

@@ -95,13 +95,12 @@ def matched_set(requests: DataFrame, products: DataFrame,
 def search_page(requests: DataFrame, products: DataFrame) -> DataFrame:
     """T7 + W2 + D4: per request the page ``off+1..off+lim`` (id order) and the pre-pagination total."""
     all_keys = search_keys(requests)
-    keys = all_keys.select("qn", "filter_key", "max_end")
     m = matched_set(requests, products, keys=all_keys)
     totals = m.groupBy("qn", "filter_key").agg(F.count(F.lit(1)).alias("total"))
-    ranked = top_k(m.join(keys, ["qn", "filter_key"]), ["qn", "filter_key"], [F.asc("id")],
+    ranked = top_k(m, ["qn", "filter_key"], [F.asc("id")],
                    max_of(requests, F.col("off") + F.col("lim")) or 0)
     req = requests.select("query_id", F.lower("query").alias("qn"), "filter_key", "off", "lim")
-    page = (req.join(ranked.drop("max_end"), ["qn", "filter_key"])
+    page = (req.join(ranked, ["qn", "filter_key"])
             .where((F.col("rank") > F.col("off")) & (F.col("rank") <= F.col("off") + F.col("lim"))))
     return (page.join(totals, ["qn", "filter_key"])
             .join(products.select("id", "title"), "id")
@@ -165,11 +164,10 @@ def any_term_search(requests: DataFrame, products: DataFrame) -> DataFrame:
          .join(keys.select("qn", "filter_key", "filters"), ["qn", "filter_key"])
          .join(products, "id").where(pred).select("qn", "filter_key", "id"))
     totals = m.groupBy("qn", "filter_key").agg(F.count(F.lit(1)).alias("total"))
-    ranked = top_k(m.join(keys.select("qn", "filter_key", "max_end"), ["qn", "filter_key"]),
-                   ["qn", "filter_key"], [F.asc("id")],
+    ranked = top_k(m, ["qn", "filter_key"], [F.asc("id")],
                    max_of(requests, F.col("off") + F.col("lim")) or 0)
     req = requests.select("query_id", F.lower("query").alias("qn"), "filter_key", "lim")
-    return (req.join(ranked.drop("max_end"), ["qn", "filter_key"]).where(F.col("rank") <= F.col("lim"))
+    return (req.join(ranked, ["qn", "filter_key"]).where(F.col("rank") <= F.col("lim"))
             .join(totals, ["qn", "filter_key"]).join(products.select("id", "title"), "id")
             .select("query_id", F.col("rank").cast("int").alias("rank"), "id", "title",
                     F.col("total").cast("bigint").alias("total")))
@@ -179,8 +177,8 @@ def prefix_suggest(requests: DataFrame, products: DataFrame) -> DataFrame:
     """Titles starting with the prefix (case-insensitive), first ``lim`` by id."""
     keys = requests.groupBy("prefix").agg(F.max("lim").alias("max_lim"))
     hits = TM.prefix_matches(keys, products)
-    ranked = top_k(hits.join(keys, "prefix"), ["prefix"], [F.asc("id")], max_of(requests, F.col("lim")) or 0)
-    return (requests.join(ranked.drop("max_lim"), "prefix").where(F.col("rank") <= F.col("lim"))
+    ranked = top_k(hits, ["prefix"], [F.asc("id")], max_of(requests, F.col("lim")) or 0)
+    return (requests.join(ranked, "prefix").where(F.col("rank") <= F.col("lim"))
             .join(products.select("id", "title", "brand"), "id")
             .select("query_id", F.col("rank").cast("int").alias("rank"), "id", "title", "brand"))
 
@@ -196,12 +194,18 @@ def fuzzy_suggest(requests: DataFrame, products: DataFrame, min_gram: int = 2) -
     hits = (close.join(grams, "gram").groupBy(F.col("q").alias("prefix"), "id")
             .agg(F.min("dist").alias("dist"))
             .withColumn("score", F.when(F.col("dist") == 0, 2.0).otherwise(1.0)))
-    ranked = top_k(hits.join(keys, "prefix"), ["prefix"], [F.desc("score"), F.asc("id")], max_of(requests, F.col("lim")) or 0)
-    return (requests.join(ranked.drop("max_lim"), "prefix").where(F.col("rank") <= F.col("lim"))
+    ranked = top_k(hits, ["prefix"], [F.desc("score"), F.asc("id")], max_of(requests, F.col("lim")) or 0)
+    return (requests.join(ranked, "prefix").where(F.col("rank") <= F.col("lim"))
             .join(products.select("id", "title", "brand"), "id")
             .select("query_id", F.col("rank").cast("int").alias("rank"), "id", "title", "brand", "score"))
 
 
+def _first(df: DataFrame, order: list, most: int | None, times: int = 1, rank_col: str = "rank") -> DataFrame:
+    """The first ``times * mx`` rows of each query: the largest limit of all as a literal, so that a
+    popular query is cut before the shuffle, then each query's own."""
+    return top_k(df, ["query"], order, (most or 0) * times, rank_col).where(F.col(rank_col) <= F.col("mx") * times)
+
+
 def category_search(queries: DataFrame, products: DataFrame, max_col: str = "max_categories") -> DataFrame:
     """Categories whose name or slug contains the query; product count per category id."""
     cats = products.select("id", F.explode("categories").alias("c")).select(
@@ -215,7 +219,7 @@ def category_search(queries: DataFrame, products: DataFrame, max_col: str = "max
     hits = TM.substring_matches(qs.select(F.col("query").alias("q")), dim_text, "q", "key", "text")
     per_cat = (hits.join(dim_text, "key").groupBy(F.col("q").alias("query"), "cid")
                .agg(F.min("name").alias("name"), F.min("slug").alias("slug"), F.sum("n").alias("product_count")))
-    ranked = top_k(per_cat.join(qs, "query"), ["query"], [F.desc("product_count"), F.asc("cid")], F.col("mx"))
+    ranked = _first(per_cat.join(qs, "query"), [F.desc("product_count"), F.asc("cid")], max_of(queries, F.col(max_col)))
     return ranked.select("query", F.col("rank").cast("int").alias("rank"), F.col("cid").alias("id"), "name", "slug",
                          F.col("product_count").cast("bigint").alias("product_count"))
 
@@ -228,7 +232,7 @@ def brand_search(queries: DataFrame, products: DataFrame, max_col: str = "max_br
                                 brands.select(F.col("brand").alias("key"), F.col("brand").alias("text")),
                                 "q", "key", "text")
     per = hits.join(brands, hits.key == brands.brand).select(F.col("q").alias("query"), "brand", "n")
-    ranked = top_k(per.join(qs, "query"), ["query"], [F.desc("n"), F.asc("brand")], F.col("mx"))
+    ranked = _first(per.join(qs, "query"), [F.desc("n"), F.asc("brand")], max_of(queries, F.col(max_col)))
     return ranked.select("query", F.col("rank").cast("int").alias("rank"), F.col("brand").alias("id"),
                          F.col("brand").alias("name"), F.col("n").cast("bigint").alias("product_count"))
 
@@ -242,14 +246,15 @@ def consolidated_products(queries: DataFrame, products: DataFrame, max_col: str
     pat = F.concat(F.lit("(?iU)\\b"), quote_regex(F.col("q")), F.lit("\\b"))
     cand = (hits.join(text, "id").join(qs, hits.q == qs.query)
             .withColumn("is_exact", F.regexp(F.col("text"), pat)))
-    exact = top_k(cand.where("is_exact"), ["query"], [F.asc("id")], F.col("mx"), "erank")
-    sub = top_k(cand.where(F.length("query") >= 3), ["query"], [F.asc("id")], F.col("mx") * 2, "srank")
+    most = max_of(queries, F.col(max_col))
+    exact = _first(cand.where("is_exact"), [F.asc("id")], most, rank_col="erank")
+    sub = _first(cand.where(F.length("query") >= 3), [F.asc("id")], most, 2, "srank")
     ngram = sub.join(exact.select("query", "id"), ["query", "id"], "left_anti")
     merged = (exact.select("query", "id", "mx", F.lit(1.0).alias("score"), F.lit("exact").alias("matchType"),
                            F.lit(0).alias("src"), F.col("erank").alias("srank"))
               .unionByName(ngram.select("query", "id", "mx", F.lit(0.8).alias("score"), F.lit("ngram").alias("matchType"),
                                         F.lit(1).alias("src"), "srank")))
-    ranked = top_k(merged, ["query"], [F.desc("score"), F.asc("src"), F.asc("srank")], F.col("mx"))
+    ranked = _first(merged, [F.desc("score"), F.asc("src"), F.asc("srank")], most)
     return (ranked.join(products.select("id", "title"), "id")
             .select("query", F.col("rank").cast("int").alias("rank"), "id", "title", "score", "matchType"))
 
@@ -279,7 +284,7 @@ def ngram_search(requests: DataFrame, products: DataFrame, min_gram: int = 3, ma
     pg = products.select("id", F.explode(grams(F.col("title"))).alias("gram"))
     hits = (qg.join(pg, "gram").groupBy("qn", "nq", "id").agg(F.count(F.lit(1)).alias("hit"))
             .select("qn", "id", F.round(F.col("hit") / F.col("nq"), 6).alias("score")))
-    ranked = top_k(hits.join(qs, "qn"), ["qn"], [F.desc("score"), F.asc("id")], max_of(requests, F.col("lim")) or 0)
+    ranked = top_k(hits, ["qn"], [F.desc("score"), F.asc("id")], max_of(requests, F.col("lim")) or 0)
     req = requests.select("query_id", F.lower("query").alias("qn"), "lim")
     return (req.join(ranked, "qn").where(F.col("rank") <= F.col("lim"))
             .select("query_id", F.col("rank").cast("int").alias("rank"), "id", "score"))

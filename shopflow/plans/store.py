@@ -176,3 +176,38 @@ def batch_import(spark, sf_dir):
         F.lit("orderlines").alias("table_name"), "processed", F.col("processed").alias("inserted"),
         F.lit(0).cast("bigint").alias("updated"))
     return prod.unionByName(lines)
+
+
+@register("delete_all_products", """
+WITH lp AS (SELECT DISTINCT l_orderkey AS o, l_partkey AS p FROM lineitem WHERE l_orderkey IS NOT NULL AND l_partkey IS NOT NULL),
+pairs AS (SELECT a.p, b.p FROM lp a JOIN lp b ON a.o = b.o AND a.p < b.p GROUP BY a.p, b.p)
+SELECT 'products' AS table_name, COUNT(*) AS deleted, CAST(0 AS BIGINT) AS remaining FROM part
+UNION ALL SELECT 'product_pairs', COUNT(*), CAST(0 AS BIGINT) FROM pairs""")
+def delete_all_products(spark, sf_dir):
+    """Every product goes, and with them the derived pairs."""
+    return ST.delete_all({"products": TB.read(spark, sf_dir, "part"),
+                          "product_pairs": PR.pair_counts(TB.basket_lines(spark, sf_dir))})[1]
+
+
+@register("delete_all_orders", """
+SELECT 'orderlines' AS table_name, COUNT(*) AS deleted, CAST(0 AS BIGINT) AS remaining FROM lineitem""")
+def delete_all_orders(spark, sf_dir):
+    """S15."""
+    return ST.delete_all({"orderlines": TB.read(spark, sf_dir, "lineitem")})[1]
+
+
+@register("remaining_after_delete", """
+SELECT p_partkey AS id, p_name AS title FROM part WHERE p_partkey NOT IN (SELECT l_partkey FROM lineitem WHERE l_returnflag = 'R' AND l_quantity >= 49)""")
+def remaining_after_delete(spark, sf_dir):
+    """The catalogue without the products returned in bulk (its rows, not a count)."""
+    gone = TB.read(spark, sf_dir, "lineitem").where("l_returnflag = 'R' and l_quantity >= 49").select(F.col("l_partkey").alias("id"))
+    return ST.delete_keys(TB.read(spark, sf_dir, "part").select(F.col("p_partkey").alias("id"), F.col("p_name").alias("title")), gone, "id")
+
+
+@register("regex_products", """
+SELECT p_partkey AS id, p_type AS category, p_brand AS brand FROM part
+WHERE regexp_matches(p_type, '(?i)^(promo|small).*(tin|steel)$') OR regexp_matches(p_brand, '(?i)#1[0-9]')""")
+def regex_products(spark, sf_dir):
+    """The opt-in raw pattern, case-insensitive, on category and brand."""
+    p = TB.read(spark, sf_dir, "part").select(F.col("p_partkey").alias("id"), F.col("p_type").alias("category"), F.col("p_brand").alias("brand"))
+    return p.where(T.matches_pattern(F.col("category"), "^(promo|small).*(tin|steel)$") | T.matches_pattern(F.col("brand"), "#1[0-9]"))

@@ -63,6 +63,16 @@ def delete_counts(current: DataFrame, keys: DataFrame, key: str) -> DataFrame:
                  F.count_if(F.col("_del").isNull()).alias("remaining"))
 
 
+def delete_all(tables: dict[str, DataFrame]) -> tuple[dict[str, DataFrame], DataFrame]:
+    """The emptied tables and (table_name, deleted, remaining); a table derived from another
+    (the product pairs) is listed with it and goes too."""
+    counts = None
+    for name, t in tables.items():
+        c = t.agg(F.count(F.lit(1)).alias("deleted")).select(F.lit(name).alias("table_name"), "deleted", F.lit(0).cast("bigint").alias("remaining"))
+        counts = c if counts is None else counts.unionByName(c)
+    return {name: t.limit(0) for name, t in tables.items()}, counts
+
+
 def lookup(ids: DataFrame, table: DataFrame, key: str = "id", cols: tuple[str, ...] = ("title",)) -> DataFrame:
     """Every requested id with ``found`` and the row's columns (nulls when missing)."""
     t = table.select(key, *cols).withColumn("found", F.lit(True))
