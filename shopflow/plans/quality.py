@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from pyspark.sql import functions as F
+
 from shopflow.operators import quality as Q
 from shopflow.plans.registry import register
 from shopflow.plans.sqlparts import PROD
@@ -79,7 +81,51 @@ def duplicate_ids(spark, sf_dir):
 WITH d AS (SELECT l_orderkey || '-' || l_partkey AS id, COUNT(*) AS occurrences FROM lineitem GROUP BY 1 HAVING COUNT(*) > 1)
 SELECT d.*, (SELECT COUNT(*) FROM d) AS duplicate_count FROM d ORDER BY id LIMIT 10""")
 def duplicate_orderline_keys(spark, sf_dir):
-    from pyspark.sql import functions as F
     li = TB.read(spark, sf_dir, "lineitem").select(
         F.concat_ws("-", F.col("l_orderkey").cast("string"), F.col("l_partkey").cast("string")).alias("id"))
     return Q.duplicate_ids(li)
+
+
+# Raw texts read as if they were product records, so that every kind of rule finds failures.
+_DOC_MODEL = """model AS (SELECT substr(text, 1, 9) AS id, string_split(text, chr(10))[1] AS title, text AS description, source AS brand,
+       n_chars - 400 AS priceOriginal, length(text) % 1000 - 100 AS priceCurrent, lang = 'en' AS isOnSale, lang AS color,
+       CAST(NULL AS VARCHAR[]) AS seasons, nullif(lang, 'de') AS productType, n_chars / 2000.0::DOUBLE AS seasonRelevancyFactor,
+       n_chars - 300 AS stockLevel, '' AS imageThumbnailUrl FROM documents)"""
+
+
+def _doc_model(spark, sf_dir):
+    d = TB.read(spark, sf_dir, "documents")
+    n = F.length("text").cast("bigint")
+    return d.select(F.substring("text", 1, 9).alias("id"), F.split("text", "\n")[0].alias("title"), F.col("text").alias("description"),
+                    F.col("source").alias("brand"), (F.col("n_chars") - 400).alias("priceOriginal"), (n % 1000 - 100).alias("priceCurrent"),
+                    (F.col("lang") == "en").alias("isOnSale"), F.col("lang").alias("color"), F.lit(None).cast("array<string>").alias("seasons"),
+                    F.nullif(F.col("lang"), F.lit("de")).alias("productType"), (F.col("n_chars") / F.lit(2000.0)).alias("seasonRelevancyFactor"),
+                    (F.col("n_chars") - 300).alias("stockLevel"), F.lit("").alias("imageThumbnailUrl"))
+
+
+@register("document_rule_violations", f"WITH {_DOC_MODEL}, {_V} SELECT * FROM v")
+def document_rule_violations(spark, sf_dir):
+    """Q1-Q12 on records that break the rules."""
+    return Q.violations(_doc_model(spark, sf_dir))
+
+
+@register("document_validation_summary", f"""WITH {_DOC_MODEL}
+SELECT COUNT(*) AS total_products, COUNT(*) FILTER (WHERE NOT b) AS valid_products, COUNT(*) FILTER (WHERE b) AS invalid_products
+FROM (SELECT priceOriginal < 0 OR priceCurrent < 0 OR stockLevel < 0 OR seasonRelevancyFactor > 1 OR productType IS NULL
+        OR length(title) NOT BETWEEN 2 AND 200 OR length(description) NOT BETWEEN 5 AND 2000
+        OR NOT regexp_matches(id, '^[a-zA-Z0-9_-]+') OR (priceOriginal > priceCurrent) <> isOnSale AS b FROM model)""")
+def document_validation_summary(spark, sf_dir):
+    return Q.summary(_doc_model(spark, sf_dir))
+
+
+@register("document_error_histogram", f"""WITH {_DOC_MODEL}, {_V}
+SELECT rule_id, field, COUNT(*) AS count FROM v GROUP BY ALL ORDER BY count DESC, rule_id, field LIMIT 5""")
+def document_error_histogram(spark, sf_dir):
+    return Q.error_histogram(_doc_model(spark, sf_dir))
+
+
+@register("document_duplicate_ids", f"""WITH {_DOC_MODEL},
+d AS (SELECT id, COUNT(*) AS occurrences FROM model GROUP BY 1 HAVING COUNT(*) > 1)
+SELECT d.*, (SELECT COUNT(*) FROM d) AS duplicate_count FROM d ORDER BY id LIMIT 10""")
+def document_duplicate_ids(spark, sf_dir):
+    return Q.duplicate_ids(_doc_model(spark, sf_dir))

@@ -50,9 +50,9 @@ def knn_centroids(spark, sf_dir):
 @register("knn_threshold", f"""
 WITH {_E}, {_CEN}
 SELECT c.label, e.vec_id, ROUND(ROUND(list_cosine_similarity(c.v, e.v), 9), 6) AS sim FROM cen c, e
-WHERE ROUND(list_cosine_similarity(c.v, e.v), 9) > 0.5""")
+WHERE ROUND(list_cosine_similarity(c.v, e.v), 9) > 0.25""")
 def knn_threshold(spark, sf_dir):
-    r = V.knn(_centroids(spark, sf_dir), _emb(spark, sf_dir), k=None, threshold=0.5, q_id="label", q_vec="vec",
+    r = V.knn(_centroids(spark, sf_dir), _emb(spark, sf_dir), k=None, threshold=0.25, q_id="label", q_vec="vec",
               c_id="vec_id", c_vec="embedding")
     return r.select(F.col("qid").cast("int").alias("label"), F.col("cid").alias("vec_id"),
                     F.round("sim", 6).alias("sim"))
