@@ -12,6 +12,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from shopflow.functions.numbers import exact_avg
 from shopflow.operators.stats import rank_pick
 
 R = 6  # decimals kept on every derived double
@@ -43,7 +44,7 @@ def duration_stats(log: DataFrame, group: Sequence[str] = (), with_results: bool
     aggs = [F.count(F.lit(1)).alias("count"),
             F.min("duration_ms").alias("min_duration_ms"),
             F.max("duration_ms").alias("max_duration_ms"),
-            _r(F.avg("duration_ms")).alias("avg_duration_ms")]
+            _r(exact_avg("duration_ms")).alias("avg_duration_ms")]
     if with_results:
         aggs.append(_r(F.avg("result_count")).alias("avg_results"))
     base = log.groupBy(*group).agg(*aggs) if group else log.agg(*aggs)
@@ -63,7 +64,7 @@ def endpoint_stats(log: DataFrame) -> DataFrame:
     ok = F.col("status_code").between(200, 299).cast("double")
     return log.groupBy("endpoint").agg(
         F.count(F.lit(1)).alias("count"),
-        _r(F.avg("duration_ms")).alias("avg_duration_ms"),
+        _r(exact_avg("duration_ms")).alias("avg_duration_ms"),
         F.max("duration_ms").alias("max_duration_ms"),
         _r(F.avg(ok)).alias("success_rate"))
 
@@ -72,7 +73,7 @@ def recent_mean(log: DataFrame, last_n: int = 100) -> DataFrame:
     """Mean duration of the latest ``last_n`` rows (ts desc, event_id desc)."""
     recent = log.orderBy(F.desc("ts"), F.desc("event_id")).limit(last_n)
     return recent.agg(F.count(F.lit(1)).alias("n"),
-                      F.coalesce(_r(F.avg("duration_ms")), F.lit(0.0)).alias("avg_processing_ms"))
+                      F.coalesce(_r(exact_avg("duration_ms")), F.lit(0.0)).alias("avg_processing_ms"))
 
 
 def popular_queries(log: DataFrame, n: int = 10) -> DataFrame:
@@ -126,7 +127,7 @@ def latency_report(log: DataFrame, group: Sequence[str] = ("endpoint",)) -> Data
         F.count_if(ok).alias("successful_requests"),
         F.min(us).alias("_start"),
         F.max(us + F.col("duration_ms") * 1000).alias("_end"),
-        _r(F.avg("duration_ms")).alias("avg_request_ms"),
+        _r(exact_avg("duration_ms")).alias("avg_request_ms"),
         F.min("duration_ms").alias("min_request_ms"),
         F.max("duration_ms").alias("max_request_ms"))
     picks = rank_pick(log, group, "duration_ms",
@@ -152,7 +153,7 @@ def overall_report(report: DataFrame) -> DataFrame:
 def tumbling_stats(log: DataFrame, every: str = "1 hour", group: Sequence[str] = ("endpoint",)) -> DataFrame:
     """N3 batch form: per window and group count, mean and max duration."""
     return (log.groupBy(F.window("ts", every).alias("w"), *group)
-            .agg(F.count(F.lit(1)).alias("count"), _r(F.avg("duration_ms")).alias("avg_duration_ms"),
+            .agg(F.count(F.lit(1)).alias("count"), _r(exact_avg("duration_ms")).alias("avg_duration_ms"),
                  F.max("duration_ms").alias("max_duration_ms"))
             .select(F.col("w.start").alias("window_start"), F.col("w.end").alias("window_end"), *group,
                     "count", "avg_duration_ms", "max_duration_ms"))

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from shopflow.functions.numbers import exact_avg
 from shopflow.operators import metrics as M
 from shopflow.plans.registry import register
 from shopflow.sources import tables as TB
@@ -29,7 +30,7 @@ WITH {LOG}
 SELECT g.endpoint, g.count, g.min_duration_ms, g.max_duration_ms, g.avg_duration_ms,
        COALESCE(p.p95_duration_ms, 0.0) AS p95_duration_ms, g.avg_results
 FROM (SELECT endpoint, COUNT(*) AS count, MIN(duration_ms) AS min_duration_ms, MAX(duration_ms) AS max_duration_ms,
-             ROUND(AVG(duration_ms), 6) AS avg_duration_ms, ROUND(AVG(result_count), 6) AS avg_results
+             ROUND(CAST(SUM(CAST(duration_ms AS DECIMAL(28,12))) AS DOUBLE) / COUNT(duration_ms), 6) AS avg_duration_ms, ROUND(AVG(result_count), 6) AS avg_results
       FROM log GROUP BY endpoint) g
 LEFT JOIN {_pick('log', 'endpoint', 'p95_duration_ms', 0.95)} p USING (endpoint)""")
 def search_stats_p95(spark, sf_dir):
@@ -42,7 +43,7 @@ SELECT g.count, COALESCE(g.min_duration_ms, 0.0) AS min_duration_ms, COALESCE(g.
        COALESCE(g.avg_duration_ms, 0.0) AS avg_duration_ms, COALESCE(p.p95_duration_ms, 0.0) AS p95_duration_ms,
        COALESCE(g.avg_results, 0.0) AS avg_results
 FROM (SELECT COUNT(*) AS count, MIN(duration_ms) AS min_duration_ms, MAX(duration_ms) AS max_duration_ms,
-             ROUND(AVG(duration_ms), 6) AS avg_duration_ms, ROUND(AVG(result_count), 6) AS avg_results FROM w) g
+             ROUND(CAST(SUM(CAST(duration_ms AS DECIMAL(28,12))) AS DOUBLE) / COUNT(duration_ms), 6) AS avg_duration_ms, ROUND(AVG(result_count), 6) AS avg_results FROM w) g
 LEFT JOIN {_pick('w', '', 'p95_duration_ms', 0.95)} p ON TRUE""")
 def search_stats_window(spark, sf_dir):
     return M.duration_stats(M.in_window(TB.request_log(spark, sf_dir), 1440))
@@ -52,21 +53,21 @@ def search_stats_window(spark, sf_dir):
 WITH {LOG}
 SELECT CASE WHEN GROUPING(algorithm) = 1 THEN 'ALL' ELSE algorithm END AS algorithm,
        COUNT(*) AS count, MIN(duration_ms) AS min_duration_ms, MAX(duration_ms) AS max_duration_ms,
-       ROUND(AVG(duration_ms), 6) AS avg_duration_ms
+       ROUND(CAST(SUM(CAST(duration_ms AS DECIMAL(28,12))) AS DOUBLE) / COUNT(duration_ms), 6) AS avg_duration_ms
 FROM log GROUP BY ROLLUP (algorithm)""")
 def recommendation_stats(spark, sf_dir):
     log = TB.request_log(spark, sf_dir)
     return (log.rollup("algorithm").agg(
         F.grouping("algorithm").alias("_g"), F.count(F.lit(1)).alias("count"),
         F.min("duration_ms").alias("min_duration_ms"), F.max("duration_ms").alias("max_duration_ms"),
-        F.round(F.avg("duration_ms"), 6).alias("avg_duration_ms"))
+        F.round(exact_avg("duration_ms"), 6).alias("avg_duration_ms"))
         .select(F.when(F.col("_g") == 1, F.lit("ALL")).otherwise(F.col("algorithm")).alias("algorithm"),
                 "count", "min_duration_ms", "max_duration_ms", "avg_duration_ms"))
 
 
 @register("endpoint_stats", f"""
 WITH {LOG}
-SELECT endpoint, COUNT(*) AS count, ROUND(AVG(duration_ms), 6) AS avg_duration_ms, MAX(duration_ms) AS max_duration_ms,
+SELECT endpoint, COUNT(*) AS count, ROUND(CAST(SUM(CAST(duration_ms AS DECIMAL(28,12))) AS DOUBLE) / COUNT(duration_ms), 6) AS avg_duration_ms, MAX(duration_ms) AS max_duration_ms,
        ROUND(AVG(CASE WHEN status_code BETWEEN 200 AND 299 THEN 1.0 ELSE 0.0 END), 6) AS success_rate
 FROM log GROUP BY endpoint""")
 def endpoint_stats(spark, sf_dir):
@@ -75,7 +76,7 @@ def endpoint_stats(spark, sf_dir):
 
 @register("last_n_mean", f"""
 WITH {LOG}
-SELECT COUNT(*) AS n, COALESCE(ROUND(AVG(duration_ms), 6), 0.0) AS avg_processing_ms
+SELECT COUNT(*) AS n, COALESCE(ROUND(CAST(SUM(CAST(duration_ms AS DECIMAL(28,12))) AS DOUBLE) / COUNT(duration_ms), 6), 0.0) AS avg_processing_ms
 FROM (SELECT * FROM log ORDER BY ts DESC, event_id DESC LIMIT 100)""")
 def last_n_mean(spark, sf_dir):
     return M.recent_mean(TB.request_log(spark, sf_dir), 100)
@@ -100,7 +101,7 @@ WITH {_WIN}
 SELECT g.period, g.count, g.min_duration_ms, g.max_duration_ms, g.avg_duration_ms,
        COALESCE(p.p95_duration_ms, 0.0) AS p95_duration_ms
 FROM (SELECT period, COUNT(*) AS count, MIN(duration_ms) AS min_duration_ms, MAX(duration_ms) AS max_duration_ms,
-             ROUND(AVG(duration_ms), 6) AS avg_duration_ms FROM ww GROUP BY period) g
+             ROUND(CAST(SUM(CAST(duration_ms AS DECIMAL(28,12))) AS DOUBLE) / COUNT(duration_ms), 6) AS avg_duration_ms FROM ww GROUP BY period) g
 LEFT JOIN {_pick('ww', 'period', 'p95_duration_ms', 0.95)} p USING (period)""")
 def hour_vs_day_summary(spark, sf_dir):
     return M.window_summary(TB.request_log(spark, sf_dir), {"last_hour": 60, "last_day": 1440})
@@ -123,7 +124,7 @@ def health_score(spark, sf_dir):
 _LAT = f"""{LOG},
 b AS (SELECT endpoint, COUNT(*) AS total_requests, COUNT(*) FILTER (WHERE status_code BETWEEN 200 AND 299) AS successful_requests,
              MIN(epoch_us(ts)) AS st, MAX(epoch_us(ts) + duration_ms * 1000) AS en,
-             ROUND(AVG(duration_ms), 6) AS avg_request_ms, MIN(duration_ms) AS min_request_ms, MAX(duration_ms) AS max_request_ms
+             ROUND(CAST(SUM(CAST(duration_ms AS DECIMAL(28,12))) AS DOUBLE) / COUNT(duration_ms), 6) AS avg_request_ms, MIN(duration_ms) AS min_request_ms, MAX(duration_ms) AS max_request_ms
       FROM log GROUP BY endpoint),
 rep AS (SELECT b.endpoint, total_requests, successful_requests, total_requests - successful_requests AS failed_requests,
        ROUND(successful_requests / total_requests, 6) AS success_rate,
@@ -150,7 +151,7 @@ def latency_overall(spark, sf_dir):
 @register("windowed_search_stats", f"""
 WITH {LOG}
 SELECT time_bucket(INTERVAL 1 HOUR, ts) AS window_start, time_bucket(INTERVAL 1 HOUR, ts) + INTERVAL 1 HOUR AS window_end,
-       endpoint, COUNT(*) AS count, ROUND(AVG(duration_ms), 6) AS avg_duration_ms, MAX(duration_ms) AS max_duration_ms
+       endpoint, COUNT(*) AS count, ROUND(CAST(SUM(CAST(duration_ms AS DECIMAL(28,12))) AS DOUBLE) / COUNT(duration_ms), 6) AS avg_duration_ms, MAX(duration_ms) AS max_duration_ms
 FROM log GROUP BY 1, 2, endpoint""")
 def windowed_search_stats(spark, sf_dir):
     return M.tumbling_stats(TB.request_log(spark, sf_dir), "1 hour")
@@ -177,7 +178,7 @@ def _stream_log(spark, sf_dir):
 @register("windowed_stats_stream", f"""
 WITH {LOG}, mx AS (SELECT MAX(ts) - INTERVAL 10 MINUTE AS wm FROM log)
 SELECT time_bucket(INTERVAL 1 HOUR, ts) AS window_start, time_bucket(INTERVAL 1 HOUR, ts) + INTERVAL 1 HOUR AS window_end,
-       endpoint, COUNT(*) AS count, ROUND(AVG(duration_ms), 6) AS avg_duration_ms, MAX(duration_ms) AS max_duration_ms,
+       endpoint, COUNT(*) AS count, ROUND(CAST(SUM(CAST(duration_ms AS DECIMAL(28,12))) AS DOUBLE) / COUNT(duration_ms), 6) AS avg_duration_ms, MAX(duration_ms) AS max_duration_ms,
        ROUND(AVG(CASE WHEN status_code BETWEEN 200 AND 299 THEN 1.0 ELSE 0.0 END), 6) AS success_rate
 FROM log GROUP BY 1, 2, endpoint HAVING time_bucket(INTERVAL 1 HOUR, ts) + INTERVAL 1 HOUR <= (SELECT wm FROM mx)""")
 def windowed_stats_stream(spark, sf_dir):
@@ -205,13 +206,13 @@ def sessions_stream(spark, sf_dir):
 @register("metrics_bundle", f"""
 WITH {LOG}, w AS (SELECT * FROM log WHERE ts >= (SELECT MAX(ts) FROM log) - INTERVAL 60 MINUTE),
 s AS (SELECT COUNT(*) AS count, COALESCE(MIN(duration_ms), 0.0) AS mn, COALESCE(MAX(duration_ms), 0.0) AS mx,
-             COALESCE(ROUND(AVG(duration_ms), 6), 0.0) AS av, COALESCE(ROUND(AVG(result_count), 6), 0.0) AS ar FROM w),
+             COALESCE(ROUND(CAST(SUM(CAST(duration_ms AS DECIMAL(28,12))) AS DOUBLE) / COUNT(duration_ms), 6), 0.0) AS av, COALESCE(ROUND(AVG(result_count), 6), 0.0) AS ar FROM w),
 p AS (SELECT COALESCE((SELECT p95_duration_ms FROM {_pick('w', '', 'p95_duration_ms', 0.95)}), 0.0) AS p95),
-e AS (SELECT endpoint, COUNT(*) AS count, ROUND(AVG(duration_ms), 6) AS av, MAX(duration_ms) AS mx,
+e AS (SELECT endpoint, COUNT(*) AS count, ROUND(CAST(SUM(CAST(duration_ms AS DECIMAL(28,12))) AS DOUBLE) / COUNT(duration_ms), 6) AS av, MAX(duration_ms) AS mx,
              ROUND(AVG(CASE WHEN status_code BETWEEN 200 AND 299 THEN 1.0 ELSE 0.0 END), 6) AS sr FROM log GROUP BY endpoint),
 pq AS (SELECT query, COUNT(*) AS count, MIN(ts) AS fs FROM log WHERE query IS NOT NULL GROUP BY query
        ORDER BY count DESC, fs, query LIMIT 10),
-rn AS (SELECT COALESCE(ROUND(AVG(duration_ms), 6), 0.0) AS av FROM (SELECT * FROM log ORDER BY ts DESC, event_id DESC LIMIT 100))
+rn AS (SELECT COALESCE(ROUND(CAST(SUM(CAST(duration_ms AS DECIMAL(28,12))) AS DOUBLE) / COUNT(duration_ms), 6), 0.0) AS av FROM (SELECT * FROM log ORDER BY ts DESC, event_id DESC LIMIT 100))
 SELECT 'search_performance' AS section, 'count' AS metric, CAST(count AS DOUBLE) AS value FROM s
 UNION ALL SELECT 'search_performance', 'min_duration_ms', mn FROM s
 UNION ALL SELECT 'search_performance', 'max_duration_ms', mx FROM s

@@ -18,6 +18,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.errors import AnalysisException
 from pyspark.sql import functions as F
 
+from shopflow.functions.numbers import exact_avg
 from shopflow.operators import pairs as PR
 from shopflow.session import checkpoint_dir
 
@@ -50,7 +51,7 @@ def windowed_stats(log: DataFrame, every: str = "1 hour", delay: str = "10 minut
     ok = F.col("status_code").between(200, 299).cast("double")
     return (log.withWatermark("ts", delay)
             .groupBy(F.window("ts", every).alias("w"), "endpoint")
-            .agg(F.count(F.lit(1)).alias("count"), F.round(F.avg("duration_ms"), 6).alias("avg_duration_ms"),
+            .agg(F.count(F.lit(1)).alias("count"), F.round(exact_avg("duration_ms"), 6).alias("avg_duration_ms"),
                  F.max("duration_ms").alias("max_duration_ms"), F.round(F.avg(ok), 6).alias("success_rate"))
             .select(F.col("w.start").cast("timestamp_ntz").alias("window_start"),
                     F.col("w.end").cast("timestamp_ntz").alias("window_end"), "endpoint", "count",
@@ -78,6 +79,7 @@ def run_to_table(stream: DataFrame, spark: SparkSession, name: str, mode: str =
     batch after the one that advanced the watermark past them.
     """
     base = job_dir(spark, name)
+    spark.conf.set("spark.sql.streaming.numRecentProgressUpdates", "1000000")  # drops are summed over all batches
     q = (stream.writeStream.format("parquet").outputMode(mode)
          .option("checkpointLocation", os.path.join(base, "checkpoint"))
          .option("path", os.path.join(base, "out")).trigger(availableNow=True).start())
@@ -122,18 +124,21 @@ class PairTableUpdater:
         # one small row per finished batch; read through Spark so any shared filesystem works
         return self._read(self.commits_path, "batch_id bigint, base_version bigint")
 
-    def _committed(self) -> list[int]:
-        return sorted({r.batch_id for r in self._commits().select("batch_id").collect()})
+    def _committed(self) -> tuple[int, list[int]]:
+        """The batch up to which the base snapshot holds everything (-1: none), and the committed
+        batches after it, at most as many as lie between two compactions."""
+        c = self._commits()
+        v = c.agg(F.max("base_version")).first()[0]
+        v = -1 if v is None else v
+        return v, sorted({r.batch_id for r in c.where(F.col("batch_id") > v).select("batch_id").collect()})
 
     def current_pairs(self) -> DataFrame:
         """Base snapshot + committed deltas after it, summed per pair (positive counts only)."""
-        info = self._commits().agg(F.max("batch_id").alias("b"), F.max("base_version").alias("v")).first()
-        if info.b is None:
+        v, done = self._committed()
+        if v < 0 and not done:
             return self.spark.createDataFrame([], self.SCHEMA)
-        v = info.v if info.v is not None and info.v >= 0 else -1
         base = (self._read(f"{self.base_path}/v{v}", self.SCHEMA) if v >= 0
                 else self.spark.createDataFrame([], self.SCHEMA))
-        done = [b for b in self._committed() if b > v]
         deltas = (self._read(self.delta_path, "product1 bigint, product2 bigint, d bigint, batch_id bigint")
                   .where(F.col("batch_id").isin(done)).select("product1", "product2", F.col("d").alias("cnt")))
         return (base.unionByName(deltas).groupBy("product1", "product2")
@@ -143,10 +148,10 @@ class PairTableUpdater:
         return self._read(self.lines_path, "orderNr bigint, productNr bigint, batch_id bigint")
 
     def __call__(self, batch: DataFrame, batch_id: int) -> None:
-        committed = self._committed()
-        if batch_id in committed:
+        v, done = self._committed()
+        if batch_id <= v or batch_id in done:
             return  # already applied
-        lines = self.current_lines().where(F.col("batch_id").isin(committed)).select("orderNr", "productNr")
+        lines = self.current_lines().where((F.col("batch_id") <= v) | F.col("batch_id").isin(done)).select("orderNr", "productNr")
         new = batch.select("orderNr", "productNr")
         touched = new.select("orderNr").distinct()
         before = lines.join(touched, "orderNr", "left_semi")
@@ -157,18 +162,16 @@ class PairTableUpdater:
                  .agg(F.sum("d").cast("bigint").alias("d")).where(F.col("d") != 0))
         new.write.mode("overwrite").parquet(f"{self.lines_path}/batch_id={batch_id}")
         delta.write.mode("overwrite").parquet(f"{self.delta_path}/batch_id={batch_id}")
-        base_version = self._commits().agg(F.max("base_version")).first()[0]
-        base_version = -1 if base_version is None else base_version
-        if len(committed) + 1 - sum(1 for b in committed if b <= base_version) >= self.compact_every:
+        if len(done) + 1 >= self.compact_every:
             # fold base + deltas (including this batch) into a new base snapshot
-            self.spark.createDataFrame([(batch_id, base_version)], "batch_id bigint, base_version bigint") \
+            self.spark.createDataFrame([(batch_id, v)], "batch_id bigint, base_version bigint") \
                 .write.mode("append").parquet(self.commits_path)
             snap = self.current_pairs()
             snap.write.mode("overwrite").parquet(f"{self.base_path}/v{batch_id}")
             self.spark.createDataFrame([(batch_id, batch_id)], "batch_id bigint, base_version bigint") \
                 .write.mode("append").parquet(self.commits_path)
             return
-        self.spark.createDataFrame([(batch_id, base_version)], "batch_id bigint, base_version bigint") \
+        self.spark.createDataFrame([(batch_id, v)], "batch_id bigint, base_version bigint") \
             .write.mode("append").parquet(self.commits_path)
 
 
