@@ -173,13 +173,23 @@ def rejected_products(feed: DataFrame) -> DataFrame:
 
 
 def alternate_mapping(feed: DataFrame) -> DataFrame:
-    """The search-test mapping: ``price`` struct, ``alternativeProductName`` fallback, extra columns kept."""
+    """The plain mapping without feed rules. The alternative name serves as description (then the
+    name), the brand defaults to ``Unknown``, missing prices are 0; supplierItemId, productAttributes
+    and alternativeProductName are kept. A missing id is named by the row's position."""
+    current = F.coalesce(F.col("price.unitPrice"), F.lit(0.0))
+    original = F.coalesce(F.col("price.originalUnitPrice"), F.lit(0.0))
+    farge = F.exists(F.coalesce(F.col("properties"), F.array()), lambda p: (p["key"] == "ProductSelector") & (p["value"] == "Farge"))
     return feed.select(
-        F.col("id"), F.coalesce(_truthy(F.col("name")), _truthy(F.col("alternativeProductName"))).alias("title"),
-        F.coalesce(_truthy(F.col("supplierName")), F.lit("Unknown Brand")).alias("brand"),
-        F.coalesce(F.col("price.unitPrice"), F.lit(0.0)).alias("priceCurrent"),
-        F.coalesce(F.col("price.originalUnitPrice"), F.col("price.unitPrice"), F.lit(0.0)).alias("priceOriginal"),
-        F.col("categories"), F.col("tags"), F.col("ean"), F.col("skuId"))
+        F.coalesce(F.col("id"), F.concat(F.lit("product_"), F.col("_pos").cast("string"))).alias("id"),
+        F.coalesce(F.col("name"), F.lit("Untitled Product")).alias("title"),
+        F.coalesce(F.col("alternativeProductName"), F.col("name"), F.lit("No description")).alias("description"),
+        F.coalesce(F.col("supplierName"), F.lit("Unknown")).alias("brand"), F.coalesce(F.col("imageUrl"), F.lit("")).alias("imageThumbnailUrl"),
+        original.alias("priceOriginal"), current.alias("priceCurrent"), (current < original).alias("isOnSale"),
+        F.lit(None).cast("int").alias("ageFrom"), F.lit(None).cast("int").alias("ageTo"), F.lit(None).cast("string").alias("ageBucket"),
+        F.when(farge, F.lit("Farge")).alias("color"), F.array().cast("array<string>").alias("seasons"), F.lit("main").alias("productType"),
+        F.lit(0.5).alias("seasonRelevancyFactor"), F.coalesce(to_int(F.col("availableInventory")), F.lit(0)).alias("stockLevel"),
+        F.coalesce(F.col("supplierItemId"), F.lit("")).alias("supplierItemId"), "productAttributes",
+        F.coalesce(F.col("alternativeProductName"), F.lit("")).alias("alternativeProductName"))
 
 
 def clean_html(html: Column) -> Column:

@@ -1,6 +1,8 @@
 import json
 import tempfile
 
+from pyspark.sql import functions as F
+
 from shopflow.operators import etl as E
 from shopflow.sources import feed as FD
 
@@ -60,10 +62,13 @@ def test_clean_html(spark):
 
 
 def test_alternate_mapping(spark):
-    prods = [_base(id="z", name="", alternativeProductName="Alt name", supplierName="Acme",
-                   price={"marketId": "b2c_nor", "unitPrice": 50.0}, tags=["t1"], ean="123")]
-    r = E.alternate_mapping(_feed(spark, prods)).first()
-    assert (r.title, r.brand, r.priceCurrent, r.priceOriginal, r.tags, r.ean) == ("Alt name", "Acme", 50.0, 50.0, ["t1"], "123")
+    prods = [_base(id="z", name="Name", alternativeProductName="Alt name", supplierName="Acme", supplierItemId="i9",
+                   price={"marketId": "b2c_nor", "unitPrice": 50.0}, availableInventory="7"),
+             _base(id="y", name="Other", alternativeProductName=None, supplierName=None, price={"unitPrice": 5.0, "originalUnitPrice": 9.0})]
+    r, o = E.alternate_mapping(_feed(spark, prods)).orderBy(F.desc("id")).collect()
+    assert (r.title, r.description, r.brand, r.priceCurrent, r.priceOriginal, r.isOnSale) == ("Name", "Alt name", "Acme", 50.0, 0.0, False)
+    assert (r.supplierItemId, r.alternativeProductName, r.stockLevel) == ("i9", "Alt name", 7)
+    assert (o.description, o.brand, o.priceOriginal, o.isOnSale, o.alternativeProductName) == ("Other", "Unknown", 9.0, True, "")
 
 
 def test_load_statistics(spark):
