@@ -48,15 +48,19 @@ def _scorer(k: int | None, threshold: float | None, exclude_self: bool):
             sims = np.where(qids[:, None] == cids[None, :], -np.inf, sims)
         out_q, out_c, out_s = [], [], []
         order_c = np.argsort(cids, kind="stable")
+        sims, ids = sims[:, order_c], cids[order_c]
+        if threshold is None and len(ids) > k:  # the k-th best of each row; all that tie with it are kept for now
+            least = np.partition(sims, len(ids) - k, axis=1)[:, len(ids) - k]
+        else:
+            least = np.full(len(qids), -np.inf)
         for i in range(len(qids)):
-            row = sims[i, order_c]
-            ids = cids[order_c]
+            row = sims[i]
             if threshold is not None:
                 sel = np.nonzero(row > threshold)[0]
             else:
+                sel = np.nonzero((row >= least[i]) & np.isfinite(row))[0]
                 # stable sort on -sim keeps id order among equal similarities
-                sel = np.argsort(-row, kind="stable")[:k]
-                sel = sel[np.isfinite(row[sel])]
+                sel = sel[np.argsort(-row[sel], kind="stable")[:k]]
             out_q.append(np.full(len(sel), qids[i]))
             out_c.append(ids[sel])
             out_s.append(row[sel])
