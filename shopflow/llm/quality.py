@@ -164,9 +164,9 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
     return model.fit(np.concatenate(bags), np.array([len(b) for b in bags]), np.array([r["quality"] for r in rows]))
 
 
-def _scorer(shared):
+def _scorer(model: Model):
+    # the model is a few kilobytes and travels with the function
     def run(batches):
-        model = shared.value
         for rows, texts in text_chunks(batches, "text"):
             score = model.score(*passage_features(texts))
             yield pa.RecordBatch.from_arrays([*(rows.column(i) for i in range(rows.num_columns - 1)), pa.array(np.round(score, 6), pa.float64())],
@@ -184,22 +184,20 @@ def score_quality(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     model = train(docs, labels.select(F.col("doc_id").cast("long").alias("doc_id"), "quality"))
-    shared = docs.sparkSession.sparkContext.broadcast(model)
     scored = (docs.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "text")
-              .mapInArrow(_scorer(shared), "doc_id long, held_out boolean, score double"))
+              .mapInArrow(_scorer(model), "doc_id long, held_out boolean, score double"))
     return scored.withColumn("predicted", (F.col("score") >= THRESHOLD).cast("int"))
 
 
 def keep_good(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """The rows of ``docs`` that the classifier accepts, with all their columns."""
     model = train(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), labels.select(F.col("doc_id").cast("long").alias("doc_id"), "quality"))
-    shared = docs.sparkSession.sparkContext.broadcast(model)
     names = docs.columns
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields if f.name != "text") + ", text string"
 
     def accepted(batches):
         for rows, texts in text_chunks(batches, "text"):
-            good = shared.value.score(*passage_features(texts)) >= THRESHOLD
+            good = model.score(*passage_features(texts)) >= THRESHOLD
             yield rows.filter(pa.array(good))
 
     return docs.select(*(n for n in names if n != "text"), F.col("text").cast("string").alias("text")).mapInArrow(accepted, schema).select(*names)
