@@ -59,12 +59,13 @@ def predict(model: list, cells: np.ndarray) -> np.ndarray:
 
 
 def calibrate(score: np.ndarray, n: np.ndarray, positive: np.ndarray, precision: float) -> float:
-    """Lowest threshold at which the selected examples have this precision; infinity if none does."""
-    order = np.argsort(-score, kind="stable")
-    s, right = score[order], np.cumsum(positive[order]) / np.maximum(np.cumsum(n[order]), 1)
-    last = np.concatenate([s[1:] < s[:-1], [True]]) if len(s) else np.zeros(0, bool)
-    good = np.flatnonzero(last & (right >= precision))
-    return float(s[good[-1]]) if len(good) else float("inf")
+    """Lowest score that has this precision itself and for all examples from it upwards; infinity if none does.
+
+    A score whose own examples are wrong is not let in on account of the right ones above it."""
+    levels, at = np.unique(-score, return_inverse=True)
+    own, all_ = np.bincount(at, positive, len(levels)), np.bincount(at, n, len(levels))
+    good = np.flatnonzero((own >= precision * all_) & (np.cumsum(own) >= precision * np.cumsum(all_)))
+    return float(-levels[good[-1]]) if len(good) else float("inf")
 
 
 def as_column(model: list, features: list[Column]) -> Column:

@@ -10,7 +10,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from shopflow.llm import chat, decontam, exact_dedup, mixing, ngram_join, pii, quality, substring_dedup, suffix, urlrank, warc
+from shopflow.llm import boosting, chat, decontam, exact_dedup, mixing, ngram_join, pii, quality, substring_dedup, suffix, urlrank, warc
 
 SF = "/root/testdata/sf0.001"
 DOCS = "doc_id long, text string, lang string, source string, n_chars long, node long, rep long, sha string, rng int, dg long, src string, links long"
@@ -122,6 +122,32 @@ def test_pii(spark, docs, empty):
     assert pii.find_personal_data(empty).count() == 0
 
 
+PLANTED = ["kim.ro (at) vale (dot) org", "kim [at] vale.example[.]net", "10[.]0[.]0[.]1", "192 (dot) 168 (dot) 7 (dot) 20", "(264) 555-1012", "264-555-1012", "0047 264 555 1012",
+           "4111.1111.1111.1111"]
+DECOYS = ["arrive (at) noon (dot) sharply", "me @ noon . so", "10[.]0[.]0[.]300", "10[.]0[.]0[.]1[.]5", "1. 2. 3. 4", "4111.1111.1111.1112", "order 264-555-1012", "123-045-6789",
+          "4111.1111.1111.1111d", "264 555 1012"]
+
+
+@pytest.mark.parametrize("plain,loose", [(0, 1), (0, 40), (60, 1), (60, 40)])
+def test_pii_adds_what_base_misses(spark, plain, loose):
+    base = ["a.b@c.org", "10.1.2.3", "+1 (264) 555-1012", "4111 1111 1111 1111"]
+    texts = [(x, None) for x in base * plain] + [(x, True) for x in PLANTED * loose] + [(x, False) for x in DECOYS] + [("phone 264 555 1012", True)]
+    rows = [(i, f"Des {x} fin.") for i, (x, _) in enumerate(texts)]
+    got = {r.doc_id: r for r in pii.find_personal_data(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    for i, (x, wanted) in enumerate(texts):
+        assert got[i].n_added == int(wanted is True), x
+        if wanted:
+            start = 4 + x.startswith("phone ") * 6
+            assert got[i].spans.split(":")[1:] == [str(start), str(4 + len(x))], x
+
+
+def test_calibrate_keeps_wrong_scores_out():
+    s, n = np.array([2.0, 1.0, 0.0]), np.array([1000.0, 5.0, 5.0])
+    assert boosting.calibrate(s, n, np.array([1000.0, 0.0, 0.0]), 0.98) == 2
+    assert boosting.calibrate(s, n, np.array([1000.0, 0.0, 5.0]), 0.98) == 0
+    assert boosting.calibrate(s, n, np.zeros(3), 0.98) == float("inf") == boosting.calibrate(s[:0], n[:0], n[:0], 0.98)
+
+
 def test_quality(spark, docs, empty):
     d, labels = real(spark, "documents"), real(spark, "labels")
     out = quality.score_quality(d, labels).toPandas()
