@@ -7,13 +7,12 @@ rows as Parquet in the shared folder and gives the reread table to the next stag
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from shopflow.llm.common import materialise, table
 from shopflow.llm.decontam import drop_contaminated
 from shopflow.llm.exact_dedup import drop_exact_duplicates
 from shopflow.llm.mixing import mix_sources
-from shopflow.llm.ngram_join import ngram_jaccard_join
+from shopflow.llm.ngram_join import drop_near_copies
 from shopflow.llm.quality import keep_good
 
 
@@ -28,10 +27,8 @@ def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near copies the document whose id is the group's smallest."""
-    found = ngram_jaccard_join(docs)
-    extra = found.where("doc_id <> component_id").select(F.col("doc_id").alias("extra_id")).distinct()
-    return docs.join(extra, F.col("doc_id") == F.col("extra_id"), "left_anti")
+    """Of each group of near copies the row with the group's smallest id."""
+    return drop_near_copies(docs)
 
 
 def benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

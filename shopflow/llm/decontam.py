@@ -81,6 +81,8 @@ def contaminated(docs: DataFrame, items: DataFrame, threshold_percent: int = 80)
 
 
 def drop_contaminated(docs: DataFrame, items: DataFrame) -> DataFrame:
-    """The rows of ``docs`` that hold no benchmark item, with all their columns."""
-    bad = contaminated(docs, items).select(F.col("doc_id").alias("bad_id")).distinct()
-    return docs.join(bad, docs["doc_id"].eqNullSafe(F.col("bad_id")), "left_anti")
+    """The rows of ``docs`` that hold no benchmark item, with all their columns. Each row is
+    judged by its own text (told by its digest), whatever its doc_id or that of other rows."""
+    digest = F.unhex(F.sha2(F.col("text").cast("string"), 256))
+    bad = contaminated(docs.select(digest.alias("doc_id"), "text"), items).select(F.col("doc_id").alias("bad_text")).distinct()
+    return docs.join(bad, digest == F.col("bad_text"), "left_anti")

@@ -49,14 +49,17 @@ def prefix_len(n: int) -> int:
     return n - (4 * n + 4) // 5 + int(shared_len(n)) if n else 0
 
 
-def _doc_sets(batches):
-    for rows, texts in text_chunks(batches, "text"):
-        sets = shingle_sets(texts)
-        digests = [set_digest(s) if len(s) else (None, None) for s in sets]
-        yield pa.RecordBatch.from_arrays(
-            [rows.column(rows.schema.get_field_index("doc_id")).cast(pa.int64()), pa.array([len(s) for s in sets], pa.int64()),
-             pa.array([d[0] for d in digests], pa.int64()), pa.array([d[1] for d in digests], pa.int64())],
-            names=["doc_id", "n", "hi", "lo"])
+def _doc_sets(carried: list[str]):
+    def run(batches):
+        for rows, texts in text_chunks(batches, "text"):
+            sets = shingle_sets(texts)
+            digests = [set_digest(s) if len(s) else (None, None) for s in sets]
+            col = lambda c: rows.column(rows.schema.get_field_index(c))
+            yield pa.RecordBatch.from_arrays(
+                [col("doc_id").cast(pa.int64()), *(col(c).cast(pa.binary()) for c in carried), pa.array([len(s) for s in sets], pa.int64()),
+                 pa.array([d[0] for d in digests], pa.int64()), pa.array([d[1] for d in digests], pa.int64())],
+                names=["doc_id", *carried, "n", "hi", "lo"])
+    return run
 
 
 def _split(keys: np.ndarray, bits: int):
@@ -282,21 +285,16 @@ def _verify(key, pdf):
     return pd.DataFrame({"node": hi, "peer": hi[label], "links": (link * pdf["copies"].to_numpy()[None, :]).sum(1).astype(np.int64)})
 
 
-def ngram_jaccard_join(docs: DataFrame) -> DataFrame:
-    """``docs(doc_id, text, ...)`` -> one row for each row of ``docs``: ``doc_id``,
-    ``n_shingles`` (distinct 5-word shingles), ``component_id`` (smallest doc_id reachable by
-    links of Jaccard >= 0.8, itself included) and ``n_links`` (rows it links with, copies too).
+def _linked(docs: DataFrame, carried: list[str]) -> DataFrame:
+    """``docs(doc_id, text, *carried)`` -> for each row: ``doc_id``, ``carried``, ``n_shingles``, ``component_id``, ``n_links``,
+    and ``group_hi``, ``group_lo``, the same for the rows of a component only (null without shingles).
 
-    Null, empty or word-less text: no shingles, no link, its own component. Under five words:
-    the whole sequence is the one shingle. Rows with the same text are linked; rows that repeat a
-    doc_id each count; a null doc_id stays null unless its component has another id. Other
-    columns are ignored. An empty table gives no rows.
-    """
+    ``carried`` is empty or the binary digest of the text: with it a row is found again by id and text, without it by id."""
     spark = docs.sparkSession
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), *carried)
     texts = docs.select("text")
     bits = ranges_for(text_bytes(docs))
-    own = materialise(docs.mapInArrow(_doc_sets, "doc_id long, n long, hi long, lo long"), "sets")
+    own = materialise(docs.mapInArrow(_doc_sets(carried), ", ".join(["doc_id long", *(c + " binary" for c in carried), "n long, hi long, lo long"])), "sets")
 
     counted = (texts.mapInArrow(_count_packets(bits), "rng int, grams binary, counts binary")
                .groupBy("rng").applyInPandas(_frequent, "rng int, level int, n long, grams binary"))
@@ -306,13 +304,20 @@ def ngram_jaccard_join(docs: DataFrame) -> DataFrame:
              .groupBy("a", "b").agg(F.sum("shared").alias("shared"), F.max("need").alias("need")).where("shared >= need"))
     groups = components(pairs.select("a", "b"))
 
+    # a class is found again by its smallest row, ids before nulls
+    least = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", *carried))
     classes = (own.where("hi is not null").groupBy("hi", "lo")
-               .agg(F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("copies"), F.first("n").alias("n")))
+               .agg(least.alias("least") if carried else F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("copies"), F.first("n").alias("n")))
+    if carried:
+        classes = classes.select("hi", "lo", F.col("least.doc_id").alias("rep"), "copies", "n", *(F.col("least." + c).alias("rep_" + c) for c in carried))
     members = materialise(classes.join(groups, classes["hi"] == groups["node"]).drop("node"), "members")
     stats = members.groupBy("root").agg(
         F.greatest(F.ceil(F.count(F.lit(1)) / BLOCK), F.ceil(F.sum("n") / BLOCK_GRAMS)).cast("int").alias("blocks"))
     placed = members.join(stats, "root").withColumn("block", F.pmod(F.xxhash64("lo"), F.col("blocks")).cast("int"))
-    found = (docs.join(placed.drop("n").hint("merge"), docs["doc_id"].eqNullSafe(placed["rep"]))
+    same = docs["doc_id"].eqNullSafe(placed["rep"])
+    for c in carried:
+        same = same & (docs[c] == placed["rep_" + c])
+    found = (docs.join(placed.drop("n").hint("merge"), same)
              .select("root", "blocks", "block", "hi", "lo", "copies", "text")
              .mapInArrow(_member_sets, "root long, blocks int, block int, hi long, lo long, copies long, grams binary")
              .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
@@ -326,10 +331,47 @@ def ngram_jaccard_join(docs: DataFrame) -> DataFrame:
     info = (members.join(linked, F.col("hi") == F.col("l_hi")).join(roots, F.col("hi") == F.col("r_hi"), "left")
             .select(F.col("hi").alias("i_hi"), F.col("lo").alias("i_lo"), "rep", "links", "top"))
     least = info.where("top is not null").groupBy(F.col("top").alias("least_top")).agg(F.min("rep").alias("least_id"))
-    info = info.join(least, F.col("top") == F.col("least_top"), "left").select("i_hi", "i_lo", "links", "least_id")
+    info = info.join(least, F.col("top") == F.col("least_top"), "left").select("i_hi", "i_lo", "links", "least_id", "top")
     named = classes.join(info, (F.col("hi") == F.col("i_hi")) & (F.col("lo") == F.col("i_lo")), "left").select(
         F.col("hi").alias("c_hi"), F.col("lo").alias("c_lo"), F.coalesce("least_id", "rep").alias("component"),
-        (F.col("copies") - 1 + F.coalesce("links", F.lit(0))).alias("links"))
+        (F.col("copies") - 1 + F.coalesce("links", F.lit(0))).alias("links"),
+        F.coalesce("top", "hi").alias("group_hi"), F.when(F.col("top").isNull(), F.col("lo")).alias("group_lo"))
     return own.join(named, (F.col("hi") == F.col("c_hi")) & (F.col("lo") == F.col("c_lo")), "left").select(
-        "doc_id", F.col("n").alias("n_shingles"), F.coalesce("component", "doc_id").alias("component_id"),
-        F.coalesce("links", F.lit(0)).cast("long").alias("n_links"))
+        "doc_id", *carried, F.col("n").alias("n_shingles"), F.coalesce("component", "doc_id").alias("component_id"),
+        F.coalesce("links", F.lit(0)).cast("long").alias("n_links"), "group_hi", "group_lo")
+
+
+def ngram_jaccard_join(docs: DataFrame) -> DataFrame:
+    """``docs(doc_id, text, ...)`` -> one row for each row of ``docs``: ``doc_id``,
+    ``n_shingles`` (distinct 5-word shingles), ``component_id`` (smallest doc_id reachable by
+    links of Jaccard >= 0.8, itself included) and ``n_links`` (rows it links with, copies too).
+
+    Null, empty or word-less text: no shingles, no link, its own component. Under five words:
+    the whole sequence is the one shingle. Rows with the same text are linked; rows that repeat a
+    doc_id each count; a null doc_id stays null unless its component has another id. Other
+    columns are ignored. An empty table gives no rows.
+    """
+    return _linked(docs, []).drop("group_hi", "group_lo")
+
+
+def drop_near_copies(docs: DataFrame) -> DataFrame:
+    """The rows of ``docs`` that stay, with all their columns: one row of each group of near copies.
+
+    A row is told by doc_id and text, so null and repeated ids are rows of their own: of a group the
+    smallest doc_id stays (nulls last), of texts that share it the smallest digest, of rows that share both one.
+    Null, empty or word-less texts are in no group and stay.
+    """
+    digest = F.unhex(F.sha2(F.col("text").cast("string"), 256))
+    rows = materialise(_linked(docs.select("doc_id", "text", digest.alias("key")), ["key"]).where("group_hi is not null")
+                       .select("doc_id", "key", "group_hi", "group_lo"), "near")
+    least = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "key"))
+    kept = rows.groupBy("group_hi", "group_lo").agg(least.alias("least")).select(F.col("least.doc_id").alias("k_doc"), F.col("least.key").alias("k_key"))
+    texts = rows.groupBy(F.col("doc_id").alias("x_doc"), F.col("key").alias("x_key")).agg(F.count(F.lit(1)).alias("rows"))
+    is_kept = F.col("x_doc").eqNullSafe(F.col("k_doc")) & (F.col("x_key") == F.col("k_key"))
+    is_row = docs["doc_id"].cast("long").eqNullSafe(F.col("x_doc")) & (digest == F.col("x_key"))
+    out = docs.join(texts.join(kept, is_kept, "left_anti").drop("rows"), is_row, "left_anti")
+    repeated = materialise(texts.where("rows > 1").join(kept, is_kept, "left_semi").drop("rows"), "repeated")
+    if repeated.limit(1).count():  # rows that repeat both id and text
+        one = out.join(repeated, is_row, "left_semi").withColumn("_key", digest).dropDuplicates(["doc_id", "_key"]).drop("_key")
+        out = out.join(repeated, is_row, "left_anti").unionByName(one)
+    return out
