@@ -14,7 +14,9 @@ from shopflow.llm.mixing import mix_sources
 from shopflow.llm.ngram_join import ngram_jaccard_join
 from shopflow.llm.pii import find_personal_data
 from shopflow.llm.quality import score_quality
+from shopflow.llm.ranked_search import ranked_search
 from shopflow.llm.substring_dedup import remove_repeats
+from shopflow.llm.token_counts import count_tokens
 from shopflow.llm.urlrank import filter_urls
 from shopflow.llm.warc import warc_round_trip
 
@@ -98,3 +100,36 @@ def op8(spark, sf_dir):
 @register("op3_quality_mil")
 def op3(spark, sf_dir):
     return score_quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+# The folder of vocabulary files comes from the installed package of public tokenizers.
+TOKEN_MODEL = "piece_bpe_32k.model"
+
+
+@register("op12_token_counts")
+def op12(spark, sf_dir):
+    import public_tokenizers
+    return count_tokens(table(spark, sf_dir, "documents"), public_tokenizers.path(TOKEN_MODEL))
+
+
+@register("op13_ranked_search", r"""
+with d as (select row_number() over () as d, doc_id,
+                  regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                                     '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') as ts from documents),
+s as (select count(*) as n_docs, sum(len(ts))::bigint as l from d where len(ts) > 0),
+p as (select d, doc_id, len(ts)::bigint as n, unnest(ts) as t from d),
+tf as (select d, doc_id, n, t, count(*)::bigint as tf from p group by all),
+df as (select t, count(*)::bigint as df from tf group by t),
+w as (select t, floor(1000 * ln((2 * n_docs + 2)::double / (2 * df + 1)::double))::bigint as w from df, s),
+i as (select row_number() over () as q, item_id,
+             list_distinct(regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                                              '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) as ts from benchmark),
+it as (select q, item_id, unnest(ts) as t from i),
+sc as (select q, item_id, d, doc_id,
+              sum(w * ((1000000000 * tf) // (1000 * tf + 8 * (100 - 90 + (90 * n * n_docs) // l))))::bigint as score
+       from it join tf using (t) join w using (t), s group by q, item_id, d, doc_id),
+r as (select *, row_number() over (partition by q order by score desc, doc_id nulls first, d) as rank from sc where score > 0)
+select item_id, rank::int as rank, doc_id, score from r where rank <= 10
+""")
+def op13(spark, sf_dir):
+    return ranked_search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
