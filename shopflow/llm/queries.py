@@ -15,6 +15,7 @@ from shopflow.llm.ngram_join import ngram_jaccard_join
 from shopflow.llm.pii import find_personal_data
 from shopflow.llm.quality import score_quality
 from shopflow.llm.ranked_search import ranked_search
+from shopflow.llm.repair import repair_digests
 from shopflow.llm.substring_dedup import remove_repeats
 from shopflow.llm.token_counts import count_tokens
 from shopflow.llm.urlrank import filter_urls
@@ -102,6 +103,67 @@ def op3(spark, sf_dir):
     return score_quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+@register("op11_repair_turns", r"""
+with recursive c as (
+  select conv_id, turn, coalesce(role, ' ') as role, coalesce(text, ' ') as text,
+         coalesce(conv_id::varchar, ' ') || ':' || coalesce(turn::varchar, ' ') as key from conversations),
+k as (  -- crc32 of each key, bit by bit
+  select key, xor(list_reduce(list_prepend(4294967295::bigint, flatten(list_transform(string_split(key, ''),
+                lambda x: [ascii(x)::bigint, 0, 0, 0, 0, 0, 0, 0]))),
+              lambda a, x: xor(xor(a, x) >> 1, 3988292384 * (xor(a, x) & 1))), 4294967295) % 20 as kind
+  from (select distinct key from c)),
+d as (
+  select conv_id, turn, case when kind = 4 then 'user' else role end as role,
+         case kind when 1 then '' when 2 then translate(text, '.!?', '') else text end as text,
+         unnest(case when kind = 3 then [0, 1] else [0] end) as copy
+  from c join k using (key) where kind <> 0),
+e as (select *, sha256(text) as sha, rtrim(text, e' \t\n\x0b\f\r') as body, left(role, 1) as initial from d),
+f as (
+  select *, row_number() over (partition by conv_id order by turn nulls first, role, sha, copy) as i,
+         body = '' as blank, row_number() over (partition by conv_id, role, sha order by turn nulls first, copy) > 1 as twice,
+         right(body, 1) not in ('.', '!', '?') as cut from e),
+l as (
+  select *, blank or twice as gone,
+         coalesce(lag(initial) over (partition by conv_id order by i) || initial not in ('su', 'ua', 'au'), false) as illegal from f),
+counts as (
+  select conv_id, coalesce(max(turn) - min(turn) + 1 - count(distinct turn), 0) as gaps, count(*) filter (blank) as blank,
+         count(*) filter (not blank and twice) as duplicate, count(*) filter (not gone and cut) as truncated,
+         count(*) filter (illegal) as illegal, max(i) as n from l group by conv_id),
+-- insertions lead from state p to state q: 0 nothing yet, 1 after system, 2 after user, 3 after assistant
+ins as (select * from (values (0, 0, ''), (1, 1, ''), (2, 2, ''), (3, 3, ''), (0, 2, 'I'), (1, 2, 'I'), (3, 2, 'I'), (2, 3, 'I'),
+                              (0, 3, 'II'), (1, 3, 'II')) as t(p, q, put)),
+-- a row's edit leads from state q to state r; a kept one needs its initial
+ed as (select * from (values (0, 0, 'D', null), (1, 1, 'D', null), (2, 2, 'D', null), (3, 3, 'D', null),
+                             (0, 2, 'R', null), (1, 2, 'R', null), (3, 2, 'R', null), (2, 3, 'R', null),
+                             (0, 1, 'K', 's'), (0, 2, 'K', 'u'), (1, 2, 'K', 'u'), (3, 2, 'K', 'u'), (2, 3, 'K', 'a')) as t(q, r, edit, needs)),
+walk as (  -- the best way to each state after each row
+  select conv_id, 0::bigint as i, 0 as state, {'cost': 0, 'audit': '', 'body': ''} as best from counts
+  union all
+  select conv_id, i, state, min(best) from (
+    select w.conv_id, l.i, ed.r as state, {
+      'cost': w.best.cost + 2 * length(put) + case edit when 'D' then 3 else case edit when 'R' then 2 else 0 end + cut::int end,
+      'audit': w.best.audit || put || edit,
+      'body': w.best.body || case put when '' then '' when 'II' then e'\nuser:\nassistant:' else case ins.q when 2 then e'\nuser:' else e'\nassistant:' end end
+              || case edit when 'D' then '' when 'K' then e'\n' || role || ':' || text
+                 else e'\n' || case ed.r when 2 then 'user:' else 'assistant:' end || text end} as best
+    from walk w join l on l.conv_id is not distinct from w.conv_id and l.i = w.i + 1
+    join ins on ins.p = w.state join ed on ed.q = ins.q
+    where (edit = 'D' or not gone) and (needs is null or needs = initial)) group by all),
+done as (
+  select w.conv_id, min({'cost': w.best.cost + 2 * length(put), 'audit': w.best.audit || put,
+         'body': w.best.body || case put when '' then '' when 'II' then e'\nuser:\nassistant:' else case ins.q when 2 then e'\nuser:' else e'\nassistant:' end end}) as best
+  from walk w join counts n on n.conv_id is not distinct from w.conv_id and n.n = w.i join ins on ins.p = w.state
+  where ins.q in (0, 3) group by w.conv_id)
+select o.conv_id, coalesce(gaps, 0)::bigint as gaps, coalesce(blank, 0)::bigint as blank, coalesce(duplicate, 0)::bigint as duplicate,
+       coalesce(truncated, 0)::bigint as truncated, coalesce(illegal, 0)::bigint as illegal, coalesce(best.cost, 0)::bigint as cost,
+       coalesce(best.audit, '') as audit, sha256(substr(coalesce(best.body, ''), 2)) as repaired_sha256
+from (select distinct conv_id from conversations) o
+left join counts n on n.conv_id is not distinct from o.conv_id left join done x on x.conv_id is not distinct from o.conv_id
+""")
+def op11(spark, sf_dir):
+    return repair_digests(table(spark, sf_dir, "conversations"))
+
+
 # The folder of vocabulary files comes from the installed package of public tokenizers.
 TOKEN_MODEL = "piece_bpe_32k.model"
 
