@@ -53,6 +53,6 @@ def test_near_and_benchmark_go_by_row(spark, tmp_path):
 
 
 def test_registered():
-    assert [n.split("_")[0] for n in queries.QUERIES if n.startswith("op")] and {f"op{i}" for i in range(1, 11)} == {n.split("_")[0] for n in queries.QUERIES}
+    assert [n.split("_")[0] for n in queries.QUERIES if n.startswith("op")] and {f"op{i}" for i in range(1, 14)} == {n.split("_")[0] for n in queries.QUERIES}
     assert set(queries.ORACLES) <= set(queries.QUERIES)
     assert importlib.util.find_spec("corpus_pipeline")
