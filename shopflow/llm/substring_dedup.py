@@ -13,8 +13,9 @@ windows with one anchor form a piece, and pieces of one anchor meet in one task.
    prefixes of 50 bytes give each window's smallest doc_id.
 4. Covered bytes are joined back to their texts and cut out.
 
-Copies of a text smaller in doc_id are removed whole. Hashes (64 bits, 44 as keys) choose what meets;
-windows themselves are compared byte by byte.
+Copies of a text smaller in doc_id are removed whole; texts are equal if their SHA-256 is, and its first
+``ID`` bytes name a text in tasks. Hashes of 64 bits (44 as keys) only choose what meets; windows
+themselves are compared byte by byte.
 """
 
 from __future__ import annotations
@@ -28,9 +29,10 @@ from pyspark.sql import functions as F
 
 from shopflow.llm.common import materialise, ranges_for, text_bytes, text_chunks
 from shopflow.llm.shingles import _powers, _splitmix, mix, range_key
-from shopflow.llm.suffix import WINDOW, shared_windows
+from shopflow.llm.suffix import WINDOW, shared_runs
 
 GRAM = 26
+ID = 16                  # bytes of a text's SHA-256 that name it
 HOT = 2000
 PART = 512               # windows in one piece at most
 LONG = 4 << 20           # longer texts are hashed part by part
@@ -76,7 +78,7 @@ def _anchor_packets(bits: int, gather: int = 1 << 19):
             rng = (keys >> np.uint64(32)).astype(np.uint32)
             order = np.argsort(rng, kind="stable")
             keys, doc, rng = keys[order].astype(np.uint32), doc[order], rng[order]
-            node = np.array([x[1] for x in held], np.int64)
+            node = np.array([x[1] for x in held], f"S{ID}")
             cols = [[], [], [], []]
             cuts = np.searchsorted(rng, np.arange((1 << bits) + 1))
             for r in np.flatnonzero(np.diff(cuts)):
@@ -105,10 +107,10 @@ def _anchor_packets(bits: int, gather: int = 1 << 19):
 def _shared(pdf):
     """Of a hash range: for each text, the anchors that other texts hold too, and which are hot."""
     import pandas as pd
-    names = np.unique(np.concatenate([np.frombuffer(x, np.int64) for x in pdf["nodes"]]))
+    names = np.unique(np.frombuffer(b"".join(pdf["nodes"]), f"S{ID}"))
     held = []
     for g, n, own in zip(pdf["anchors"], pdf["counts"], pdf["nodes"]):
-        place = np.searchsorted(names, np.frombuffer(own, np.int64)).astype(np.uint64)
+        place = np.searchsorted(names, np.frombuffer(own, f"S{ID}")).astype(np.uint64)
         held.append((np.frombuffer(g, np.uint32).astype(np.uint64) << np.uint64(32)) | np.repeat(place, np.frombuffer(n, np.uint32)))
     both = np.concatenate(held)
     del held
@@ -120,13 +122,15 @@ def _shared(pdf):
     n = np.diff(np.append(first, len(g)))
     n = np.repeat(n, n)
     keep = n > 1
-    g, v, n = g[keep], names[(both[keep] & np.uint64(0xFFFFFFFF)).astype(np.int64)], n[keep]
+    g, v, n = g[keep], (both[keep] & np.uint64(0xFFFFFFFF)).astype(np.int64), n[keep]
     order = np.argsort(v, kind="stable")
     g, v, hot = g[order], v[order], n[order] > HOT
     cuts = np.flatnonzero(np.concatenate([[True], v[1:] != v[:-1]])) if len(v) else np.empty(0, np.int64)
     ends = [*cuts[1:], len(v)]
-    return pd.DataFrame({"node": v[cuts], "rng": pdf["rng"].iloc[0], "shared": [g[a:b].tobytes() for a, b in zip(cuts, ends)],
-                         "hot": [np.packbits(hot[a:b]).tobytes() for a, b in zip(cuts, ends)]}).astype({"rng": "int32", "node": "int64"})
+    whole = names.tobytes()
+    return pd.DataFrame({"node": [whole[ID * x:ID * x + ID] for x in v[cuts].tolist()], "rng": pdf["rng"].iloc[0],
+                         "shared": [g[a:b].tobytes() for a, b in zip(cuts, ends)],
+                         "hot": [hot[a:b].tobytes() for a, b in zip(cuts, ends)]}).astype({"rng": "int32"})
 
 
 class _Holders:
@@ -134,15 +138,16 @@ class _Holders:
     the piece is covered there."""
 
     def __init__(self):
-        self.best: dict = {}      # (key, content) -> [doc, [(digest, start), ...]]
-        self.covered: dict = {}   # (digest, doc) -> [(start, end), ...]
+        self.best: dict = {}      # (key, content) -> [doc, [(text, start), ...]]
+        self.texts: dict = {}     # (text, doc) -> its number
+        self.covered: list = []   # number, start, end, number, start, ...
         self.size = 0
 
-    def cover(self, doc: int, dg: int, start: int, end: int) -> None:
-        self.covered.setdefault((dg, doc), []).append((start, end))
+    def cover(self, doc: int, dg: bytes, start: int, end: int) -> None:
+        self.covered += (self.texts.setdefault((dg, doc), len(self.texts)), start, end)
 
-    def add(self, key: int, content: bytes, doc: int, dg: int, start: int) -> None:
-        old = self.best.get((key, content))
+    def add(self, key: int, content: bytes, doc: int, dg: bytes, start: int) -> None:
+        old = self.best.setdefault((key, content), None)
         if old is None or doc < old[0]:
             if old:
                 for g, s in old[1]:
@@ -157,31 +162,37 @@ class _Holders:
             self.cover(doc, dg, start, start + len(content))
 
     def covered_columns(self) -> list:
-        """dg, doc, starts, ends of the covered stretches, overlapping ones joined."""
-        out = [[], [], [], []]
-        for (dg, doc), found in self.covered.items():
-            a, b = join_runs(np.array(found, np.int64))
-            for c, v in zip(out, (dg, doc, a.tobytes(), b.tobytes())):
-                c.append(v)
-        return out
+        """text, doc, starts, ends of the covered stretches, overlapping ones joined."""
+        runs = np.array(self.covered, np.int64).reshape(-1, 3)
+        text, start, end = runs[np.lexsort((runs[:, 1], runs[:, 0]))].T
+        shift = text << 40  # texts apart, so that one pass joins the runs of all
+        start, end = join_sorted(start + shift, end + shift)
+        text = start >> 40
+        start, end = start - (text << 40), end - (text << 40)
+        cuts = np.searchsorted(text, np.arange(len(self.texts) + 1)).tolist()
+        return [[dg for dg, _ in self.texts], [doc for _, doc in self.texts],
+                [start[a:b].tobytes() for a, b in zip(cuts, cuts[1:])], [end[a:b].tobytes() for a, b in zip(cuts, cuts[1:])]]
+
+
+def join_sorted(start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Runs by ascending start -> the maximal runs they cover; touching ones join."""
+    if not len(start):
+        return start, end
+    reach = np.maximum.accumulate(end)
+    at = np.flatnonzero(np.concatenate([[True], start[1:] > reach[:-1]]))
+    return start[at], reach[np.append(at[1:], len(start)) - 1]
 
 
 def join_runs(runs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(start, end) rows -> starts and ends of the maximal runs they cover; touching ones join."""
-    if not len(runs):
-        return np.empty(0, np.int64), np.empty(0, np.int64)
-    runs = runs[np.argsort(runs[:, 0], kind="stable")]
-    reach = np.maximum.accumulate(runs[:, 1])
-    new = np.concatenate([[True], runs[1:, 0] > reach[:-1]])
-    at = np.flatnonzero(new)
-    return runs[at, 0], reach[np.append(at[1:], len(runs)) - 1]
+    """(start, end) rows -> starts and ends of the maximal runs they cover."""
+    return join_sorted(*runs[np.argsort(runs[:, 0], kind="stable")].T)
 
 
-PACKED = "rng int, dg long, doc long, keys binary, docs binary, dgs binary, starts binary, ends binary, blob binary"
+PACKED = "rng int, dg binary, doc long, keys binary, docs binary, dgs binary, starts binary, ends binary, blob binary"
 
 
 COLUMNS = PACKED.replace(",", "").split()[::2]
-TYPES = (pa.int32(), pa.int64(), pa.int64(), *[pa.binary()] * 6)
+TYPES = (pa.int32(), pa.binary(), pa.int64(), *[pa.binary()] * 6)
 COVERED = -1
 
 
@@ -197,9 +208,9 @@ def _pack(held: _Holders, bits: int):
         for dg, start in places:
             by.setdefault(key >> 32, []).append((key & 0xFFFFFFFF, doc, dg, start, content))
     for r, own in by.items():
-        rows.append((r, None, None, np.array([x[0] for x in own], np.uint32).tobytes(),
-                     *(np.array([x[k] for x in own], np.int64).tobytes() for k in (1, 2, 3)),
-                     np.cumsum([len(x[4]) for x in own]).astype(np.int64).tobytes(), b"".join(x[4] for x in own)))
+        keys, docs, dgs, starts, contents = zip(*own)
+        rows.append((r, None, None, np.array(keys, np.uint32).tobytes(), np.array(docs, np.int64).tobytes(), b"".join(dgs),
+                     np.array(starts, np.int64).tobytes(), np.cumsum([len(x) for x in contents]).astype(np.int64).tobytes(), b"".join(contents)))
     return _rows(rows)
 
 
@@ -207,25 +218,28 @@ def _cut_pieces(bits: int, gather: int = 32 << 20):
     def run(batches):
         held = _Holders()
         for rows, texts in text_chunks(batches, "text"):
-            col = lambda c: rows.column(rows.schema.get_field_index(c)).to_pylist()
-            for text, doc, dg, named in zip(texts, col("doc"), col("dg"), col("named")):
+            col = lambda c: rows.column(rows.schema.get_field_index(c))
+            named = col("named")
+            part = named.flatten()
+            ends = np.cumsum(np.diff(np.asarray(named.offsets))).tolist()
+            rng, shared, hots = np.asarray(part.field("rng")), part.field("shared").to_pylist(), part.field("hot").to_pylist()
+            for text, doc, dg, x, y in zip(texts, col("doc").to_pylist(), col("dg").to_pylist(), [0, *ends], ends):
                 keys, first, last = pieces(text or b"")
                 keys = range_key(keys, bits)
-                wanted = np.concatenate([(np.uint64(x["rng"]) << np.uint64(32)) + np.frombuffer(x["shared"], np.uint32) for x in named])
-                hot = np.concatenate([np.unpackbits(np.frombuffer(x["hot"], np.uint8), count=len(x["shared"]) // 4) for x in named])
+                wanted = np.frombuffer(b"".join(shared[x:y]), np.uint32) + (np.repeat(rng[x:y].astype(np.uint64), [len(v) // 4 for v in shared[x:y]]) << np.uint64(32))
+                hot = np.frombuffer(b"".join(hots[x:y]), bool)
                 order = np.argsort(wanted)
                 wanted, hot = wanted[order], hot[order]
                 at = np.minimum(np.searchsorted(wanted, keys), len(wanted) - 1)
-                for i in np.flatnonzero(wanted[at] == keys).tolist():
-                    a, b = int(first[i]), int(last[i])
-                    if hot[at[i]]:
+                i = np.flatnonzero(wanted[at] == keys)
+                for key, a, b, many in zip(keys[i].tolist(), first[i].tolist(), last[i].tolist(), hot[at[i]].tolist()):
+                    if many:
                         for w in range(a, b + 1):
                             content = text[w:w + WINDOW]
-                            key = int.from_bytes(hashlib.blake2b(content, digest_size=8).digest(), "big") >> (32 - bits)
-                            held.add(key, content, doc, dg, w)
+                            held.add(int.from_bytes(hashlib.blake2b(content, digest_size=8).digest(), "big") >> (32 - bits), content, doc, dg, w)
                     else:
                         for w in range(a, b + 1, PART):
-                            held.add(int(keys[i]), text[w:min(w + PART - 1, b) + WINDOW], doc, dg, w)
+                            held.add(key, text[w:min(w + PART - 1, b) + WINDOW], doc, dg, w)
                     if held.size >= gather:
                         yield _pack(held, bits)
                         held = _Holders()
@@ -241,7 +255,7 @@ def _sort_pieces(pdf):
     for keys, docs, dgs, starts, ends, blob in zip(*(pdf[c] for c in ("keys", "docs", "dgs", "starts", "ends", "blob"))):
         ends = np.frombuffer(ends, np.int64).tolist()
         for key, doc, dg, start, a, b in zip(np.frombuffer(keys, np.uint32).tolist(), np.frombuffer(docs, np.int64).tolist(),
-                                             np.frombuffer(dgs, np.int64).tolist(), np.frombuffer(starts, np.int64).tolist(), [0, *ends], ends):
+                                             [dgs[k:k + ID] for k in range(0, len(dgs), ID)], np.frombuffer(starts, np.int64).tolist(), [0, *ends], ends):
             held.add(key, blob[a:b], doc, dg, start)
     groups: dict[int, list] = {}
     for (key, content), value in held.best.items():
@@ -249,13 +263,11 @@ def _sort_pieces(pdf):
     batch, size = [], 0
 
     def settle():
-        hits = shared_windows([c for c, _ in batch], np.array([v[0] for _, v in batch], np.int64))
-        for (_, (doc, places)), at in zip(batch, hits):
-            if len(at):
-                a, b = join_runs(np.stack([at, at + WINDOW], 1))
-                for dg, start in places:
-                    for x, y in zip(a.tolist(), b.tolist()):
-                        held.cover(doc, dg, start + x, start + y)
+        which, start, end = shared_runs([c for c, _ in batch], np.array([v[0] for _, v in batch], np.int64))
+        for k, x, y in zip(which.tolist(), start.tolist(), end.tolist()):
+            doc, places = batch[k][1]
+            for dg, at in places:
+                held.cover(doc, dg, at + x, at + y)
 
     for own in groups.values():
         if len(own) > 1:  # the windows of a single piece occur nowhere else
@@ -267,7 +279,7 @@ def _sort_pieces(pdf):
     if batch:
         settle()
     dg, doc, a, b = held.covered_columns()
-    return pd.DataFrame({"dg": pd.Series(dg, dtype="int64"), "doc": pd.Series(doc, dtype="int64"), "starts": a, "ends": b})
+    return pd.DataFrame({"dg": dg, "doc": pd.Series(doc, dtype="int64"), "starts": a, "ends": b})
 
 
 def _cut_out(batches):
@@ -292,27 +304,27 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
     ``n_spans``, ``kept_sha256``, every byte removed that a 50-byte string covers which also starts in
     a text with a smaller doc_id (judged on the input; overlaps count).
 
-    Null texts are empty; texts under 50 bytes lose nothing. A null doc_id counts as largest. Rows
+    Null texts are empty; texts under 50 bytes lose nothing. A null doc_id counts as 2^63-1, the largest. Rows
     that repeat a doc_id don't act on each other. Other columns are ignored. An empty table gives no rows.
     """
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
     bits = ranges_for(text_bytes(docs))
-    docs = docs.withColumns({"dg": F.xxhash64("text"), "doc": F.coalesce("doc_id", F.lit((1 << 63) - 1))})
+    docs = docs.withColumns({"dg": F.unhex(F.substring(F.sha2("text", 256), 1, 2 * ID)), "doc": F.coalesce("doc_id", F.lit((1 << 63) - 1))})
     texts = materialise(docs.select("doc_id", "doc", "dg", F.octet_length("text").cast("long").alias("n_bytes"), F.sha2("text", 256).alias("own_sha")), "texts")
-    classes = texts.groupBy(F.col("dg").alias("c_dg")).agg(F.min("doc").alias("rep"))
+    classes = texts.groupBy("own_sha").agg(F.first("dg").alias("c_dg"), F.min("doc").alias("rep")).drop("own_sha")
     shared = (docs.select("text", "dg").mapInArrow(_anchor_packets(bits), "rng int, anchors binary, counts binary, nodes binary")
-              .groupBy("rng").applyInPandas(_shared, "node long, rng int, shared binary, hot binary"))
+              .groupBy("rng").applyInPandas(_shared, "node binary, rng int, shared binary, hot binary"))
     named = (shared.groupBy("node").agg(F.collect_list(F.struct("rng", "shared", "hot")).alias("named"))
              .join(classes, F.col("node") == F.col("c_dg")).select("node", "rep", "named"))
     cut = (docs.join(named.hint("merge"), (F.col("dg") == F.col("node")) & (F.col("doc") == F.col("rep"))).select("text", "doc", "dg", "named")
            .mapInArrow(_cut_pieces(bits), PACKED))
     cut = materialise(cut, "pieces")
     sorted_out = (cut.where(f"rng <> {COVERED}").drop("dg", "doc").groupBy("rng")
-                  .applyInPandas(_sort_pieces, "dg long, doc long, starts binary, ends binary"))
+                  .applyInPandas(_sort_pieces, "dg binary, doc long, starts binary, ends binary"))
     covered = cut.where(f"rng = {COVERED}").select("dg", "doc", "starts", "ends").union(sorted_out)
     covered = covered.groupBy(F.col("dg").alias("f_dg"), F.col("doc").alias("f_doc")).agg(F.collect_list(F.struct("starts", "ends")).alias("found"))
     left = (docs.join(covered.hint("merge"), (F.col("dg") == F.col("f_dg")) & (F.col("doc") == F.col("f_doc")))
-            .select("dg", "doc", "found", "text").mapInArrow(_cut_out, "dg long, doc long, removed long, spans long, sha string")
+            .select("dg", "doc", "found", "text").mapInArrow(_cut_out, "dg binary, doc long, removed long, spans long, sha string")
             .groupBy(F.col("dg").alias("l_dg"), F.col("doc").alias("l_doc"))  # rows that repeat both id and text
             .agg(F.first("removed").alias("removed"), F.first("spans").alias("spans"), F.first("sha").alias("sha")))
     info = (classes.join(left, (F.col("c_dg") == F.col("l_dg")) & (F.col("rep") == F.col("l_doc")), "left")

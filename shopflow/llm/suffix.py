@@ -79,9 +79,10 @@ def suffix_array(text: np.ndarray, words: np.ndarray | None = None) -> np.ndarra
     return np.concatenate(out)
 
 
-def shared_windows(strings: list[bytes], owners: np.ndarray) -> list[np.ndarray]:
-    """For each string the sorted starts of its 50-byte windows that also occur in a string of a
-    smaller owner: adjacent suffixes with 50 common bytes form a group, whose smallest owner keeps it."""
+def _hits(strings: list[bytes], owners: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Sorted starts, in the joined strings, of the 50-byte windows that also occur in a string of a smaller
+    owner (adjacent suffixes with 50 common bytes form a group, whose smallest owner keeps it), the string
+    of each, and where the strings begin."""
     lengths = np.array([len(s) for s in strings])
     text = np.frombuffer(bytes([END]).join(strings) + bytes([END]), np.uint8)
     begins = np.concatenate([[0], np.cumsum(lengths + 1)])[:-1]
@@ -90,7 +91,7 @@ def shared_windows(strings: list[bytes], owners: np.ndarray) -> list[np.ndarray]
     home = np.repeat(np.arange(len(strings)), lengths + 1)
     order = order[order + WINDOW <= (begins + lengths)[home[order]]]
     if not len(order):
-        return [order] * len(strings)
+        return order, order, begins
     a, b = order[:-1], order[1:]
     same = np.ones(len(a), bool)
     for k in range(WINDOW // 8):
@@ -101,5 +102,22 @@ def shared_windows(strings: list[bytes], owners: np.ndarray) -> list[np.ndarray]
     owner = owners[home[order]]
     least = np.repeat(np.minimum.reduceat(owner, firsts), np.diff([*firsts, len(order)]))
     hit = np.sort(order[owner > least])
-    at = np.searchsorted(hit, np.concatenate([begins, [len(text)]]))
+    return hit, home[hit], begins
+
+
+def shared_windows(strings: list[bytes], owners: np.ndarray) -> list[np.ndarray]:
+    """For each string the sorted starts of its windows that a string of a smaller owner holds too."""
+    hit, home, begins = _hits(strings, owners)
+    at = np.searchsorted(home, np.arange(len(strings) + 1))
     return [hit[x:y] - s for x, y, s in zip(at[:-1], at[1:], begins)]
+
+
+def shared_runs(strings: list[bytes], owners: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(string, start, end) of the maximal stretches that those windows cover."""
+    hit, home, begins = _hits(strings, owners)
+    if not len(hit):
+        return hit, hit, hit
+    new = np.flatnonzero(np.concatenate([[True], (home[1:] != home[:-1]) | (np.diff(hit) > WINDOW)]))
+    last = hit[np.append(new[1:], len(hit)) - 1]
+    string = home[new]
+    return string, hit[new] - begins[string], last + WINDOW - begins[string]
