@@ -61,9 +61,14 @@ def text_bytes(df: DataFrame, col: str = "text") -> int:
 
 
 def ranges_for(total_bytes: int, bytes_per_range: int = 16 << 20, least: int = 64) -> int:
-    """Bits of a hash-range split: about ``bytes_per_range`` of text for each range."""
-    need = max(least, total_bytes // bytes_per_range)
-    return min(17, math.ceil(math.log2(need)))
+    """Bits of a hash-range split: about ``bytes_per_range`` of text for each range, whatever the
+    size (hashes have 32 bits to spare for it, enough for 64 PB)."""
+    return min(32, math.ceil(math.log2(max(least, total_bytes // bytes_per_range))))
+
+
+def gathered(least: int, bits: int) -> int:
+    """Entries a task collects before it ships them by range: some for each range, within bounded memory."""
+    return max(least, min(8 << bits, 1 << 23))
 
 
 def text_chunks(batches, text: str, limit: int = 2 << 20):

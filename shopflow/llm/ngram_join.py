@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from shopflow.llm.common import materialise, ranges_for, text_bytes, text_chunks
+from shopflow.llm.common import gathered, materialise, ranges_for, text_bytes, text_chunks
 from shopflow.llm.components import components
 from shopflow.llm.shingles import range_key, set_digest, shingle_sets
 
@@ -62,19 +62,21 @@ def _doc_sets(carried: list[str]):
     return run
 
 
-def _split(keys: np.ndarray, bits: int):
-    """(range, start, end) for sorted keys of ``bits`` + 32 bits."""
-    cuts = np.searchsorted(keys, np.arange((1 << bits) + 1, dtype=np.uint64) << np.uint64(32))
-    for r in np.flatnonzero(np.diff(cuts)):
-        yield int(r), cuts[r], cuts[r + 1]
+def _split(keys: np.ndarray):
+    """(range, start, end) for sorted keys, whose lower 32 bits lie within a range."""
+    rng = (keys >> np.uint64(32)).astype(np.int64)
+    at = np.flatnonzero(np.concatenate([[True], rng[1:] != rng[:-1]]))
+    yield from zip(rng[at].tolist(), at.tolist(), [*at[1:].tolist(), len(rng)])
 
 
-def _count_packets(bits: int, gather: int = 1 << 20):
+def _count_packets(bits: int):
     def run(batches):
+        gather = gathered(1 << 20, bits)
+
         def flush(held):
             keys, counts = np.unique(np.concatenate(held), return_counts=True)
             low, counts = keys.astype(np.uint32), np.minimum(counts, 65535).astype(np.uint16)
-            out = [(r, low[a:b].tobytes(), counts[a:b].tobytes()) for r, a, b in _split(keys, bits)]
+            out = [(r, low[a:b].tobytes(), counts[a:b].tobytes()) for r, a, b in _split(keys)]
             return pa.RecordBatch.from_arrays(
                 [pa.array([x[0] for x in out], pa.int32()), pa.array([x[1] for x in out], pa.binary()),
                  pa.array([x[2] for x in out], pa.binary())], names=["rng", "grams", "counts"])
@@ -128,9 +130,10 @@ def hot_grams(frequent: DataFrame, most: int = HOT) -> tuple[np.ndarray, np.ndar
     return keys[order], level[order]
 
 
-def _prefix_packets(bits: int, hot, gather: int = 1 << 19):
+def _prefix_packets(bits: int, hot):
     def run(batches):
         hot_keys, hot_levels = hot.value
+        gather = gathered(1 << 19, bits)
 
         def flush(held):
             keys = range_key(np.concatenate([x[0] for x in held]), bits)
@@ -139,7 +142,7 @@ def _prefix_packets(bits: int, hot, gather: int = 1 << 19):
             keys, doc = keys[order], doc[order]
             node, size = np.array([x[1] for x in held], np.int64), np.array([x[2] for x in held], np.int32)
             cols = [[], [], [], [], []]
-            for r, a, b in _split(keys, bits):
+            for r, a, b in _split(keys):
                 own, ref = np.unique(doc[a:b], return_inverse=True)
                 for c, v in zip(cols, (r, keys[a:b].astype(np.uint32).tobytes(), ref.astype(np.uint32 if len(own) > 65535 else np.uint16).tobytes(),
                                        node[own].tobytes(), size[own].tobytes())):
@@ -147,12 +150,13 @@ def _prefix_packets(bits: int, hot, gather: int = 1 << 19):
             return pa.RecordBatch.from_arrays([pa.array(cols[0], pa.int32()), *(pa.array(c, pa.binary()) for c in cols[1:])],
                                               names=["rng", "grams", "refs", "nodes", "sizes"])
 
-        held, total = [], 0
+        held, seen, total = [], set(), 0
         for _, texts in text_chunks(batches, "text"):
             for s in shingle_sets(texts):
                 n = len(s)
-                if not n:
+                if not n or (digest := set_digest(s)) in seen:  # copies are one set
                     continue
+                seen.add(digest)
                 p = prefix_len(n)
                 if len(hot_keys):
                     keys = range_key(s, bits)
@@ -165,11 +169,11 @@ def _prefix_packets(bits: int, hot, gather: int = 1 << 19):
                         rare = np.concatenate([rare, late])
                 else:
                     rare = s
-                held.append((rare[:p], set_digest(s)[0], n))
+                held.append((rare[:p], digest[0], n))
                 total += p
             if total >= gather:
                 yield flush(held)
-                held, total = [], 0
+                held, seen, total = [], set(), 0
         if held:
             yield flush(held)
     return run
@@ -289,7 +293,8 @@ def _linked(docs: DataFrame, carried: list[str]) -> DataFrame:
     """``docs(doc_id, text, *carried)`` -> for each row: ``doc_id``, ``carried``, ``n_shingles``, ``component_id``, ``n_links``,
     and ``group_hi``, ``group_lo``, the same for the rows of a component only (null without shingles).
 
-    ``carried`` is empty or the binary digest of the text: with it a row is found again by id and text, without it by id."""
+    ``carried`` names the binary digest of the text: a row is found again by id and text, so null and repeated ids
+    meet no other texts."""
     spark = docs.sparkSession
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), *carried)
     texts = docs.select("text")
@@ -351,7 +356,8 @@ def ngram_jaccard_join(docs: DataFrame) -> DataFrame:
     doc_id each count; a null doc_id stays null unless its component has another id. Other
     columns are ignored. An empty table gives no rows.
     """
-    return _linked(docs, []).drop("group_hi", "group_lo")
+    docs = docs.select("doc_id", "text", F.unhex(F.sha2(F.col("text").cast("string"), 256)).alias("key"))
+    return _linked(docs, ["key"]).drop("key", "group_hi", "group_lo")
 
 
 def drop_near_copies(docs: DataFrame) -> DataFrame:

@@ -58,13 +58,46 @@ def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     return t["power"], t["inverse"]
 
 
+PRIME = (1 << 31) - 1
+_BASES = [int(x) % (PRIME - 2) + 2 for x in _splitmix(17, 2)]
+
+
+def _prime_powers(n: int) -> list:
+    """For each base the powers and inverse powers below ``n``, modulo ``PRIME``."""
+    t = _tables()
+    if len(t.setdefault("prime", [(np.ones(1, np.uint64),) * 2] * 2)[0][0]) < n:
+        grown = []
+        for base in _BASES:
+            pair = []
+            for b in (base, pow(base, -1, PRIME)):
+                x = np.ones(1, np.uint64)
+                while len(x) < n:
+                    x = np.concatenate([x, x * np.uint64(pow(b, len(x), PRIME)) % np.uint64(PRIME)])
+                pair.append(x)
+            grown.append(tuple(pair))
+        t["prime"] = grown
+    return t["prime"]
+
+
+def _word_hashes(buf: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """62 bits of each word: polynomials of its bytes modulo a prime at two points. (Modulo a power of
+    two, words of a regular pattern collide whatever the point.)"""
+    out = []
+    byte = _tables()["byte"] % np.uint64(PRIME - 1) + np.uint64(1)
+    for power, inverse in _prime_powers(len(buf) + 1):
+        term = byte[buf] * power[:len(buf)]
+        sums = np.zeros(len(buf) + 1, np.uint64)
+        np.cumsum((term & np.uint64(PRIME)) + (term >> np.uint64(31)), out=sums[1:])
+        out.append((sums[ends] - sums[starts]) % np.uint64(PRIME) * inverse[starts] % np.uint64(PRIME))
+    return mix((out[0] << np.uint64(31)) | out[1])
+
+
 def shingle_sets(texts: list, width: int = 5) -> list[np.ndarray]:
     """For each text (UTF-8 bytes or None) the sorted distinct hashes of its ``width``-word
     shingles over A-Z-lower-cased words; shorter texts have one shingle, empty ones none."""
     t = _tables()
     out: list[np.ndarray] = [np.empty(0, np.uint64)] * len(texts)
     buf = np.frombuffer(b" ".join(x or b"" for x in texts) + b" ", np.uint8)
-    power, inverse = _powers(len(buf))
     sep = t["sep"][buf]
     word = np.empty(len(buf) + 1, np.int8)
     word[0], word[1:] = 0, ~sep
@@ -73,9 +106,7 @@ def shingle_sets(texts: list, width: int = 5) -> list[np.ndarray]:
     if not len(starts):
         return out
     ends = np.flatnonzero(step == -1)
-    sums = np.zeros(len(buf) + 1, np.uint64)
-    np.cumsum(t["byte"][buf] * power[:len(buf)], out=sums[1:])
-    words = mix((sums[ends] - sums[starts]) * inverse[starts])
+    words = _word_hashes(buf, starts, ends)
     # texts are joined by one space, so the text of a word follows from the texts' offsets
     firsts = np.cumsum([0] + [len(x or b"") + 1 for x in texts])
     bounds = np.searchsorted(starts, firsts)

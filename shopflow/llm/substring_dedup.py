@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from shopflow.llm.common import materialise, ranges_for, text_bytes, text_chunks
+from shopflow.llm.common import gathered, materialise, ranges_for, text_bytes, text_chunks
 from shopflow.llm.shingles import _powers, _splitmix, mix, range_key
 from shopflow.llm.suffix import WINDOW, shared_runs
 
@@ -70,8 +70,10 @@ def pieces(text: bytes):
     return np.concatenate(hashes), np.concatenate(first), np.concatenate(last)
 
 
-def _anchor_packets(bits: int, gather: int = 1 << 19):
+def _anchor_packets(bits: int):
     def run(batches):
+        gather = gathered(1 << 19, bits)
+
         def flush(held):
             keys = np.concatenate([x[0] for x in held])
             doc = np.repeat(np.arange(len(held)), [len(x[0]) for x in held])
@@ -80,25 +82,28 @@ def _anchor_packets(bits: int, gather: int = 1 << 19):
             keys, doc, rng = keys[order].astype(np.uint32), doc[order], rng[order]
             node = np.array([x[1] for x in held], f"S{ID}")
             cols = [[], [], [], []]
-            cuts = np.searchsorted(rng, np.arange((1 << bits) + 1))
-            for r in np.flatnonzero(np.diff(cuts)):
-                a, b = cuts[r], cuts[r + 1]
+            cuts = np.flatnonzero(np.concatenate([[True], rng[1:] != rng[:-1]]))
+            for a, b in zip(cuts, [*cuts[1:], len(rng)]):
+                r = rng[a]
                 own, n = np.unique(doc[a:b], return_counts=True)
                 for c, v in zip(cols, (int(r), keys[a:b].tobytes(), n.astype(np.uint32).tobytes(), node[own].tobytes())):
                     c.append(v)
             return pa.RecordBatch.from_arrays([pa.array(cols[0], pa.int32()), *(pa.array(c, pa.binary()) for c in cols[1:])],
                                               names=["rng", "anchors", "counts", "nodes"])
 
-        held, total = [], 0
+        held, seen, total = [], set(), 0
         for rows, texts in text_chunks(batches, "text"):
             for text, node in zip(texts, rows.column(rows.schema.get_field_index("dg")).to_pylist()):
+                if node in seen:  # copies are one text
+                    continue
+                seen.add(node)
                 keys = np.unique(range_key(pieces(text or b"")[0], bits))
                 if len(keys):
                     held.append((keys, node))
                     total += len(keys)
                 if total >= gather:
                     yield flush(held)
-                    held, total = [], 0
+                    held, seen, total = [], set(), 0
         if held:
             yield flush(held)
     return run
