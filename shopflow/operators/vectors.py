@@ -1,11 +1,12 @@
 """Exact vector similarity search (V1, V3, V4) and text embeddings.
 
-kNN is a blocked join: both sides are hashed into ``nb`` blocks, every (query
-block, corpus block) pair meets in one cogroup task, and that task multiplies
-the two blocks with numpy and keeps only each query's best ``k`` (or the rows
-above a threshold). No query x corpus row is ever materialised; a final
-per-query top-k merges the per-block winners. Block count follows the data
-size (``block_rows`` vectors per block), so work per task stays bounded.
+Corpus vectors are clustered around pivots (a bounded sample of the corpus); each cluster notes the
+least and largest angle to its pivot. The triangle inequality bounds a query's similarity with
+all of a cluster by its angle to the pivot. A query first visits the cluster of its nearest
+pivot, which gives a floor for its k-th similarity, then only clusters whose bound reaches the
+floor (with a threshold, those whose bound reaches that). Equal vectors are one class, searched
+once. In a task one numpy product scores some queries against some of a cluster, and what leaves
+it is each query's best ``k`` (or the rows above the threshold).
 """
 
 from __future__ import annotations
@@ -17,13 +18,13 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from shopflow.operators.classes import smallest_ids, spread
 from shopflow.operators.topk import top_k
 from shopflow.session import checkpoint_dir
 
-
-
-def _blocks(n_rows: int, block_rows: int) -> int:
-    return max(1, math.ceil(n_rows / block_rows))
+MOST_PIVOTS = 1024
+PIVOT_FLOATS = 1 << 21   # of all pivots together (16 MB), sent to every task
+SLACK = 2e-9             # similarities are rounded to 9 places
 
 
 def _matrix(vs) -> np.ndarray:
@@ -34,38 +35,26 @@ def _matrix(vs) -> np.ndarray:
     return out
 
 
-def _scorer(k: int | None, threshold: float | None, exclude_self: bool):
-    def score(_key, q: pd.DataFrame, c: pd.DataFrame) -> pd.DataFrame:
+def _scorer(k: int | None, threshold: float | None):
+    def score(q: pd.DataFrame, c: pd.DataFrame) -> pd.DataFrame:
+        none = pd.DataFrame({"qid": [], "did": [], "lead": [], "score": []})
         if q.empty or c.empty:
-            return pd.DataFrame({"qid": [], "cid": [], "sim": []})
-        qm, cm = _matrix(q["vec"]), _matrix(c["vec"])
+            return none
         # cosine; a zero vector scores 0 (F12). Rounded to 9 places so that equal vectors tie
         # exactly whatever the summation order, and ties resolve by id.
-        sims = np.round(qm @ cm.T, 9)
-        qids = q["id"].to_numpy()
-        cids = c["id"].to_numpy()
-        if exclude_self:
-            sims = np.where(qids[:, None] == cids[None, :], -np.inf, sims)
-        out_q, out_c, out_s = [], [], []
-        order_c = np.argsort(cids, kind="stable")
-        sims, ids = sims[:, order_c], cids[order_c]
-        if threshold is None and len(ids) > k:  # the k-th best of each row; all that tie with it are kept for now
-            least = np.partition(sims, len(ids) - k, axis=1)[:, len(ids) - k]
-        else:
-            least = np.full(len(qids), -np.inf)
-        for i in range(len(qids)):
-            row = sims[i]
-            if threshold is not None:
-                sel = np.nonzero(row > threshold)[0]
-            else:
-                sel = np.nonzero((row >= least[i]) & np.isfinite(row))[0]
-                # stable sort on -sim keeps id order among equal similarities
-                sel = sel[np.argsort(-row[sel], kind="stable")[:k]]
-            out_q.append(np.full(len(sel), qids[i]))
-            out_c.append(ids[sel])
-            out_s.append(row[sel])
-        return pd.DataFrame({"qid": np.concatenate(out_q), "cid": np.concatenate(out_c),
-                             "sim": np.concatenate(out_s).astype("float64")})
+        c = c.sort_values("lead", kind="stable")
+        sims = np.round(_matrix(q["vec"]) @ _matrix(c["vec"]).T, 9)
+        floor = threshold if threshold is not None else q["floor"].to_numpy()[:, None]
+        keep = sims > floor if threshold is not None else (sims >= floor) & np.isfinite(sims)
+        if k is not None and sims.shape[1] > k:  # the k best of each row and all that tie with the last
+            keep &= sims >= np.partition(sims, -k, axis=1)[:, [-k]]
+        at, to = np.nonzero(keep)
+        if k is not None and len(at):  # rows stand by lead, so a stable sort keeps the smaller one first
+            order = np.lexsort((to, -sims[at, to], at))
+            at, to = at[order], to[order]
+            place = np.arange(len(at)) - np.searchsorted(at, at)
+            at, to = at[place < k], to[place < k]
+        return pd.DataFrame({"qid": q["qid"].to_numpy()[at], "did": c["cid"].to_numpy()[to], "lead": c["lead"].to_numpy()[to], "score": sims[at, to]})
     return score
 
 
@@ -74,37 +63,133 @@ def _id(df: DataFrame, name: str) -> Column:
     return F.col(name).cast("bigint") if dict(df.dtypes)[name] in ("tinyint", "smallint", "int", "bigint") else F.col(name)
 
 
+def _vector_classes(df: DataFrame, id_col: str, vec_col: str) -> tuple[DataFrame, DataFrame]:
+    """(classes ``(cid, vec)``, members ``(cid, id)``) of rows with equal vectors; null vectors are left out."""
+    rows = df.select(_id(df, id_col).alias("id"), F.col(vec_col).alias("vec")).where("vec is not null")
+    classes = rows.groupBy("vec").agg(F.count(F.lit(1)).alias("n")).select("vec", F.monotonically_increasing_id().alias("cid")).checkpoint()
+    return classes, rows.join(classes, "vec").select("cid", "id").checkpoint()
+
+
+def _pivots(classes: DataFrame, n: int) -> np.ndarray:
+    """About the square root of the number of vectors, by hash; no zero vectors."""
+    some = classes.orderBy(F.xxhash64("vec"), "cid").limit(min(MOST_PIVOTS, max(1, math.isqrt(n)))).select("vec").collect()
+    m = _matrix([r["vec"] for r in some])
+    m = m[np.linalg.norm(m, axis=1) > 0]
+    return m[:max(1, PIVOT_FLOATS // max(1, m.shape[1]))] if len(m) else m
+
+
+def _angles(vs, pivots: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Unit vectors' angles to the pivots, and which vectors are zero."""
+    m = _matrix(vs)
+    return np.arccos(np.clip(m @ pivots.T, -1.0, 1.0)), ~(np.linalg.norm(m, axis=1) > 0)
+
+
+def _clustered(pivots: np.ndarray):
+    """Adds the nearest pivot (-1 for zero vectors or where there is no pivot) and the angle to it."""
+    def run(batches):
+        for pdf in batches:
+            if not len(pdf):
+                continue
+            if len(pivots):
+                angle, zero = _angles(pdf["vec"], pivots)
+                near = angle.argmin(axis=1)
+                pdf["cluster"], pdf["angle"] = np.where(zero, -1, near), np.where(zero, 0.0, angle[np.arange(len(near)), near])
+            else:
+                pdf["cluster"], pdf["angle"] = -1, 0.0
+            yield pdf
+    return run
+
+
+def _routes(pivots: np.ndarray, clusters: list, home: bool):
+    """(qid, vec, floor) -> a row for the query's first cluster (``home``), or for all others it must visit."""
+    ids = np.array([c[0] for c in clusters])
+    least, most = (np.array([c[i] for c in clusters]) for i in (1, 2))
+
+    def run(batches):
+        for pdf in batches:
+            if not len(pdf):
+                continue
+            sim = np.zeros((len(pdf), len(ids)))
+            if len(pivots):
+                angle, zero = _angles(pdf["vec"], pivots)
+                real = ids >= 0
+                a = angle[:, ids[real]]
+                apart = np.maximum(0.0, np.maximum(a - most[real], least[real] - a) - 1e-9)
+                sim[:, real] = np.where(zero[:, None], 0.0, np.cos(apart))
+                sim[:, real] += np.where(zero[:, None], 0.0, 1e-6 * (np.pi - a)) if home else SLACK  # equal bounds: the nearer pivot first
+            first = sim.argmax(axis=1)
+            if home:
+                at, to = np.arange(len(pdf)), first
+            else:
+                at, to = np.nonzero((sim >= pdf["floor"].to_numpy()[:, None] - SLACK) & (ids[None, :] != pdf["home"].to_numpy()[:, None]))
+            yield pd.DataFrame({"qid": pdf["qid"].to_numpy()[at], "vec": pdf["vec"].to_numpy()[at], "floor": pdf["floor"].to_numpy()[at],
+                                "cluster": ids[to].astype("int32")})
+    return run
+
+
+def _visit(routed: DataFrame, corpus: DataFrame, k: int | None, threshold: float | None, block_rows: int) -> DataFrame:
+    """Score routed queries in their clusters, at most about ``block_rows`` of each side in a task."""
+    types = dict(corpus.dtypes)
+    parts = lambda df, name: df.groupBy("cluster").agg(F.ceil(F.count(F.lit(1)) / block_rows).cast("int").alias(name))
+    n = parts(routed, "qs").join(parts(corpus, "cs"), "cluster").checkpoint()
+    deal = lambda df, key, own, other: df.join(n, "cluster").select(
+        *[F.col(c).alias(c) for c in df.columns], F.pmod(F.xxhash64(key), F.col(own)).cast("int").alias(own[0]),
+        F.explode(F.sequence(F.lit(0), F.col(other) - 1)).alias(other[0]))
+    q, c = deal(routed, "qid", "qs", "cs"), deal(corpus, "cid", "cs", "qs")
+    return (q.groupBy("cluster", "q", "c").cogroup(c.groupBy("cluster", "q", "c"))
+            .applyInPandas(_scorer(k, threshold), f"qid long, did long, lead {types['lead']}, score double"))
+
+
 def knn(queries: DataFrame, corpus: DataFrame, k: int | None = 10, threshold: float | None = None,
         q_id: str = "id", q_vec: str = "vec", c_id: str = "id", c_vec: str = "vec",
-        exclude_self: bool = False, block_rows: int = 2048) -> DataFrame:
+        exclude_self: bool = False, block_rows: int = 2048, report: dict | None = None) -> DataFrame:
     """(qid, cid, sim, rank): per query the ``k`` most similar corpus rows (ties by corpus id),
     or with ``threshold`` every corpus row with similarity above it.
 
-    Both inputs are first materialised with a reliable ``checkpoint()`` into the shared
-    checkpoint folder (the vector "index"): each side is read twice by the block join
-    (once per role) and derived vectors must not be recomputed per block.
+    Classes, clusters and routes are checkpointed in the shared folder. ``report`` receives how many
+    (query, cluster) pairs there are and how many were visited.
     """
     checkpoint_dir(queries.sparkSession)
-    same = queries is corpus
-    queries = queries.select(q_id, q_vec).checkpoint()
-    corpus = queries if same and (q_id, q_vec) == (c_id, c_vec) else corpus.select(c_id, c_vec).checkpoint()
-    nq, nc = queries.count(), corpus.count()
-    qb, cb = _blocks(nq, block_rows), _blocks(nc, block_rows)
-    # queries are replicated to every corpus block and corpus rows to every query block
-    q = queries.where(F.col(q_vec).isNotNull()).select(
-        _id(queries, q_id).alias("id"), F.col(q_vec).alias("vec"),
-        F.pmod(F.xxhash64(F.col(q_id)), F.lit(qb)).cast("int").alias("qb"),
-        F.explode(F.sequence(F.lit(0), F.lit(cb - 1))).alias("cb"))
-    c = corpus.where(F.col(c_vec).isNotNull()).select(
-        _id(corpus, c_id).alias("id"), F.col(c_vec).alias("vec"),
-        F.explode(F.sequence(F.lit(0), F.lit(qb - 1))).alias("qb"),
-        F.pmod(F.xxhash64(F.col(c_id)), F.lit(cb)).cast("int").alias("cb"))
-    scored = (q.groupBy("qb", "cb").cogroup(c.groupBy("qb", "cb"))
-              .applyInPandas(_scorer(k, threshold, exclude_self),
-                             f"qid {dict(q.dtypes)['id']}, cid {dict(c.dtypes)['id']}, sim double"))
+    most = None if threshold is not None else k + 1 if exclude_self else k
+    same = queries is corpus and (q_id, q_vec) == (c_id, c_vec)
+    c_classes, c_members = _vector_classes(corpus, c_id, c_vec)
+    q_classes, q_members = (c_classes, c_members) if same else _vector_classes(queries, q_id, q_vec)
+    ids = smallest_ids(c_members, most or 1).checkpoint()
+    pivots = _pivots(c_classes, c_classes.count())
+    types = dict(ids.dtypes) | {"vec": dict(c_classes.dtypes)["vec"], "q_vec": dict(q_classes.dtypes)["vec"]}
+    placed = c_classes.join(ids.select("cid", "lead"), "cid").select("cid", "lead", "vec").mapInPandas(
+        _clustered(pivots), f"cid long, lead {types['lead']}, vec {types['vec']}, cluster int, angle double").checkpoint()
+    clusters = [tuple(r) for r in placed.groupBy("cluster").agg(F.min("angle"), F.max("angle")).orderBy("cluster").collect()]  # a row a pivot
+    asked = q_classes.select(F.col("cid").alias("qid"), "vec")
+    route = f"qid long, vec {types['q_vec']}, floor double, cluster int"
+    placed = placed.drop("angle")
+    if not clusters:
+        best = asked.limit(0).select("qid", F.lit(0).cast("long").alias("did"), F.lit(0.0).alias("score"))
+        visited = 0
+    elif threshold is not None:
+        routed = (asked.withColumns({"floor": F.lit(float(threshold)), "home": F.lit(-2)})
+                  .mapInPandas(_routes(pivots, clusters, False), route).checkpoint())
+        visited = routed.count() if report is not None else 0
+        best = _visit(routed, placed, None, threshold, block_rows)
+    else:
+        home = asked.withColumns({"floor": F.lit(-2.0), "home": F.lit(-2)}).mapInPandas(_routes(pivots, clusters, True), route).checkpoint()
+        first = _visit(home, placed, most, None, block_rows).checkpoint()
+        order = [F.desc("score"), F.asc("lead")]
+        kth = top_k(first, ["qid"], order, most).where(F.col("rank") == most).select("qid", F.col("score").alias("kth"))
+        routed = (home.select("qid", "vec", F.col("cluster").alias("home")).join(kth, "qid", "left")
+                  .select("qid", "vec", F.coalesce("kth", F.lit(-2.0)).alias("floor"), "home")
+                  .mapInPandas(_routes(pivots, clusters, False), route).checkpoint())
+        visited = home.count() + routed.count() if report is not None else 0
+        best = top_k(first.unionByName(_visit(routed, placed, most, None, block_rows)), ["qid"], order, most)
+    if report is not None:
+        report.update(clusters=len(clusters), pairs=asked.count() * len(clusters), visited=visited)
     if threshold is not None:
-        return scored
-    return top_k(scored, ["qid"], [F.desc("sim"), F.asc("cid")], k)
+        out = (best.join(c_members.select(F.col("cid").alias("did"), F.col("id").alias("other")), "did")
+               .join(q_members.select(F.col("cid").alias("qid"), "id"), "qid"))
+        if exclude_self:
+            out = out.where(F.col("id") != F.col("other"))
+        return out.select(F.col("id").alias("qid"), F.col("other").alias("cid"), F.col("score").alias("sim"))
+    return spread(best, ids, q_members, k, exclude_self).select(F.col("id").alias("qid"), F.col("other").alias("cid"), F.col("score").alias("sim"), "rank")
 
 
 def cosine(a: Column, b: Column) -> Column:
