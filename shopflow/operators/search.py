@@ -237,9 +237,9 @@ def brand_search(queries: DataFrame, products: DataFrame, max_col: str = "max_br
                          F.col("brand").alias("name"), F.col("n").cast("bigint").alias("product_count"))
 
 
-def consolidated_products(queries: DataFrame, products: DataFrame, max_col: str = "max_products") -> DataFrame:
-    """Exact whole-word (score 1.0, first max by id), then substring (0.8, first 2*max by id,
-    queries of 3+ characters, exact ids removed); merged by score, cut to max."""
+def consolidated_candidates(queries: DataFrame, products: DataFrame, max_col: str = "max_products") -> DataFrame:
+    """R4's text strategies: exact whole-word (score 1.0, first max by id), then substring (0.8, first 2*max by id,
+    queries of 3+ characters, exact ids removed)."""
     qs = queries.groupBy("query").agg(F.max(max_col).alias("mx"))
     text = _product_text(products, ["title", "description"])
     hits = TM.substring_matches(qs.select(F.col("query").alias("q")), text)
@@ -250,10 +250,15 @@ def consolidated_products(queries: DataFrame, products: DataFrame, max_col: str
     exact = _first(cand.where("is_exact"), [F.asc("id")], most, rank_col="erank")
     sub = _first(cand.where(F.length("query") >= 3), [F.asc("id")], most, 2, "srank")
     ngram = sub.join(exact.select("query", "id"), ["query", "id"], "left_anti")
-    merged = (exact.select("query", "id", "mx", F.lit(1.0).alias("score"), F.lit("exact").alias("matchType"),
+    return (exact.select("query", "id", "mx", F.lit(1.0).alias("score"), F.lit("exact").alias("matchType"),
                            F.lit(0).alias("src"), F.col("erank").alias("srank"))
               .unionByName(ngram.select("query", "id", "mx", F.lit(0.8).alias("score"), F.lit("ngram").alias("matchType"),
                                         F.lit(1).alias("src"), "srank")))
+
+
+def consolidated_products(queries: DataFrame, products: DataFrame, max_col: str = "max_products") -> DataFrame:
+    """R4 without vectors: the text strategies' products by score, cut to max."""
+    merged, most = consolidated_candidates(queries, products, max_col), max_of(queries, F.col(max_col))
     ranked = _first(merged, [F.desc("score"), F.asc("src"), F.asc("srank")], most)
     return (ranked.join(products.select("id", "title"), "id")
             .select("query", F.col("rank").cast("int").alias("rank"), "id", "title", "score", "matchType"))

@@ -27,4 +27,4 @@ def register(name: str, sql: str | None = None):
 
 def load_all() -> None:
     """Import every plan module so its queries register."""
-    from shopflow.plans import recs, metrics, search, quality, store, vectors, textsearch, etl, hybrid  # noqa: F401
+    from shopflow.plans import recs, metrics, search, quality, store, vectors, textsearch, etl, hybrid, consolidated  # noqa: F401

@@ -92,3 +92,22 @@ def consolidated_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
     r = search_requests(spark, sf_dir)
     return r.select("query_id", "query", F.lit(5).alias("max_categories"), F.lit(5).alias("max_brands"),
                     F.lit(10).alias("max_products"), F.lit(False).alias("include_vector"))
+
+
+def text_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(query_id, query, include_vector): a request about every product and every benchmark text.
+
+    By ``p_partkey`` modulo 6 a product is asked for by its name (0), name and type (1), second word without its
+    second character (2), brand (3), the first four characters of its name (4) or the first two (5); a
+    benchmark item by its text, with query_id ``-1 - item_id``. Every other one of a kind asks for vectors.
+    """
+    p = read(spark, sf_dir, "part")
+    w2 = F.try_element_at(F.split("p_name", " "), F.lit(2))
+    kind = F.pmod("p_partkey", F.lit(6))
+    query = (F.when(kind == 0, F.col("p_name")).when(kind == 1, F.concat_ws(" ", "p_name", "p_type"))
+             .when(kind == 2, F.concat(F.substring(w2, 1, 1), F.substr(w2, F.lit(3)))).when(kind == 3, F.col("p_brand"))
+             .when(kind == 4, F.substring("p_name", 1, 4)).otherwise(F.substring("p_name", 1, 2)))
+    b = read(spark, sf_dir, "benchmark")
+    return (p.select(F.col("p_partkey").alias("query_id"), query.alias("query"), (F.pmod(F.floor(F.col("p_partkey") / 6), F.lit(2)) == 0).alias("include_vector"))
+            .unionByName(b.select((-1 - F.col("item_id")).alias("query_id"), F.col("text").alias("query"), (F.pmod("item_id", F.lit(2)) == 0).alias("include_vector")))
+            .where("query is not null"))
