@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from shopflow.functions import text as T
 from shopflow.operators import pairs as PR
 from shopflow.plans.registry import register
+from shopflow.session import checkpoint_dir
 from shopflow.sources import store as ST
 from shopflow.sources import tables as TB
 
@@ -211,3 +212,58 @@ def regex_products(spark, sf_dir):
     """The opt-in raw pattern, case-insensitive, on category and brand."""
     p = TB.read(spark, sf_dir, "part").select(F.col("p_partkey").alias("id"), F.col("p_type").alias("category"), F.col("p_brand").alias("brand"))
     return p.where(T.matches_pattern(F.col("category"), "^(promo|small).*(tin|steel)$") | T.matches_pattern(F.col("brand"), "#1[0-9]"))
+
+
+@register("basket_lists", """
+WITH l AS (SELECT l_orderkey AS orderNr, l_linenumber, l_partkey AS p, o_custkey AS c,
+           ROW_NUMBER() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey) - 1 AS place
+           FROM lineitem JOIN orders ON o_orderkey = l_orderkey)
+SELECT orderNr, CAST(place // 1024 AS INTEGER) AS part, any_value(c) AS first_user, list(p ORDER BY place) AS products
+FROM l GROUP BY orderNr, place // 1024""")
+def basket_lists(spark, sf_dir):
+    """Every order's products in line order, with its first user."""
+    li = TB.read(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("orderNr"), "l_linenumber", F.col("l_partkey").alias("productNr"))
+    o = TB.read(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("orderNr"), F.col("o_custkey").alias("customerNr"))
+    return PR.basket_lists(li.join(o, "orderNr"), ["l_linenumber"])
+
+
+def _scratch(spark, name: str) -> str:
+    import uuid
+    return f"{checkpoint_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+
+@register("append_counts", """
+SELECT 0 AS batch, COUNT(*) FILTER (WHERE l_orderkey % 3 = 0) AS appended, COUNT(*) FILTER (WHERE l_orderkey % 3 = 0) AS total FROM lineitem
+UNION ALL SELECT 1, COUNT(*) FILTER (WHERE l_orderkey % 3 = 1), COUNT(*) FILTER (WHERE l_orderkey % 3 < 2) FROM lineitem
+UNION ALL SELECT 2, COUNT(*) FILTER (WHERE l_orderkey % 3 = 2), COUNT(*) FROM lineitem""")
+def append_counts(spark, sf_dir):
+    """All order lines appended in three batches; rows each write reports, and the table's rows after it."""
+    lines, path, total, out = TB.basket_lines(spark, sf_dir).where("orderNr is not null"), _scratch(spark, "appended"), 0, []
+    for batch in range(3):
+        n = ST.append_counted(lines.where(F.pmod("orderNr", F.lit(3)) == batch), path)
+        out.append((batch, n, spark.read.parquet(path).count()))
+    return spark.createDataFrame(out, "batch int, appended long, total long")
+
+
+@register("rebuild_counts", """
+WITH lp AS (SELECT DISTINCT l_orderkey AS o, l_partkey AS p FROM lineitem WHERE l_orderkey IS NOT NULL AND l_partkey IS NOT NULL),
+half AS (SELECT COUNT(*) AS n FROM (SELECT a.p, b.p FROM lp a JOIN lp b ON a.o = b.o AND a.p < b.p WHERE a.o % 2 = 0 GROUP BY a.p, b.p)),
+whole AS (SELECT COUNT(*) AS n FROM (SELECT a.p, b.p FROM lp a JOIN lp b ON a.o = b.o AND a.p < b.p GROUP BY a.p, b.p))
+SELECT 0 AS version, CAST(0 AS BIGINT) AS old_pairs, half.n AS new_pairs FROM half
+UNION ALL SELECT 1, half.n, whole.n FROM half, whole""")
+def rebuild_counts(spark, sf_dir):
+    """The pair table of the even orders, rebuilt from all of them; old and new rows of each write."""
+    lines, root, out = TB.basket_lines(spark, sf_dir), _scratch(spark, "pairs"), []
+    for version, part in enumerate((lines.where(F.pmod("orderNr", F.lit(2)) == 0), lines)):
+        out.append((version, *ST.rebuild_counted(PR.pair_counts(part), root)))
+    return spark.createDataFrame(out, "version int, old_pairs long, new_pairs long")
+
+
+@register("table_sizes")
+def table_sizes(spark, sf_dir):
+    """Files and bytes of every table (SQL over the tables can't see their files)."""
+    parts = [ST.file_sizes(TB.read(spark, sf_dir, t)).select(F.lit(t).alias("table_name"), "files", "bytes") for t in _TABLES]
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    return out

@@ -10,7 +10,7 @@ DataFrame -> DataFrame, so they also run inside ``foreachBatch``.
 from __future__ import annotations
 
 from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from shopflow.operators.topk import top_k
@@ -110,6 +110,30 @@ def write_version(df: DataFrame, root: str, version: int, max_records_per_file:
     return path
 
 
+def append_counted(df: DataFrame, path: str) -> int:
+    """Append ``df`` to the table at ``path``; returns the rows appended, counted by the write itself."""
+    seen = Observation()
+    df.observe(seen, F.count(F.lit(1)).alias("rows")).write.mode("append").parquet(path)
+    return seen.get["rows"]
+
+
+def rebuild_counted(df: DataFrame, root: str) -> tuple[int, int]:
+    """Write ``df`` as the next version of the table at ``root``; returns (old rows, new rows), the new ones
+    counted by the write itself."""
+    spark = df.sparkSession
+    version = latest_version(spark, root)
+    old = 0 if version is None else read_latest(spark, root).count()
+    seen = Observation()
+    write_version(df.observe(seen, F.count(F.lit(1)).alias("rows")), root, 0 if version is None else version + 1)
+    return old, seen.get["rows"]
+
+
+def file_sizes(df: DataFrame) -> DataFrame:
+    """(files, bytes) behind a file-based table, from each file's metadata; no data column is read."""
+    files = df.select(F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_size").alias("size")).groupBy("path").agg(F.max("size").alias("size"))
+    return files.agg(F.count(F.lit(1)).alias("files"), F.coalesce(F.sum("size"), F.lit(0)).alias("bytes"))
+
+
 def latest_version(spark: SparkSession, root: str) -> int | None:
     try:
         r = spark.read.parquet(f"{root}/_commits").agg(F.max("version")).first()[0]

@@ -92,24 +92,19 @@ def run_to_table(stream: DataFrame, spark: SparkSession, name: str, mode: str =
     return out, dropped
 
 
-class PairTableUpdater:
-    """Order lines arrive; the pair table follows them exactly once.
-
-    Each micro-batch (deduplicated within the watermark) recomputes the pair rows of
-    the orders it touches from *all* of their lines (old + new) and subtracts the rows
-    those orders contributed before. Only that difference is written, as an append-only
-    delta folder for the batch, followed by a commit row; a redelivered batch id finds
-    its commit and is skipped. The table is the base snapshot plus the committed deltas
-    summed per pair; every ``compact_every`` batches the deltas are folded into a new
-    base, so a batch costs O(touched orders) and reads stay bounded.
+class PairTable:
+    """A pair table that follows a stream exactly once.
+
+    Each micro-batch writes its changes as an append-only delta folder, then a commit row; a
+    redelivered batch id finds its commit and is skipped. The table is the base snapshot plus the
+    committed deltas summed per pair; every ``compact_every`` batches the deltas are folded into a
+    new base, so reads stay bounded. Called with a batch of deltas ``(product1, product2, d)``.
     """
 
     SCHEMA = "product1 bigint, product2 bigint, cnt bigint"
 
-    def __init__(self, spark: SparkSession, base: str, block_size: int = PR.DEFAULT_BLOCK,
-                 compact_every: int = 20):
-        self.spark, self.base, self.block_size, self.compact_every = spark, base, block_size, compact_every
-        self.lines_path = f"{base}/lines"
+    def __init__(self, spark: SparkSession, base: str, compact_every: int = 20):
+        self.spark, self.base, self.compact_every = spark, base, compact_every
         self.delta_path = f"{base}/pair_deltas"
         self.base_path = f"{base}/pair_base"
         self.commits_path = f"{base}/commits"
@@ -132,6 +127,10 @@ class PairTableUpdater:
         v = -1 if v is None else v
         return v, sorted({r.batch_id for r in c.where(F.col("batch_id") > v).select("batch_id").collect()})
 
+    def _commit(self, batch_id: int, base_version: int) -> None:
+        (self.spark.createDataFrame([(batch_id, base_version)], "batch_id bigint, base_version bigint")
+         .write.mode("append").parquet(self.commits_path))
+
     def current_pairs(self) -> DataFrame:
         """Base snapshot + committed deltas after it, summed per pair (positive counts only)."""
         v, done = self._committed()
@@ -144,50 +143,90 @@ class PairTableUpdater:
         return (base.unionByName(deltas).groupBy("product1", "product2")
                 .agg(F.sum("cnt").cast("bigint").alias("cnt")).where(F.col("cnt") > 0))
 
-    def current_lines(self) -> DataFrame:
-        return self._read(self.lines_path, "orderNr bigint, productNr bigint, batch_id bigint")
+    def deltas(self, batch: DataFrame, batch_id: int, v: int, done: list[int]) -> DataFrame:
+        return batch
 
     def __call__(self, batch: DataFrame, batch_id: int) -> None:
         v, done = self._committed()
         if batch_id <= v or batch_id in done:
             return  # already applied
-        lines = self.current_lines().where((F.col("batch_id") <= v) | F.col("batch_id").isin(done)).select("orderNr", "productNr")
-        new = batch.select("orderNr", "productNr")
-        touched = new.select("orderNr").distinct()
-        before = lines.join(touched, "orderNr", "left_semi")
-        after = before.unionByName(new)
-        old_rows = PR.basket_pair_rows(before, block_size=self.block_size).select("p1", "p2", F.lit(-1).alias("d"))
-        new_rows = PR.basket_pair_rows(after, block_size=self.block_size).select("p1", "p2", F.lit(1).alias("d"))
-        delta = (old_rows.unionByName(new_rows).groupBy(F.col("p1").alias("product1"), F.col("p2").alias("product2"))
+        delta = (self.deltas(batch, batch_id, v, done).groupBy("product1", "product2")
                  .agg(F.sum("d").cast("bigint").alias("d")).where(F.col("d") != 0))
-        new.write.mode("overwrite").parquet(f"{self.lines_path}/batch_id={batch_id}")
         delta.write.mode("overwrite").parquet(f"{self.delta_path}/batch_id={batch_id}")
-        if len(done) + 1 >= self.compact_every:
-            # fold base + deltas (including this batch) into a new base snapshot
-            self.spark.createDataFrame([(batch_id, v)], "batch_id bigint, base_version bigint") \
-                .write.mode("append").parquet(self.commits_path)
-            snap = self.current_pairs()
-            snap.write.mode("overwrite").parquet(f"{self.base_path}/v{batch_id}")
-            self.spark.createDataFrame([(batch_id, batch_id)], "batch_id bigint, base_version bigint") \
-                .write.mode("append").parquet(self.commits_path)
-            return
-        self.spark.createDataFrame([(batch_id, v)], "batch_id bigint, base_version bigint") \
-            .write.mode("append").parquet(self.commits_path)
+        self._commit(batch_id, v)
+        if len(done) + 1 >= self.compact_every:  # fold base and deltas, this batch's too, into a new base
+            self.current_pairs().write.mode("overwrite").parquet(f"{self.base_path}/v{batch_id}")
+            self._commit(batch_id, batch_id)
+
+
+class PairTableUpdater(PairTable):
+    """The pair table from batches of order lines ``(orderNr, productNr)``, without streaming state.
+
+    Recomputes the pair rows of the orders a batch touches from all of their lines and subtracts what they
+    contributed before. Lines are kept in folders by a hash of their order, and only the folders of touched orders are read.
+    """
+
+    def __init__(self, spark: SparkSession, base: str, block_size: int = PR.DEFAULT_BLOCK, compact_every: int = 20, buckets: int = 256):
+        super().__init__(spark, base, compact_every)
+        self.block_size, self.buckets = block_size, buckets
+        self.lines_path = f"{base}/lines"
+
+    def current_lines(self) -> DataFrame:
+        return self._read(self.lines_path, "orderNr bigint, productNr bigint, bucket int, batch_id bigint")
+
+    def deltas(self, batch: DataFrame, batch_id: int, v: int, done: list[int]) -> DataFrame:
+        new = batch.select("orderNr", "productNr").withColumn("bucket", F.pmod(F.xxhash64("orderNr"), F.lit(self.buckets)).cast("int"))
+        touched = [r[0] for r in new.select("bucket").distinct().collect()]  # at most ``buckets``
+        lines = (self.current_lines().where(F.col("bucket").isin(touched) & ((F.col("batch_id") <= v) | F.col("batch_id").isin(done)))
+                 .select("orderNr", "productNr"))
+        before = lines.join(new.select("orderNr").distinct(), "orderNr", "left_semi")
+        old_rows = PR.basket_pair_rows(before, block_size=self.block_size).select("p1", "p2", F.lit(-1).alias("d"))
+        new_rows = PR.basket_pair_rows(before.unionByName(new.drop("bucket")), block_size=self.block_size).select("p1", "p2", F.lit(1).alias("d"))
+        new.withColumn("batch_id", F.lit(batch_id)).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(
+            "bucket", "batch_id").parquet(self.lines_path)
+        return old_rows.unionByName(new_rows).select(F.col("p1").alias("product1"), F.col("p2").alias("product2"), "d")
+
+
+PAIR_ROWS = 1 << 18  # of one output frame
+
+
+def _new_pairs(key, frames, state):
+    """An order's new lines -> the pairs its new products make with each other and with those seen before (the state)."""
+    import numpy as np
+    import pandas as pd
+    have = np.array(state.get[0] if state.exists else [], np.int64)
+    for frame in frames:
+        for p in np.setdiff1d(frame["productNr"].dropna().to_numpy(np.int64), have):
+            for k in range(0, len(have), PAIR_ROWS):
+                other = have[k:k + PAIR_ROWS]
+                yield pd.DataFrame({"product1": np.minimum(other, p), "product2": np.maximum(other, p), "d": np.ones(len(other), np.int64)})
+            have = np.append(have, p)
+    state.update(([int(x) for x in have],))
+
+
+def new_pairs(source: DataFrame) -> DataFrame:
+    """(product1, product2, d): the pairs that each micro-batch of order lines adds. An order's products are the state of
+    its key, so a batch reads and writes the state of the orders it touches and nothing else; a product that an order
+    already has adds nothing. Rows without order or product are left out."""
+    from pyspark.sql.streaming.state import GroupStateTimeout
+    return (source.where("orderNr is not null and productNr is not null").select("orderNr", "productNr").groupBy("orderNr")
+            .applyInPandasWithState(_new_pairs, "product1 bigint, product2 bigint, d bigint", "items array<bigint>", "append",
+                                    GroupStateTimeout.NoTimeout))
 
 
 def ingest_order_lines(spark: SparkSession, source: DataFrame, base: str | None = None,
-                       delay: str = "1 day") -> tuple[PairTableUpdater, str]:
-    """Run the order-line stream (deduplicated on (orderNr, productNr) within the watermark)
-    with ``availableNow`` through the pair-table updater; returns the updater and its folder."""
+                       delay: str | None = None, compact_every: int = 20) -> tuple[PairTable, str]:
+    """Run the order-line stream with ``availableNow`` into the pair table; returns the table and its folder.
+
+    Products are kept per order in the streaming state for good, so late and repeated lines are right whenever they come;
+    ``delay`` is accepted for callers that still name a watermark. On a cluster set the RocksDB state store.
+    """
     base = base or job_dir(spark, "orderlines")
-    upd = PairTableUpdater(spark, base)
-    dedup = (source.withColumn("event_time", F.col("dateTime").cast("timestamp"))
-             .withWatermark("event_time", delay)
-             .dropDuplicatesWithinWatermark(["orderNr", "productNr"]))
-    q = (dedup.writeStream.foreachBatch(upd).option("checkpointLocation", os.path.join(base, "checkpoint"))
+    table = PairTable(spark, base, compact_every)
+    q = (new_pairs(source).writeStream.outputMode("append").foreachBatch(table).option("checkpointLocation", os.path.join(base, "checkpoint"))
          .trigger(availableNow=True).start())
     q.awaitTermination()
-    return upd, base
+    return table, base
 
 
 class CatalogueUpserter:
