@@ -20,6 +20,7 @@ from shopflow.operators import textsearch as TS
 from shopflow.operators import vectors as V
 from shopflow.operators.classes import spread
 from shopflow.operators.topk import top_k
+from shopflow.session import written
 
 FIELDS = ["title", "description", "brand"]
 EXACT, FUZZY, PREFIX, CLOSE = 5.0, 3.0, 2.0, 1.0
@@ -76,7 +77,7 @@ def fuzzy_relevance(queries: DataFrame, products: DataFrame, k: int = 10) -> Dat
     asked, members = TS.text_classes(queries.select("query").withColumn("id", F.col("query")).distinct(), "id", ["query"], 1)
     classes, _ = TS.text_classes(products, "id", ["title"], k)
     entries, vocabulary = TS.impact_vectors(classes, {"title": 1.0})
-    terms = query_terms(asked.select(F.col("cid").alias("qid"), "query")).checkpoint()
+    terms = written(query_terms(asked.select(F.col("cid").alias("qid"), "query")), "terms")
     best = impact.top_scores(_asked(_fuzzy(terms, vocabulary, 1.0)), _docs(entries, classes), k)
     return spread(best, classes, members, k, False).select(F.col("id").alias("query"), "rank", F.col("other").alias("id"), "score")
 
@@ -95,22 +96,22 @@ def fused_products(queries: DataFrame, products: DataFrame, k: int = 10, vector_
     products with the highest fused score above 0; ties by id. The match type is exact where the title holds the query,
     else ngram above a score of 1.5, else vector."""
     asked = queries.select("query", F.coalesce("include_vector", F.lit(False)).alias("include_vector")).distinct()
-    asked = asked.withColumn("qid", F.monotonically_increasing_id()).checkpoint()
+    asked = written(asked.withColumn("qid", F.monotonically_increasing_id()), "asked")
     classes, members = TS.text_classes(products, "id", FIELDS, k)
     entries, vocabulary = TS.impact_vectors(classes, dict.fromkeys(FIELDS, 1.0))
-    terms = query_terms(asked).checkpoint()
-    grams = (TM.token_edge_grams(classes.select("cid", F.concat_ws(" ", tokens(F.col("title"))).alias("title")), 2, "cid", "title")
-             .join(terms.select(F.col("term").alias("gram")).distinct(), "gram").select(F.col("id").alias("cid"), "gram").checkpoint())
-    begun = grams.select("gram").distinct().select("gram", (-1 - F.monotonically_increasing_id()).alias("fid")).checkpoint()
-    entries = entries.select("cid", "fid", "imp").unionByName(grams.join(begun, "gram").select("cid", "fid", F.lit(1.0).alias("imp"))).checkpoint()
+    terms = written(query_terms(asked), "terms")
+    grams = written(TM.token_edge_grams(classes.select("cid", F.concat_ws(" ", tokens(F.col("title"))).alias("title")), 2, "cid", "title")
+             .join(terms.select(F.col("term").alias("gram")).distinct(), "gram").select(F.col("id").alias("cid"), "gram"), "grams")
+    begun = written(grams.select("gram").distinct().select("gram", (-1 - F.monotonically_increasing_id()).alias("fid")), "begun")
+    entries = written(entries.select("cid", "fid", "imp").unionByName(grams.join(begun, "gram").select("cid", "fid", F.lit(1.0).alias("imp"))), "entries")
     features = (terms.join(vocabulary, "term").select("qid", "fid", (F.col("qtf") * EXACT).alias("w"))
                 .unionByName(_fuzzy(terms, vocabulary, FUZZY))
                 .unionByName(terms.join(begun, terms["term"] == begun["gram"]).select("qid", "fid", F.lit(PREFIX).alias("w"))))
-    features = features.groupBy("qid", "fid").agg(F.sum("w").alias("w")).checkpoint()
+    features = written(features.groupBy("qid", "fid").agg(F.sum("w").alias("w")), "features")
     best = impact.top_scores(_asked(features), _docs(entries, classes), k)
     text = best.join(classes.select(F.col("cid").alias("did"), F.explode("ids").alias("id")), "did").select("qid", "id", "score")
-    near = (title_neighbours(asked, products, vector_k).join(asked.where(uses_vector(F.col("query"), F.col("include_vector"))), "query")
-            .join(members, "id").select("qid", "id", "cid", "sim").checkpoint())
+    near = written(title_neighbours(asked, products, vector_k).join(asked.where(uses_vector(F.col("query"), F.col("include_vector"))), "query")
+            .join(members, "id").select("qid", "id", "cid", "sim"), "near")
     pairs = (near.select("qid", "cid").distinct().join(features, "qid").join(entries, ["cid", "fid"])
              .groupBy("qid", "cid").agg(F.round(F.sum(F.col("w") * F.col("imp")), 9).alias("text")))
     close = near.join(pairs, ["qid", "cid"], "left").select(
@@ -129,16 +130,17 @@ def consolidated_rows(requests: DataFrame, products: DataFrame, max_categories:
 
     Queries under ``least`` characters are not admitted (P19): one row of kind rejected with the reason as its name.
     """
-    asked = requests.select("query", F.coalesce("include_vector", F.lit(False)).alias("include_vector")).distinct().checkpoint()
+    asked = requests.select("query", F.coalesce("include_vector", F.lit(False)).alias("include_vector")).distinct()
+    asked = written(asked, "asked")
     admitted = asked.where(F.length("query") >= least)
     texts = admitted.select("query", F.lit(max_categories).alias("max_categories"), F.lit(max_brands).alias("max_brands")).distinct()
     none = lambda t: F.lit(None).cast(t)
     found = (S.category_search(texts, products).select("query", F.lit("category").alias("kind"), "rank", "id", "name", "product_count")
              .unionByName(S.brand_search(texts, products).select("query", F.lit("brand").alias("kind"), "rank", "id", "name", "product_count")))
-    rows = (found.join(admitted, "query").withColumns({"score": none("double"), "matchType": none("string")})
+    rows = written(found.join(admitted, "query").withColumns({"score": none("double"), "matchType": none("string")})
             .unionByName(fused_products(admitted, products, max_products).select(
                 *KEY, F.lit("product").alias("kind"), "rank", F.col("id").cast("string").alias("id"), F.col("title").alias("name"),
-                none("bigint").alias("product_count"), "score", "matchType")).checkpoint())
+                none("bigint").alias("product_count"), "score", "matchType")), "rows")
     totals = rows.groupBy(KEY).agg(F.count(F.lit(1)).alias("total_results"))
     rejected = asked.where(~(F.length("query") >= least)).select(
         *KEY, F.lit("rejected").alias("kind"), F.lit(1).alias("rank"), none("string").alias("id"), F.lit(f"fewer than {least} characters").alias("name"),
@@ -150,7 +152,7 @@ def vector_matches(queries: DataFrame, products: DataFrame, earlier: DataFrame,
     """V3: (query, id, score): every product whose title or description is closer than ``threshold`` to a query that
     uses vectors, by the closer of both, without the pairs of ``earlier(query, id)``."""
     gated = queries.where(uses_vector(F.col("query"), F.col("include_vector"))).select("query").distinct()
-    qv = V.with_hashed_embedding(gated, "query", "vec").checkpoint()
+    qv = written(V.with_hashed_embedding(gated, "query", "vec"), "queries")
     found = None
     for field in ("title", "description"):
         pv = V.with_hashed_embedding(products.select("id", field), field, "vec").select("id", "vec")
@@ -166,8 +168,8 @@ def vector_matches(queries: DataFrame, products: DataFrame, earlier: DataFrame,
 def three_strategies(queries: DataFrame, products: DataFrame, limit: int = 10) -> DataFrame:
     """R4 whole: (query, rank, id, title, score, matchType): whole-word matches (1.0), substring matches (0.8), then vector
     matches (their similarity), by score, then strategy and its order (vector matches by id), cut to ``limit``."""
-    asked = queries.withColumn("max_products", F.lit(limit)).checkpoint()
-    first = S.consolidated_candidates(asked, products).checkpoint()
+    asked = queries.withColumn("max_products", F.lit(limit))
+    first = written(S.consolidated_candidates(asked, products), "candidates")
     vector = vector_matches(asked, products, first)
     merged = first.select("query", "id", "score", "matchType", "src", F.col("srank").cast("bigint").alias("srank")).unionByName(
         vector.select("query", "id", "score", F.lit("vector").alias("matchType"), F.lit(2).alias("src"), F.lit(0).cast("bigint").alias("srank")))

@@ -18,11 +18,12 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from shopflow.operators.classes import smallest_ids, spread
+from shopflow.operators.classes import spread
 from shopflow.operators.topk import top_k
-from shopflow.session import checkpoint_dir
+from shopflow.session import written
 
 MOST_PIVOTS = 1024
+CLUSTER_ROWS = 2048      # vectors of a cluster on the average, as far as the pivots go
 PIVOT_FLOATS = 1 << 21   # of all pivots together (16 MB), sent to every task
 SLACK = 2e-9             # similarities are rounded to 9 places
 
@@ -63,16 +64,18 @@ def _id(df: DataFrame, name: str) -> Column:
     return F.col(name).cast("bigint") if dict(df.dtypes)[name] in ("tinyint", "smallint", "int", "bigint") else F.col(name)
 
 
-def _vector_classes(df: DataFrame, id_col: str, vec_col: str) -> tuple[DataFrame, DataFrame]:
-    """(classes ``(cid, vec)``, members ``(cid, id)``) of rows with equal vectors; null vectors are left out."""
-    rows = df.select(_id(df, id_col).alias("id"), F.col(vec_col).alias("vec")).where("vec is not null")
-    classes = rows.groupBy("vec").agg(F.count(F.lit(1)).alias("n")).select("vec", F.monotonically_increasing_id().alias("cid")).checkpoint()
-    return classes, rows.join(classes, "vec").select("cid", "id").checkpoint()
+def _vector_classes(df: DataFrame, id_col: str, vec_col: str, k: int) -> tuple[DataFrame, DataFrame]:
+    """(classes ``(cid, vec, ids, lead)`` with their ``k`` smallest ids, members ``(cid, id)``) of rows with equal
+    vectors; null vectors are left out."""
+    rows = written(df.select(_id(df, id_col).alias("id"), F.col(vec_col).alias("vec")), "rows").where("vec is not null")  # a filter before would make vectors twice
+    classes = top_k(rows, ["vec"], [F.asc("id")], k).groupBy("vec").agg(F.array_sort(F.collect_list("id")).alias("ids"))
+    classes = written(classes.select("vec", "ids", F.col("ids")[0].alias("lead"), F.monotonically_increasing_id().alias("cid")), "classes")
+    return classes, rows.join(classes, "vec").select("cid", "id")
 
 
-def _pivots(classes: DataFrame, n: int) -> np.ndarray:
-    """About the square root of the number of vectors, by hash; no zero vectors."""
-    some = classes.orderBy(F.xxhash64("vec"), "cid").limit(min(MOST_PIVOTS, max(1, math.isqrt(n)))).select("vec").collect()
+def _pivots(classes: DataFrame, n: int, cluster_rows: int) -> np.ndarray:
+    """One vector in ``cluster_rows``, ``MOST_PIVOTS`` at most, by hash; no zero vectors."""
+    some = classes.orderBy(F.xxhash64("vec"), "cid").limit(min(MOST_PIVOTS, max(1, n // cluster_rows))).select("vec").collect()
     m = _matrix([r["vec"] for r in some])
     m = m[np.linalg.norm(m, axis=1) > 0]
     return m[:max(1, PIVOT_FLOATS // max(1, m.shape[1]))] if len(m) else m
@@ -131,7 +134,7 @@ def _visit(routed: DataFrame, corpus: DataFrame, k: int | None, threshold: float
     """Score routed queries in their clusters, at most about ``block_rows`` of each side in a task."""
     types = dict(corpus.dtypes)
     parts = lambda df, name: df.groupBy("cluster").agg(F.ceil(F.count(F.lit(1)) / block_rows).cast("int").alias(name))
-    n = parts(routed, "qs").join(parts(corpus, "cs"), "cluster").checkpoint()
+    n = parts(routed, "qs").join(parts(corpus, "cs"), "cluster")
     deal = lambda df, key, own, other: df.join(n, "cluster").select(
         *[F.col(c).alias(c) for c in df.columns], F.pmod(F.xxhash64(key), F.col(own)).cast("int").alias(own[0]),
         F.explode(F.sequence(F.lit(0), F.col(other) - 1)).alias(other[0]))
@@ -142,45 +145,59 @@ def _visit(routed: DataFrame, corpus: DataFrame, k: int | None, threshold: float
 
 def knn(queries: DataFrame, corpus: DataFrame, k: int | None = 10, threshold: float | None = None,
         q_id: str = "id", q_vec: str = "vec", c_id: str = "id", c_vec: str = "vec",
-        exclude_self: bool = False, block_rows: int = 2048, report: dict | None = None) -> DataFrame:
+        exclude_self: bool = False, block_rows: int = 2048, cluster_rows: int = CLUSTER_ROWS, report: dict | None = None) -> DataFrame:
     """(qid, cid, sim, rank): per query the ``k`` most similar corpus rows (ties by corpus id),
     or with ``threshold`` every corpus row with similarity above it.
 
-    Classes, clusters and routes are checkpointed in the shared folder. ``report`` receives how many
+    Classes, clusters and routes are written in the shared folder. ``report`` receives how many
     (query, cluster) pairs there are and how many were visited.
     """
-    checkpoint_dir(queries.sparkSession)
     most = None if threshold is not None else k + 1 if exclude_self else k
     same = queries is corpus and (q_id, q_vec) == (c_id, c_vec)
-    c_classes, c_members = _vector_classes(corpus, c_id, c_vec)
-    q_classes, q_members = (c_classes, c_members) if same else _vector_classes(queries, q_id, q_vec)
-    ids = smallest_ids(c_members, most or 1).checkpoint()
-    pivots = _pivots(c_classes, c_classes.count())
-    types = dict(ids.dtypes) | {"vec": dict(c_classes.dtypes)["vec"], "q_vec": dict(q_classes.dtypes)["vec"]}
-    placed = c_classes.join(ids.select("cid", "lead"), "cid").select("cid", "lead", "vec").mapInPandas(
-        _clustered(pivots), f"cid long, lead {types['lead']}, vec {types['vec']}, cluster int, angle double").checkpoint()
-    clusters = [tuple(r) for r in placed.groupBy("cluster").agg(F.min("angle"), F.max("angle")).orderBy("cluster").collect()]  # a row a pivot
+    c_classes, c_members = _vector_classes(corpus, c_id, c_vec, most or 1)
+    q_classes, q_members = (c_classes, c_members) if same else _vector_classes(queries, q_id, q_vec, 1)
+    ids, n = c_classes.select("cid", "ids"), c_classes.count()
+    types = dict(c_classes.dtypes) | {"vec": dict(c_classes.dtypes)["vec"], "q_vec": dict(q_classes.dtypes)["vec"]}
     asked = q_classes.select(F.col("cid").alias("qid"), "vec")
+    placed = c_classes.select("cid", "lead", "vec")
+    if n <= max(cluster_rows, 1):  # too few to tell clusters apart: all in one
+        pivots, clusters = np.zeros((0, 0)), [(-1, 0.0, 0.0)] * min(n, 1)
+        placed = placed.withColumns({"cluster": F.lit(-1), "angle": F.lit(0.0)})
+    else:
+        pivots = _pivots(c_classes, n, cluster_rows)
+        placed = written(placed.mapInPandas(_clustered(pivots), f"cid long, lead {types['lead']}, vec {types['vec']}, cluster int, angle double"), "clusters")
+        clusters = [tuple(r) for r in placed.groupBy("cluster").agg(F.min("angle"), F.max("angle")).orderBy("cluster").collect()]  # a row a pivot
     route = f"qid long, vec {types['q_vec']}, floor double, cluster int"
     placed = placed.drop("angle")
     if not clusters:
         best = asked.limit(0).select("qid", F.lit(0).cast("long").alias("did"), F.lit(0.0).alias("score"))
         visited = 0
+    elif len(clusters) == 1 and len(pivots) == 0:
+        visited = asked.count() if report is not None else 0
+        all_of_them = asked.select("qid", "vec", F.lit(-2.0 if threshold is None else float(threshold)).alias("floor"), F.lit(-1).alias("cluster"))
+        best = _visit(all_of_them, placed, most, threshold, block_rows)
+        if threshold is None:
+            best = top_k(best, ["qid"], [F.desc("score"), F.asc("lead")], most)
     elif threshold is not None:
-        routed = (asked.withColumns({"floor": F.lit(float(threshold)), "home": F.lit(-2)})
-                  .mapInPandas(_routes(pivots, clusters, False), route).checkpoint())
+        routed = written(asked.withColumns({"floor": F.lit(float(threshold)), "home": F.lit(-2)})
+                         .mapInPandas(_routes(pivots, clusters, False), route), "routes")
         visited = routed.count() if report is not None else 0
         best = _visit(routed, placed, None, threshold, block_rows)
     else:
-        home = asked.withColumns({"floor": F.lit(-2.0), "home": F.lit(-2)}).mapInPandas(_routes(pivots, clusters, True), route).checkpoint()
-        first = _visit(home, placed, most, None, block_rows).checkpoint()
         order = [F.desc("score"), F.asc("lead")]
+        home = written(asked.withColumns({"floor": F.lit(-2.0), "home": F.lit(-2)}).mapInPandas(_routes(pivots, clusters, True), route), "homes")
+        first = _visit(home, placed, most, None, block_rows)
+        first = written(first, "first") if len(clusters) > 1 else first
         kth = top_k(first, ["qid"], order, most).where(F.col("rank") == most).select("qid", F.col("score").alias("kth"))
-        routed = (home.select("qid", "vec", F.col("cluster").alias("home")).join(kth, "qid", "left")
-                  .select("qid", "vec", F.coalesce("kth", F.lit(-2.0)).alias("floor"), "home")
-                  .mapInPandas(_routes(pivots, clusters, False), route).checkpoint())
-        visited = home.count() + routed.count() if report is not None else 0
-        best = top_k(first.unionByName(_visit(routed, placed, most, None, block_rows)), ["qid"], order, most)
+        visited = home.count() if report is not None else 0
+        best = first
+        if len(clusters) > 1:
+            routed = written(home.select("qid", "vec", F.col("cluster").alias("home")).join(kth, "qid", "left")
+                             .select("qid", "vec", F.coalesce("kth", F.lit(-2.0)).alias("floor"), "home")
+                             .mapInPandas(_routes(pivots, clusters, False), route), "routes")
+            visited += routed.count() if report is not None else 0
+            best = first.unionByName(_visit(routed, placed, most, None, block_rows))
+        best = top_k(best, ["qid"], order, most)
     if report is not None:
         report.update(clusters=len(clusters), pairs=asked.count() * len(clusters), visited=visited)
     if threshold is not None:

@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import atexit
 import os
 import tempfile
+import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 # Settings every job relies on. Adaptive execution re-plans joins at runtime
 # (broadcast conversion by measured size, skew splitting, partition coalescing).
@@ -58,3 +60,21 @@ def checkpoint_dir(spark: SparkSession) -> str:
     if not sc.getCheckpointDir() or not sc.getCheckpointDir().removeprefix("file:").startswith(path.removeprefix("file:").removeprefix("//")):
         sc.setCheckpointDir(path)
     return path
+
+
+def _remove(spark: SparkSession, path: str) -> None:
+    try:
+        p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+        p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
+    except Exception:  # noqa: BLE001 - the session is gone; the folder's owner clears it
+        pass
+
+
+def written(df: DataFrame, name: str) -> DataFrame:
+    """``df`` written once as a table in the shared folder and read back: cuts the lineage like ``checkpoint()``,
+    and the reader has sizes, statistics and single columns. The table goes when the driver's process ends."""
+    spark = df.sparkSession
+    path = f"{checkpoint_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    atexit.register(_remove, spark, path)
+    return spark.read.schema(df.schema).parquet(path)
