@@ -75,11 +75,13 @@ def exact_duplicates(docs: DataFrame) -> DataFrame:
 
 
 def drop_exact_duplicates(docs: DataFrame) -> DataFrame:
-    """The rows of ``docs`` that stay, with all their columns."""
+    """The rows of ``docs`` that stay, with all their columns: of equal texts (null as empty) the row with the
+    largest doc_id; of rows that repeat both, one of them. An empty table stays empty."""
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col("doc_id").cast("long").alias("id"),
+                       F.sha2(ascii_lower(F.coalesce(F.col("text").cast("string"), F.lit(""))), 256).alias("sha"))
     found = materialise(exact_duplicates(docs), "exact")
     keep = found.where("kept").select(F.col("doc_id").alias("keep_doc"), F.col("text_sha256").alias("keep_sha"))
-    sha = F.sha2(ascii_lower(F.coalesce(F.col("text").cast("string"), F.lit(""))), 256)
     repeated = found.groupBy("doc_id", "text_sha256").count().where("count > 1").limit(1).count()
     if repeated:  # rows that repeat both id and text: one of each stays
-        docs = docs.withColumn("_sha", sha).dropDuplicates(["doc_id", "_sha"]).drop("_sha")
-    return docs.join(keep, docs["doc_id"].cast("long").eqNullSafe(F.col("keep_doc")) & (sha == F.col("keep_sha")), "left_semi")
+        rows = rows.dropDuplicates(["id", "sha"])
+    return rows.join(keep, F.col("id").eqNullSafe(F.col("keep_doc")) & (F.col("sha") == F.col("keep_sha")), "left_semi").select("row.*")

@@ -368,16 +368,17 @@ def drop_near_copies(docs: DataFrame) -> DataFrame:
     Null, empty or word-less texts are in no group and stay.
     """
     digest = F.unhex(F.sha2(F.col("text").cast("string"), 256))
+    whole = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col("doc_id").cast("long").alias("id"), digest.alias("sha"))
     rows = materialise(_linked(docs.select("doc_id", "text", digest.alias("key")), ["key"]).where("group_hi is not null")
                        .select("doc_id", "key", "group_hi", "group_lo"), "near")
     least = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "key"))
     kept = rows.groupBy("group_hi", "group_lo").agg(least.alias("least")).select(F.col("least.doc_id").alias("k_doc"), F.col("least.key").alias("k_key"))
     texts = rows.groupBy(F.col("doc_id").alias("x_doc"), F.col("key").alias("x_key")).agg(F.count(F.lit(1)).alias("rows"))
     is_kept = F.col("x_doc").eqNullSafe(F.col("k_doc")) & (F.col("x_key") == F.col("k_key"))
-    is_row = docs["doc_id"].cast("long").eqNullSafe(F.col("x_doc")) & (digest == F.col("x_key"))
-    out = docs.join(texts.join(kept, is_kept, "left_anti").drop("rows"), is_row, "left_anti")
+    is_row = F.col("id").eqNullSafe(F.col("x_doc")) & (F.col("sha") == F.col("x_key"))
+    out = whole.join(texts.join(kept, is_kept, "left_anti").drop("rows"), is_row, "left_anti")
     repeated = materialise(texts.where("rows > 1").join(kept, is_kept, "left_semi").drop("rows"), "repeated")
     if repeated.limit(1).count():  # rows that repeat both id and text
-        one = out.join(repeated, is_row, "left_semi").withColumn("_key", digest).dropDuplicates(["doc_id", "_key"]).drop("_key")
+        one = out.join(repeated, is_row, "left_semi").dropDuplicates(["id", "sha"])
         out = out.join(repeated, is_row, "left_anti").unionByName(one)
-    return out
+    return out.select("row.*")

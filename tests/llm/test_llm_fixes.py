@@ -48,3 +48,41 @@ def test_ranges_hold_a_bounded_share():
     for size in (0, 1 << 30, 1 << 47, 1 << 57):
         assert size / 2 ** common.ranges_for(size) <= 32 << 20
     assert np.array_equal(list(ngram_join._split(np.array([1, 5, (3 << 32) + 1, (3 << 32) + 2, 9 << 32], np.uint64))), [(0, 0, 2), (3, 2, 4), (9, 4, 5)])
+
+
+def test_trust_travels_along_any_chain(spark):
+    from shopflow.llm import urlrank
+    n = 60
+    edges = spark.createDataFrame([(f"h{i}", f"h{i + 1}", 1.0) for i in range(n)], "src string, dst string, weight double")
+    seeds = spark.createDataFrame([("h0", 1.0)], "host string, seed double")
+    score = {r.host: r.score for r in urlrank.personalised_rank(edges, seeds, None, 0.85).collect()}
+    assert all(abs(score[f"h{i}"] - 0.15 * 0.85 ** i) < 1e-6 and score[f"h{i}"] > 0 for i in range(n + 1))
+    assert urlrank.personalised_rank(edges, seeds.limit(0), None, 0.85).count() == 0
+
+
+def test_leaks_without_ids_and_short_ones(spark):
+    from shopflow.llm import decontam
+    base = " ".join(f"w{i}" for i in range(30))
+    items = [(None, base), (1, "Tiny leak here"), (1, "other words that are not in any document at all"), (2, None), (3, "  "), (4, "one")]
+    docs = [(1, f"before {base} after"), (None, base.upper()), (1, f"a tiny LEAK here and there {base[:60]}"), (2, "tiny leak"), (5, None), (6, "one"), (7, "none of it")]
+    d = spark.createDataFrame([(*r, "x", 1, [1]) for r in docs], "doc_id long, text string, item_id string, key long, sha array<long>")
+    i = spark.createDataFrame([(*r, 1) for r in items], "item_id long, text string, doc_id long")
+    got = {(r.doc_id, r.item_id, r.n_shared, r.n_item_shingles) for r in decontam.contaminated(d, i).collect()}
+    assert got == {(1, None, 26, 26), (None, None, 26, 26), (1, 1, 1, 1), (6, 4, 1, 1)}
+    assert [r.text for r in decontam.drop_contaminated(d, i).orderBy("doc_id").collect()] == ["tiny leak", None, "none of it"]
+    assert decontam.contaminated(d, i.limit(0)).count() == 0 and decontam.drop_contaminated(d, i.limit(0)).count() == len(docs)
+    assert decontam.contaminated(d.limit(0), i).count() == 0
+
+
+def test_stages_keep_columns_of_any_name(spark):
+    from shopflow.llm import decontam, exact_dedup
+    base = " ".join(f"w{i}" for i in range(40))
+    names = ["keep_doc", "keep_sha", "bad_text", "x_doc", "x_key", "sha", "_sha", "_key", "row", "id", "key", "rows", "rep", "hi", "lo"]
+    rows = [(1, base), (2, base), (2, base), (3, base + " x"), (None, base + " y"), (4, None), (4, None), (5, "")]
+    df = spark.createDataFrame([(*r, *(f"{n}{k}" for n in names)) for k, r in enumerate(rows)], ", ".join(["doc_id long, text string", *(f"`{n}` string" for n in names)]))
+    items = spark.createDataFrame([(1, base)], "item_id long, text string")
+    for stage, want in ((exact_dedup.drop_exact_duplicates, 4), (ngram_join.drop_near_copies, 4), (lambda x: decontam.drop_contaminated(x, items), 3)):
+        out = stage(df)
+        assert out.columns == df.columns and out.count() == want
+        assert stage(df.limit(0)).count() == 0
+        assert all(r[n].startswith(n) for r in out.collect() for n in names)
