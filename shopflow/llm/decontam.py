@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from shopflow.llm.common import SPACE, ascii_lower, materialise
 
 WIDTH = 5
+DIGESTS = 1 << 20  # digests of candidate texts that are broadcast, 32 bytes each
 
 
 def bind(value: Column, use) -> Column:
@@ -93,7 +94,8 @@ def contaminated(docs: DataFrame, items: DataFrame, threshold_percent: int = 80)
     sketches = item_sketches(items, widths, threshold_percent).select("width", F.explode("sketch").alias("value")).distinct()
     found = materialise(docs.select("doc_id", "sha", _rows_of_widths(F.col("text"), widths, shingle_hashes).alias("s")).select("doc_id", "sha", "s.*")
                         .join(sketches, ["width", "value"]).select("doc_id", "sha").distinct(), "found")
-    held = (docs.join(found.select("sha").distinct(), "sha", "left_semi")
+    texts = materialise(found.select("sha").distinct(), "texts")
+    held = (docs.join(F.broadcast(texts) if texts.count() <= DIGESTS else texts, "sha", "left_semi")  # beyond it texts are shuffled
             .select("sha", _rows_of_widths(F.col("text"), widths, shingle_words).alias("s")).select("sha", "s.*"))
     own = items.select("key", "item_id", "width", F.explode(by_width(F.col("width"), widths, lambda w: shingle_words(F.col("text"), w))).alias("value"))
     held = held.join(own.select("width", "value").distinct(), ["width", "value"], "left_semi").distinct()  # a text's copies count once
