@@ -259,9 +259,8 @@ def rebuild_counts(spark, sf_dir):
     return spark.createDataFrame(out, "version int, old_pairs long, new_pairs long")
 
 
-@register("table_sizes")
 def table_sizes(spark, sf_dir):
-    """Files and bytes of every table (SQL over the tables can't see their files)."""
+    """Files and bytes of every table. No registered query: SQL over the tables can't see their files."""
     parts = [ST.file_sizes(TB.read(spark, sf_dir, t)).select(F.lit(t).alias("table_name"), "files", "bytes") for t in _TABLES]
     out = parts[0]
     for p in parts[1:]:

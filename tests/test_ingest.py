@@ -8,7 +8,7 @@ import tempfile
 from pyspark.sql import functions as F
 
 from shopflow.operators import pairs as PR
-from shopflow.plans import registry
+from shopflow.plans.store import table_sizes
 from shopflow.sources import store as ST
 from shopflow.sources import tables as TB
 from shopflow.streaming import jobs as J
@@ -64,8 +64,7 @@ def test_counted_writes(spark):
 
 
 def test_table_sizes_are_the_files(spark):
-    registry.load_all()
-    rows = {r.table_name: r.bytes for r in registry.QUERIES["table_sizes"](spark, SF).collect()}
+    rows = {r.table_name: r.bytes for r in table_sizes(spark, SF).collect()}
     assert rows == {t: os.path.getsize(f"{SF}/{t}.parquet") for t in TB.TABLES}
 
 
