@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from shopflow.functions.text import quote_regex
 from shopflow.operators import textmatch as TM
 from shopflow.operators.topk import top_k
+from shopflow.session import lookup, written
 
 SEP = "\u0001"  # field separator that cannot occur in a query
 
@@ -81,29 +82,44 @@ def _product_text(products: DataFrame, fields: list[str]) -> DataFrame:
     return products.select("id", F.concat_ws(SEP, *[F.coalesce(F.col(f), F.lit("")) for f in fields]).alias("text"))
 
 
-def matched_set(requests: DataFrame, products: DataFrame,
-                fields: tuple[str, ...] = ("title", "description", "brand"), keys: DataFrame | None = None) -> DataFrame:
-    """T7 match: (qn, filter_key, id) for substring hits that pass the request's filters."""
-    keys = keys if keys is not None else search_keys(requests)
+def _filtered(pairs: DataFrame, keys: DataFrame, products: DataFrame, only: list[str] | None = None, carry: tuple[str, ...] = ()) -> DataFrame:
+    """(qn, filter_key, id, *carry): ``pairs(qn, id)`` for each filter of the query that the product passes.
+
+    Products come in by id, with the fields that some filter names, before a query's filters multiply its rows."""
+    known = {*STRING_FIELDS, *NUMBER_FIELDS, *BOOL_FIELDS, *ARRAY_FIELDS, PRICE_MIN, PRICE_MAX}
+    named = keys.select(F.explode(F.map_keys("filters")).alias("k")).where(F.col("k").isin(*known)).distinct()
+    used = {"priceCurrent" if r["k"] in (PRICE_MIN, PRICE_MAX) else r["k"] for r in named.collect()}
+    cols = [c for c in products.columns if c == "id" or c in used or c in carry]
+    pred = filter_predicate(cols, F.col("filters"), only)
+    return (pairs.join(products.select(cols).hint("merge"), "id")
+            .join(lookup(keys.select("qn", "filter_key", "filters")), "qn").where(pred)
+            .select("qn", "filter_key", "id", *carry))
+
+
+def matched_set(requests: DataFrame, products: DataFrame, fields: tuple[str, ...] = ("title", "description", "brand"),
+                keys: DataFrame | None = None, carry: tuple[str, ...] = ()) -> DataFrame:
+    """T7 match: (qn, filter_key, id, *carry) for substring hits that pass the request's filters. ``carry`` names
+    product columns that come along."""
+    keys = keys if keys is not None else written(search_keys(requests), "keys")
     hits = TM.substring_matches(keys.select(F.col("qn").alias("q")), _product_text(products, list(fields)))
-    pred = filter_predicate(products.columns, F.col("filters"))
-    return (hits.join(keys, hits.q == keys.qn).drop("q")
-            .join(products, "id").where(pred)
-            .select("qn", "filter_key", "id"))
+    return _filtered(hits.withColumnRenamed("q", "qn"), keys, products, carry=carry)
+
+
+def _titled(ranked: DataFrame, products: DataFrame, *cols: str) -> DataFrame:
+    """``ranked`` with product columns, while it holds a few rows for each query and not yet for each request."""
+    return ranked.join(products.select("id", *cols).hint("merge"), "id")
 
 
 def search_page(requests: DataFrame, products: DataFrame) -> DataFrame:
     """T7 + W2 + D4: per request the page ``off+1..off+lim`` (id order) and the pre-pagination total."""
-    all_keys = search_keys(requests)
+    all_keys = written(search_keys(requests), "keys")
     m = matched_set(requests, products, keys=all_keys)
     totals = m.groupBy("qn", "filter_key").agg(F.count(F.lit(1)).alias("total"))
-    ranked = top_k(m, ["qn", "filter_key"], [F.asc("id")],
-                   max_of(requests, F.col("off") + F.col("lim")) or 0)
+    ranked = top_k(m, ["qn", "filter_key"], [F.asc("id")], max_of(all_keys, F.col("max_end")) or 0)
+    shown = _titled(ranked, products, "title").join(totals, ["qn", "filter_key"])
     req = requests.select("query_id", F.lower("query").alias("qn"), "filter_key", "off", "lim")
-    page = (req.join(ranked, ["qn", "filter_key"])
-            .where((F.col("rank") > F.col("off")) & (F.col("rank") <= F.col("off") + F.col("lim"))))
-    return (page.join(totals, ["qn", "filter_key"])
-            .join(products.select("id", "title"), "id")
+    return (req.join(lookup(written(shown, "shown")), ["qn", "filter_key"])
+            .where((F.col("rank") > F.col("off")) & (F.col("rank") <= F.col("off") + F.col("lim")))
             .select("query_id", F.col("rank").cast("int").alias("rank"), "id", "title",
                     F.col("total").cast("bigint").alias("total")))
 
@@ -112,7 +128,7 @@ def search_totals(requests: DataFrame, products: DataFrame) -> DataFrame:
     """Total matches per request (0 when nothing matches)."""
     totals = matched_set(requests, products).groupBy("qn", "filter_key").agg(F.count(F.lit(1)).alias("total"))
     req = requests.select("query_id", F.lower("query").alias("qn"), "filter_key")
-    return (req.join(totals, ["qn", "filter_key"], "left")
+    return (req.join(lookup(written(totals, "totals")), ["qn", "filter_key"], "left")
             .select("query_id", F.coalesce(F.col("total"), F.lit(0)).cast("bigint").alias("total")))
 
 
@@ -147,28 +163,26 @@ def facets_matched(requests: DataFrame, products: DataFrame) -> DataFrame:
     """A2: facets over each search key's matched set, whatever its size."""
     m = matched_set(requests, products)
     fields = ["brand", "color", "productType", "isOnSale", "seasons"]
-    rows = m.join(products.select("id", *fields), "id")
+    rows = m.join(products.select("id", *fields).hint("merge"), "id")
     return facets(rows, ["qn", "filter_key"], fields).withColumnRenamed("qn", "query")
 
 
 def any_term_search(requests: DataFrame, products: DataFrame) -> DataFrame:
     """Any whitespace term of the query contained in title, description or brand;
     price range / colour / sale filters; first ``lim`` by id and the total."""
-    keys = search_keys(requests)
-    terms = keys.select("qn", "filter_key", "filters",
-                        F.explode(F.split(F.trim("qn"), r"\s+")).alias("term")).where(F.length("term") > 0)
+    keys = written(search_keys(requests), "keys")
+    terms = (keys.select("qn", F.explode(F.split(F.trim("qn"), r"\s+")).alias("term"))
+             .where(F.length("term") > 0).distinct())
+    terms = written(terms, "terms")
     hits = TM.substring_matches(terms.select(F.col("term").alias("q")),
                                 _product_text(products, ["title", "description", "brand"]))
-    pred = filter_predicate(products.columns, F.col("filters"), only=[PRICE_MIN, PRICE_MAX, "color", "isOnSale"])
-    m = (terms.join(hits, terms.term == hits.q).select("qn", "filter_key", "id").distinct()
-         .join(keys.select("qn", "filter_key", "filters"), ["qn", "filter_key"])
-         .join(products, "id").where(pred).select("qn", "filter_key", "id"))
+    pairs = hits.join(lookup(terms), hits.q == F.col("term")).select("qn", "id").distinct()
+    m = _filtered(pairs, keys, products, only=[PRICE_MIN, PRICE_MAX, "color", "isOnSale"])
     totals = m.groupBy("qn", "filter_key").agg(F.count(F.lit(1)).alias("total"))
-    ranked = top_k(m, ["qn", "filter_key"], [F.asc("id")],
-                   max_of(requests, F.col("off") + F.col("lim")) or 0)
+    ranked = top_k(m, ["qn", "filter_key"], [F.asc("id")], max_of(keys, F.col("max_end")) or 0)
+    shown = _titled(ranked, products, "title").join(totals, ["qn", "filter_key"])
     req = requests.select("query_id", F.lower("query").alias("qn"), "filter_key", "lim")
-    return (req.join(ranked, ["qn", "filter_key"]).where(F.col("rank") <= F.col("lim"))
-            .join(totals, ["qn", "filter_key"]).join(products.select("id", "title"), "id")
+    return (req.join(lookup(written(shown, "shown")), ["qn", "filter_key"]).where(F.col("rank") <= F.col("lim"))
             .select("query_id", F.col("rank").cast("int").alias("rank"), "id", "title",
                     F.col("total").cast("bigint").alias("total")))
 
@@ -178,8 +192,9 @@ def prefix_suggest(requests: DataFrame, products: DataFrame) -> DataFrame:
     keys = requests.groupBy("prefix").agg(F.max("lim").alias("max_lim"))
     hits = TM.prefix_matches(keys, products)
     ranked = top_k(hits, ["prefix"], [F.asc("id")], max_of(requests, F.col("lim")) or 0)
-    return (requests.join(ranked, "prefix").where(F.col("rank") <= F.col("lim"))
-            .join(products.select("id", "title", "brand"), "id")
+    shown = (_titled(ranked, products, "title", "brand").groupBy("prefix")
+             .agg(F.array_sort(F.collect_list(F.struct("rank", "id", "title", "brand"))).alias("l")))
+    return (requests.join(lookup(written(shown, "shown")), "prefix").select("query_id", "lim", F.inline("l")).where(F.col("rank") <= F.col("lim"))
             .select("query_id", F.col("rank").cast("int").alias("rank"), "id", "title", "brand"))
 
 
@@ -217,7 +232,7 @@ def category_search(queries: DataFrame, products: DataFrame, max_col: str = "max
                           "cid", "name", "slug", "n")
     qs = queries.groupBy("query").agg(F.max(max_col).alias("mx"))
     hits = TM.substring_matches(qs.select(F.col("query").alias("q")), dim_text, "q", "key", "text")
-    per_cat = (hits.join(dim_text, "key").groupBy(F.col("q").alias("query"), "cid")
+    per_cat = (hits.join(dim_text.hint("merge"), "key").groupBy(F.col("q").alias("query"), "cid")
                .agg(F.min("name").alias("name"), F.min("slug").alias("slug"), F.sum("n").alias("product_count")))
     ranked = _first(per_cat.join(qs, "query"), [F.desc("product_count"), F.asc("cid")], max_of(queries, F.col(max_col)))
     return ranked.select("query", F.col("rank").cast("int").alias("rank"), F.col("cid").alias("id"), "name", "slug",
@@ -231,7 +246,7 @@ def brand_search(queries: DataFrame, products: DataFrame, max_col: str = "max_br
     hits = TM.substring_matches(qs.select(F.col("query").alias("q")),
                                 brands.select(F.col("brand").alias("key"), F.col("brand").alias("text")),
                                 "q", "key", "text")
-    per = hits.join(brands, hits.key == brands.brand).select(F.col("q").alias("query"), "brand", "n")
+    per = hits.join(brands.hint("merge"), hits.key == F.col("brand")).select(F.col("q").alias("query"), "brand", "n")
     ranked = _first(per.join(qs, "query"), [F.desc("n"), F.asc("brand")], max_of(queries, F.col(max_col)))
     return ranked.select("query", F.col("rank").cast("int").alias("rank"), F.col("brand").alias("id"),
                          F.col("brand").alias("name"), F.col("n").cast("bigint").alias("product_count"))
@@ -240,12 +255,12 @@ def brand_search(queries: DataFrame, products: DataFrame, max_col: str = "max_br
 def consolidated_candidates(queries: DataFrame, products: DataFrame, max_col: str = "max_products") -> DataFrame:
     """R4's text strategies: exact whole-word (score 1.0, first max by id), then substring (0.8, first 2*max by id,
     queries of 3+ characters, exact ids removed)."""
-    qs = queries.groupBy("query").agg(F.max(max_col).alias("mx"))
+    qs = written(queries.groupBy("query").agg(F.max(max_col).alias("mx")), "queries")
     text = _product_text(products, ["title", "description"])
     hits = TM.substring_matches(qs.select(F.col("query").alias("q")), text)
     pat = F.concat(F.lit("(?iU)\\b"), quote_regex(F.col("q")), F.lit("\\b"))
-    cand = (hits.join(text, "id").join(qs, hits.q == qs.query)
-            .withColumn("is_exact", F.regexp(F.col("text"), pat)))
+    cand = hits.join(text.hint("merge"), "id").select("id", F.col("q").alias("query"), F.regexp(F.col("text"), pat).alias("is_exact"))
+    cand = written(cand, "candidates").join(lookup(qs), "query")
     most = max_of(queries, F.col(max_col))
     exact = _first(cand.where("is_exact"), [F.asc("id")], most, rank_col="erank")
     sub = _first(cand.where(F.length("query") >= 3), [F.asc("id")], most, 2, "srank")
@@ -260,7 +275,7 @@ def consolidated_products(queries: DataFrame, products: DataFrame, max_col: str
     """R4 without vectors: the text strategies' products by score, cut to max."""
     merged, most = consolidated_candidates(queries, products, max_col), max_of(queries, F.col(max_col))
     ranked = _first(merged, [F.desc("score"), F.asc("src"), F.asc("srank")], most)
-    return (ranked.join(products.select("id", "title"), "id")
+    return (_titled(ranked, products, "title")
             .select("query", F.col("rank").cast("int").alias("rank"), "id", "title", "score", "matchType"))
 
 
@@ -285,11 +300,11 @@ def ngram_search(requests: DataFrame, products: DataFrame, min_gram: int = 3, ma
         arrs = [TM._grams(F.lower(c), n) for n in range(min_gram, max_gram + 1)]
         return F.array_distinct(F.flatten(F.array(*[F.coalesce(a, F.array().cast("array<string>")) for a in arrs])))
     qs = requests.groupBy(F.lower("query").alias("qn")).agg(F.max("lim").alias("max_lim"))
-    qg = qs.select("qn", F.size(grams(F.col("qn"))).alias("nq"), F.explode(grams(F.col("qn"))).alias("gram"))
+    qg = written(qs.select("qn", F.size(grams(F.col("qn"))).alias("nq"), F.explode(grams(F.col("qn"))).alias("gram")), "grams")
     pg = products.select("id", F.explode(grams(F.col("title"))).alias("gram"))
-    hits = (qg.join(pg, "gram").groupBy("qn", "nq", "id").agg(F.count(F.lit(1)).alias("hit"))
+    hits = (pg.join(lookup(qg), "gram").groupBy("qn", "nq", "id").agg(F.count(F.lit(1)).alias("hit"))
             .select("qn", "id", F.round(F.col("hit") / F.col("nq"), 6).alias("score")))
     ranked = top_k(hits, ["qn"], [F.desc("score"), F.asc("id")], max_of(requests, F.col("lim")) or 0)
     req = requests.select("query_id", F.lower("query").alias("qn"), "lim")
-    return (req.join(ranked, "qn").where(F.col("rank") <= F.col("lim"))
+    return (req.join(lookup(written(ranked, "shown")), "qn").where(F.col("rank") <= F.col("lim"))
             .select("query_id", F.col("rank").cast("int").alias("rank"), "id", "score"))

@@ -8,6 +8,9 @@ sides and joins on it, then verifies the candidates exactly:
   trigram (by document frequency), so a common trigram never drives the join.
   Queries shorter than three characters probe the 1- or 2-gram postings directly.
 * prefix: edge-gram table ``(gram, id)`` of the lower-cased title.
+
+The queries' keys are written once and measured: few of them are broadcast, and the documents
+stream past without a shuffle; many meet the postings by sorting. Postings are never broadcast.
 * one edit: deletion neighbourhoods of both sides, verified with ``levenshtein``.
 """
 
@@ -17,6 +20,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from shopflow.operators.topk import top_k
+from shopflow.session import lookup, lookup_fits, written
 
 
 def _grams(t: Column, n: int) -> Column:
@@ -25,10 +29,9 @@ def _grams(t: Column, n: int) -> Column:
 
 
 def gram_postings(docs: DataFrame, n: int, id_col: str = "id", text_col: str = "text") -> DataFrame:
-    """Distinct (gram, id) over the lower-cased text."""
+    """(gram, id) over the lower-cased text, once per document."""
     t = F.lower(F.col(text_col))
-    return (docs.select(F.col(id_col).alias("id"), F.explode(_grams(t, n)).alias("gram"))
-            .distinct())
+    return docs.select(F.col(id_col).alias("id"), F.explode(F.array_distinct(_grams(t, n))).alias("gram"))
 
 
 def substring_matches(queries: DataFrame, docs: DataFrame, q_col: str = "q",
@@ -42,38 +45,44 @@ def substring_matches(queries: DataFrame, docs: DataFrame, q_col: str = "q",
     qs = queries.select(F.col(q_col).alias("q")).where(F.length("q") > 0).distinct()
     ql = F.lower(F.col("q"))
     d = docs.select(F.col(id_col).alias("id"), F.lower(F.col(text_col)).alias("_t"))
-    post3 = gram_postings(d, 3, "id", "_t")
-    dfreq = post3.groupBy("gram").agg(F.count(F.lit(1)).alias("df"))
+    dfreq = gram_postings(d, 3, "id", "_t").groupBy("gram").agg(F.count(F.lit(1)).alias("df"))
     qgrams = (qs.where(F.length("q") >= 3)
               .select("q", F.explode(_grams(ql, 3)).alias("gram")).distinct())
-    probe = top_k(qgrams.join(dfreq, "gram"), ["q"], [F.asc("df"), F.asc("gram")], 1).select("q", "gram")
-    cand = probe.join(post3, "gram").select("q", "id")
-    long_hits = (cand.join(d, "id").where(F.col("_t").contains(F.lower(F.col("q"))))
-                 .select("q", "id"))
+    rarest = top_k(qgrams.join(dfreq.hint("merge"), "gram"), ["q"], [F.asc("df"), F.asc("gram")], 1)
     short = qs.where(F.length("q") < 3).select("q", ql.alias("gram"), F.length("q").alias("n"))
-    short_hits = None
-    for n in (1, 2):
-        hits = (short.where(F.col("n") == n).join(gram_postings(d, n, "id", "_t"), "gram")
-                .select("q", "id"))
-        short_hits = hits if short_hits is None else short_hits.unionByName(hits)
-    out = long_hits.unionByName(short_hits)
+    probes = written(rarest.select("q", "gram", F.lit(3).alias("n")).unionByName(short), "probes")
+    out = None
+    for n in sorted(r["n"] for r in probes.select("n").distinct().collect()):
+        probe = probes.where(F.col("n") == n).select("q", "gram")
+        if n < 3:
+            hits = gram_postings(d, n, "id", "_t").join(lookup(probe), "gram").select("q", "id").distinct()
+        elif lookup_fits(probe):
+            # the text travels with its grams inside a task, so a match is verified on the spot
+            grams = d.where("id is not null").select("id", "_t", F.explode(F.array_distinct(_grams(F.col("_t"), 3))).alias("gram"))
+            hits = grams.join(F.broadcast(probe), "gram").where(F.col("_t").contains(ql)).select("q", "id")
+        else:
+            cand = gram_postings(d, 3, "id", "_t").join(probe.hint("merge"), "gram").select("q", "id").distinct()
+            hits = cand.join(d.hint("merge"), "id").where(F.col("_t").contains(ql)).select("q", "id")
+        out = hits if out is None else out.unionByName(hits)
+    if out is None:
+        out = d.select(F.lit("").alias("q"), "id").where(F.lit(False))
     return out.withColumnRenamed("id", id_col) if id_col != "id" else out
 
 
 def edge_grams(docs: DataFrame, id_col: str = "id", text_col: str = "title") -> DataFrame:
-    """(gram, id): every leading substring of the lower-cased text."""
+    """(gram, id): every leading substring of the lower-cased text, once per document."""
     t = F.lower(F.col(text_col))
     return docs.select(F.col(id_col).alias("id"), F.explode(
         F.transform(F.sequence(F.lit(1), F.greatest(F.length(t), F.lit(1))),
-                    lambda i: F.substring(t, 1, i))).alias("gram")).where(F.length("gram") > 0).distinct()
+                    lambda i: F.substring(t, 1, i))).alias("gram")).where(F.length("gram") > 0)
 
 
 def prefix_matches(prefixes: DataFrame, docs: DataFrame, p_col: str = "prefix",
                    id_col: str = "id", text_col: str = "title") -> DataFrame:
     """(prefix, id) where the text starts with the prefix, case-insensitively."""
     ps = prefixes.select(F.col(p_col).alias("prefix")).where(F.length("prefix") > 0).distinct()
-    return (ps.withColumn("gram", F.lower("prefix"))
-            .join(edge_grams(docs, id_col, text_col), "gram").select("prefix", "id"))
+    ps = written(ps.withColumn("gram", F.lower("prefix")), "prefixes")
+    return edge_grams(docs, id_col, text_col).join(lookup(ps), "gram").select("prefix", "id").distinct()
 
 
 def token_edge_grams(docs: DataFrame, min_gram: int = 2,

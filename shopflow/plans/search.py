@@ -241,7 +241,7 @@ def prefix_recall(spark, sf_dir):
     res = top_k(TM.substring_matches(pq.select(F.col("prefix").alias("q")), text), ["q"], [F.asc("id")], 20)
     tset = TM.substring_matches(targets.select(F.col("target").alias("q")), products.select("id", F.col("title").alias("text")))
     j = (pq.join(res.withColumnRenamed("q", "prefix"), "prefix", "left")
-         .join(tset.withColumnRenamed("q", "target").withColumn("_t", F.lit(1)), ["target", "id"], "left"))
+         .join(tset.withColumnRenamed("q", "target").withColumn("_t", F.lit(1)).hint("merge"), ["target", "id"], "left"))
     return j.groupBy("target", "prefix").agg(F.count("id").alias("n_results"), F.count("_t").alias("hits")) \
         .withColumn("success", F.col("hits") > 0)
 
@@ -270,7 +270,7 @@ def feedback_ctr(spark, sf_dir):
         F.transform(F.array_sort(F.collect_list(F.struct("rank", "id"))), lambda e: e["id"]).alias("shown"))
     clicks = (TB.read(spark, sf_dir, "events").where(F.col("event_type") == "click")
               .select(F.col("event_id").alias("query_id"), F.get_json_object("props", "$.k").cast("bigint").alias("clicked")))
-    fb = clicks.join(req.select("query_id", "query"), "query_id").join(shown, "query_id", "left")
+    fb = clicks.join(req.select("query_id", "query").hint("merge"), "query_id").join(shown.hint("merge"), "query_id", "left")
     pos = fb.select("query", F.coalesce(F.array_position("shown", F.col("clicked")), F.lit(0)).alias("position"))
     hit = F.col("position") > 0
     return pos.groupBy("query").agg(
@@ -322,7 +322,7 @@ def result_top3(spark, sf_dir):
     from shopflow.operators.topk import top_k
     m = S.matched_set(RQ.search_requests(spark, sf_dir), TB.products(spark, sf_dir))
     r = top_k(m, ["qn", "filter_key"], [F.asc("id")], 3, "position")
-    return r.join(TB.products(spark, sf_dir).select("id", "title"), "id").select(
+    return r.join(TB.products(spark, sf_dir).select("id", "title").hint("merge"), "id").select(
         F.col("qn").alias("query"), "filter_key", F.col("position").cast("int").alias("position"), "id", "title")
 
 

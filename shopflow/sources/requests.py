@@ -34,7 +34,8 @@ def _events_with_product(spark: SparkSession, sf_dir: str) -> DataFrame:
         "event_id", "event_type", "user_id",
         F.get_json_object("props", "$.k").cast("bigint").alias("k"))
     p = read(spark, sf_dir, "part").select("p_partkey", "p_name", "p_brand", "p_retailprice")
-    return e.join(p, e.k == p.p_partkey, "inner")
+    # the catalogue grows, and its files are far smaller than its rows: never broadcast
+    return e.join(p.hint("merge"), e.k == p.p_partkey, "inner")
 
 
 def filter_key(filters: Column) -> Column:
