@@ -111,7 +111,7 @@ def fused_products(queries: DataFrame, products: DataFrame, k: int = 10, vector_
     best = impact.top_scores(_asked(features), _docs(entries, classes), k)
     text = best.join(classes.select(F.col("cid").alias("did"), F.explode("ids").alias("id")), "did").select("qid", "id", "score")
     near = written(title_neighbours(asked, products, vector_k).join(asked.where(uses_vector(F.col("query"), F.col("include_vector"))), "query")
-            .join(members, "id").select("qid", "id", "cid", "sim"), "near")
+            .join(members.hint("merge"), "id").select("qid", "id", "cid", "sim"), "near")
     pairs = (near.select("qid", "cid").distinct().join(features, "qid").join(entries, ["cid", "fid"])
              .groupBy("qid", "cid").agg(F.round(F.sum(F.col("w") * F.col("imp")), 9).alias("text")))
     close = near.join(pairs, ["qid", "cid"], "left").select(
@@ -119,7 +119,7 @@ def fused_products(queries: DataFrame, products: DataFrame, k: int = 10, vector_
     every = text.join(close.select("qid", "id"), ["qid", "id"], "left_anti").unionByName(close)
     ranked = top_k(every, ["qid"], [F.desc("score"), F.asc("id")], k)
     kind = (F.when(F.contains(F.lower("title"), F.lower("query")), "exact").when(F.col("score") > 1.5, "ngram").otherwise("vector"))
-    return (ranked.join(asked, "qid").join(products.select("id", "title"), "id")
+    return (ranked.join(asked, "qid").join(products.select("id", "title").hint("merge"), "id")
             .select(*KEY, F.col("rank").cast("int").alias("rank"), "id", "title", "score", kind.alias("matchType")))
 
 
@@ -162,7 +162,7 @@ def vector_matches(queries: DataFrame, products: DataFrame, earlier: DataFrame,
             report[field] = one
         found = hits if found is None else found.unionByName(hits)
     best = found.groupBy(F.col("qid").alias("query"), F.col("cid").alias("id")).agg(F.max("sim").alias("score"))
-    return best.join(earlier.select("query", "id"), ["query", "id"], "left_anti")
+    return best.join(earlier.select("query", "id").hint("merge"), ["query", "id"], "left_anti")
 
 
 def three_strategies(queries: DataFrame, products: DataFrame, limit: int = 10) -> DataFrame:
@@ -174,5 +174,5 @@ def three_strategies(queries: DataFrame, products: DataFrame, limit: int = 10) -
     merged = first.select("query", "id", "score", "matchType", "src", F.col("srank").cast("bigint").alias("srank")).unionByName(
         vector.select("query", "id", "score", F.lit("vector").alias("matchType"), F.lit(2).alias("src"), F.lit(0).cast("bigint").alias("srank")))
     ranked = top_k(merged, ["query"], [F.desc("score"), F.asc("src"), F.asc("srank"), F.asc("id")], limit)
-    return (ranked.join(products.select("id", "title"), "id")
+    return (ranked.join(products.select("id", "title").hint("merge"), "id")
             .select("query", F.col("rank").cast("int").alias("rank"), "id", "title", F.round("score", 6).alias("score"), "matchType"))

@@ -17,7 +17,7 @@ from shopflow.operators import search as S
 from shopflow.operators import textsearch as TS
 from shopflow.operators import vectors as V
 from shopflow.operators.topk import top_k
-from shopflow.session import checkpoint_dir
+from shopflow.session import lookup, written
 
 TEXT_FIELDS = ("title", "description", "brand")
 
@@ -45,20 +45,16 @@ def clause_scores(queries: DataFrame, products: DataFrame, text_boost: float = 2
 def hybrid_search(requests: DataFrame, products: DataFrame) -> DataFrame:
     """R2 + R3: fused score, post-filter, per-request page (score desc, id asc), total and match type."""
     # the distinct request keys feed five clauses and the filter join: materialise them once
-    # (a small table; reliable checkpoint in the shared folder)
-    checkpoint_dir(requests.sparkSession)
-    keys = S.search_keys(requests).checkpoint()
-    scored = clause_scores(keys, products)
-    pred = S.filter_predicate(products.columns, F.col("filters"))
-    m = (scored.join(keys, "qn").join(products, "id").where(pred)
-         .select("qn", "filter_key", "id", "score", "max_end", "title"))
+    # (a small table in the shared folder)
+    keys = written(S.search_keys(requests), "keys")
+    m = S.filtered(clause_scores(keys, products), keys, products, carry=("score", "title"))
     totals = m.groupBy("qn", "filter_key").agg(F.count(F.lit(1)).alias("total"))
     ranked = top_k(m, ["qn", "filter_key"], [F.desc("score"), F.asc("id")],
-                   S.max_of(requests, F.col("off") + F.col("lim")) or 0)
+                   S.max_of(keys, F.col("max_end")) or 0)
+    shown = written(ranked.join(totals, ["qn", "filter_key"]), "shown")
     req = requests.select("query_id", F.lower("query").alias("qn"), "filter_key", "off", "lim")
-    page = (req.join(ranked, ["qn", "filter_key"])
-            .where((F.col("rank") > F.col("off")) & (F.col("rank") <= F.col("off") + F.col("lim")))
-            .join(totals, ["qn", "filter_key"]))
+    page = (req.join(lookup(shown), ["qn", "filter_key"])
+            .where((F.col("rank") > F.col("off")) & (F.col("rank") <= F.col("off") + F.col("lim"))))
     match_type = (F.when(F.lower("title").contains(F.col("qn")), "exact")
                   .when(F.col("score") > 1.5, "ngram").otherwise("vector"))
     return page.select("query_id", F.col("rank").cast("int").alias("rank"), "id",

@@ -82,7 +82,7 @@ def _product_text(products: DataFrame, fields: list[str]) -> DataFrame:
     return products.select("id", F.concat_ws(SEP, *[F.coalesce(F.col(f), F.lit("")) for f in fields]).alias("text"))
 
 
-def _filtered(pairs: DataFrame, keys: DataFrame, products: DataFrame, only: list[str] | None = None, carry: tuple[str, ...] = ()) -> DataFrame:
+def filtered(pairs: DataFrame, keys: DataFrame, products: DataFrame, only: list[str] | None = None, carry: tuple[str, ...] = ()) -> DataFrame:
     """(qn, filter_key, id, *carry): ``pairs(qn, id)`` for each filter of the query that the product passes.
 
     Products come in by id, with the fields that some filter names, before a query's filters multiply its rows."""
@@ -102,7 +102,7 @@ def matched_set(requests: DataFrame, products: DataFrame, fields: tuple[str, ...
     product columns that come along."""
     keys = keys if keys is not None else written(search_keys(requests), "keys")
     hits = TM.substring_matches(keys.select(F.col("qn").alias("q")), _product_text(products, list(fields)))
-    return _filtered(hits.withColumnRenamed("q", "qn"), keys, products, carry=carry)
+    return filtered(hits.withColumnRenamed("q", "qn"), keys, products, carry=carry)
 
 
 def _titled(ranked: DataFrame, products: DataFrame, *cols: str) -> DataFrame:
@@ -177,7 +177,7 @@ def any_term_search(requests: DataFrame, products: DataFrame) -> DataFrame:
     hits = TM.substring_matches(terms.select(F.col("term").alias("q")),
                                 _product_text(products, ["title", "description", "brand"]))
     pairs = hits.join(lookup(terms), hits.q == F.col("term")).select("qn", "id").distinct()
-    m = _filtered(pairs, keys, products, only=[PRICE_MIN, PRICE_MAX, "color", "isOnSale"])
+    m = filtered(pairs, keys, products, only=[PRICE_MIN, PRICE_MAX, "color", "isOnSale"])
     totals = m.groupBy("qn", "filter_key").agg(F.count(F.lit(1)).alias("total"))
     ranked = top_k(m, ["qn", "filter_key"], [F.asc("id")], max_of(keys, F.col("max_end")) or 0)
     shown = _titled(ranked, products, "title").join(totals, ["qn", "filter_key"])

@@ -20,12 +20,14 @@ from pyspark.sql import functions as F
 
 from shopflow.operators.classes import spread
 from shopflow.operators.topk import top_k
-from shopflow.session import written
+from shopflow.session import lookup, written
 
 MOST_PIVOTS = 1024
 CLUSTER_ROWS = 2048      # vectors of a cluster on the average, as far as the pivots go
 PIVOT_FLOATS = 1 << 21   # of all pivots together (16 MB), sent to every task
 SLACK = 2e-9             # similarities are rounded to 9 places
+ROUTE_QUERIES = 512      # queries compared with all pivots at once
+ROUTE_ROWS = 4096        # routes that leave a worker at once, each with its vector
 
 
 def _matrix(vs) -> np.ndarray:
@@ -70,7 +72,7 @@ def _vector_classes(df: DataFrame, id_col: str, vec_col: str, k: int) -> tuple[D
     rows = written(df.select(_id(df, id_col).alias("id"), F.col(vec_col).alias("vec")), "rows").where("vec is not null")  # a filter before would make vectors twice
     classes = top_k(rows, ["vec"], [F.asc("id")], k).groupBy("vec").agg(F.array_sort(F.collect_list("id")).alias("ids"))
     classes = written(classes.select("vec", "ids", F.col("ids")[0].alias("lead"), F.monotonically_increasing_id().alias("cid")), "classes")
-    return classes, rows.join(classes, "vec").select("cid", "id")
+    return classes, rows.join(lookup(classes.select("vec", "cid")), "vec").select("cid", "id")
 
 
 def _pivots(classes: DataFrame, n: int, cluster_rows: int) -> np.ndarray:
@@ -109,9 +111,7 @@ def _routes(pivots: np.ndarray, clusters: list, home: bool):
     least, most = (np.array([c[i] for c in clusters]) for i in (1, 2))
 
     def run(batches):
-        for pdf in batches:
-            if not len(pdf):
-                continue
+        for pdf in (b.iloc[i:i + ROUTE_QUERIES] for b in batches for i in range(0, len(b), ROUTE_QUERIES)):
             sim = np.zeros((len(pdf), len(ids)))
             if len(pivots):
                 angle, zero = _angles(pdf["vec"], pivots)
@@ -125,8 +125,10 @@ def _routes(pivots: np.ndarray, clusters: list, home: bool):
                 at, to = np.arange(len(pdf)), first
             else:
                 at, to = np.nonzero((sim >= pdf["floor"].to_numpy()[:, None] - SLACK) & (ids[None, :] != pdf["home"].to_numpy()[:, None]))
-            yield pd.DataFrame({"qid": pdf["qid"].to_numpy()[at], "vec": pdf["vec"].to_numpy()[at], "floor": pdf["floor"].to_numpy()[at],
-                                "cluster": ids[to].astype("int32")})
+            for i in range(0, len(at), ROUTE_ROWS):  # a query may visit every cluster
+                q, c = at[i:i + ROUTE_ROWS], to[i:i + ROUTE_ROWS]
+                yield pd.DataFrame({"qid": pdf["qid"].to_numpy()[q], "vec": pdf["vec"].to_numpy()[q], "floor": pdf["floor"].to_numpy()[q],
+                                    "cluster": ids[c].astype("int32")})
     return run
 
 
@@ -201,7 +203,7 @@ def knn(queries: DataFrame, corpus: DataFrame, k: int | None = 10, threshold: fl
     if report is not None:
         report.update(clusters=len(clusters), pairs=asked.count() * len(clusters), visited=visited)
     if threshold is not None:
-        out = (best.join(c_members.select(F.col("cid").alias("did"), F.col("id").alias("other")), "did")
+        out = (best.join(c_members.select(F.col("cid").alias("did"), F.col("id").alias("other")).hint("merge"), "did")
                .join(q_members.select(F.col("cid").alias("qid"), "id"), "qid"))
         if exclude_self:
             out = out.where(F.col("id") != F.col("other"))

@@ -80,3 +80,38 @@ def test_collaborative_ships_lists_to_their_owners_only(spark, monkeypatch):
     pairs = spark.createDataFrame([(10 * u + a, 10 * u + b, 1) for u in range(30) for a in range(10) for b in range(a + 1, 10)], "product1 long, product2 long, cnt long")
     RC.collaborative(lines, pairs, spark.createDataFrame([(0, "p")], "id long, title string"), 5, block_weight=90)
     assert sent["mine"].select("ub").distinct().count() == 30 and sent["need"].count() == sent["lists"].count() == 300
+
+
+def test_routes_leave_in_bounded_frames():
+    import numpy as np
+    import pandas as pd
+
+    from shopflow.operators import vectors as V
+    rng = np.random.default_rng(1)
+    pivots = V._matrix(rng.normal(size=(300, 16)))
+    asked = pd.DataFrame({"qid": range(2000), "vec": [*rng.normal(size=(2000, 16))], "floor": -2.0, "home": -2})
+    frames = [*V._routes(pivots, [(i, 0.0, 3.0) for i in range(300)], False)([asked, asked.iloc[:0]])]
+    assert max(map(len, frames)) <= V.ROUTE_ROWS
+    assert len(pd.concat(frames)[["qid", "cluster"]].drop_duplicates()) == sum(map(len, frames)) == 600_000
+
+
+def test_field_lengths_are_no_key_of_a_shuffle(spark, catalogue):
+    from shopflow.operators import textsearch as TS
+    rows = catalogue.selectExpr("id AS cid", "1 AS n", "title")
+    entries, _ = TS.impact_vectors(rows, {"title": 1.0})
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        plan = entries._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert not re.search(r"hashpartitioning\(field#\d+, \d+\), ENSURE_REQUIREMENTS, \[plan_id=\d+\]\s*\n[^\n]*Project", plan)
+    assert "BroadcastHashJoin [field" in plan
+
+
+def test_copurchase_joins_baskets_once(spark):
+    from shopflow.operators import pairs as PR
+    lines = spark.createDataFrame([(1, 1), (1, 2), (1, 2), (2, 2), (2, 1), (2, 3)], "orderNr long, productNr long")
+    counts = PR.copurchase_counts(lines)
+    assert sorted(map(tuple, counts.collect())) == [(1, 2, 3), (1, 3, 1), (2, 1, 2), (2, 3, 1), (3, 1, 1), (3, 2, 1)]
+    plan = counts._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Join Inner") <= 6  # twice that when each direction joined the baskets anew
