@@ -53,6 +53,7 @@ def host_edges(pages: DataFrame) -> DataFrame:
 
 
 EACH = 4  # rounds between two written tables
+TASK_EDGES = 1 << 18  # edges of a task, so that rounds over a small graph don't leave a file for each of many partitions
 
 
 def personalised_rank(edges: DataFrame, seeds: DataFrame, rounds: int | None, damping: float, tolerance: float = 1e-6) -> DataFrame:
@@ -62,14 +63,15 @@ def personalised_rank(edges: DataFrame, seeds: DataFrame, rounds: int | None, da
     all that further ones could add, over all hosts together, is below ``tolerance``; or after ``rounds``, if given.
     """
     out = edges.groupBy("src").agg(F.sum("weight").alias("all"))
-    steps = materialise(edges.join(out, "src").select("src", "dst", (F.col("weight") / F.col("all")).alias("share")), "steps")
-    start = seeds.select("host", (F.col("seed") * (1 - damping)).alias("score"))
+    few = max(1, -(-edges.count() // TASK_EDGES))
+    steps = materialise(edges.join(out, "src").select("src", "dst", (F.col("weight") / F.col("all")).alias("share")).coalesce(few), "steps")
+    start = materialise(seeds.select("host", (F.col("seed") * (1 - damping)).alias("score")).coalesce(few), "start")
     rank, total, done = start, 0.0, 0
     while rounds is None or done < rounds:
         for _ in range(EACH if rounds is None else min(EACH, rounds - done)):
             sent = (rank.join(steps, rank["host"] == steps["src"])
-                    .groupBy(F.col("dst").alias("host")).agg(F.sum(F.col("score") * F.col("share") * damping).alias("score")))
-            rank = sent.union(start).groupBy("host").agg(F.sum("score").alias("score"))
+                    .select(F.col("dst").alias("host"), (F.col("score") * F.col("share") * damping).alias("score")).coalesce(few))
+            rank = sent.union(start).groupBy("host").agg(F.sum("score").alias("score")).coalesce(few)
             done += 1
         rank = materialise(rank, "rank")  # keeps the plan short
         now = rank.agg(F.sum("score")).first()[0] or 0.0
