@@ -307,7 +307,7 @@ def result_analysis(spark, sf_dir):
     """Per request suite (event type) how many requests found products, and the mean total."""
     tot = S.search_totals(RQ.search_requests(spark, sf_dir), TB.products(spark, sf_dir))
     ev = TB.read(spark, sf_dir, "events").select(F.col("event_id").alias("query_id"), F.col("event_type").alias("suite"))
-    return tot.join(ev, "query_id").groupBy("suite").agg(
+    return tot.join(ev.hint("merge"), "query_id").groupBy("suite").agg(
         F.count(F.lit(1)).alias("queries"), F.count_if(F.col("total") > 0).alias("successful"),
         F.count_if(F.col("total") == 0).alias("failed"), F.round(F.avg("total"), 6).alias("avg_results"))
 
