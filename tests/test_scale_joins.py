@@ -3,6 +3,7 @@ import re
 
 import pytest
 
+from shopflow.operators import pairs as PR
 
 
 def broadcasts(df):
@@ -37,6 +38,14 @@ def catalogue(spark, tmp_path_factory):
     return spark.read.parquet(at)
 
 
+def test_orders_are_not_broadcast(spark, catalogue):
+    lines = catalogue.selectExpr("id % 2 AS orderNr", "id AS productNr")
+    rows = PR.basket_pair_rows(lines)
+    assert not any("Aggregate" in b for b in broadcasts(rows) if "lb" not in b)
+    assert sorted((r.order, r.p1, r.p2, r.m1, r.m2) for r in rows.collect()) == [
+        (0, 0, 2, 1, 1), (0, 0, 4, 1, 1), (0, 2, 4, 1, 1), (1, 1, 3, 1, 2), (1, 1, 5, 1, 1), (1, 3, 5, 2, 1)]
+
+
 def test_events_are_not_broadcast_for_result_analysis(spark, tmp_path):
     from shopflow.plans import search
     spark.createDataFrame([(i, 5, "click", f'{{"k": {i % 3}}}') for i in range(8)], "event_id long, user_id long, event_type string, props string").write.parquet(str(tmp_path / "events.parquet"))
