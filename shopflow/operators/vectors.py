@@ -136,7 +136,7 @@ def _visit(routed: DataFrame, corpus: DataFrame, k: int | None, threshold: float
     """Score routed queries in their clusters, at most about ``block_rows`` of each side in a task."""
     types = dict(corpus.dtypes)
     parts = lambda df, name: df.groupBy("cluster").agg(F.ceil(F.count(F.lit(1)) / block_rows).cast("int").alias(name))
-    n = parts(routed, "qs").join(parts(corpus, "cs"), "cluster")
+    n = F.broadcast(parts(routed, "qs").join(parts(corpus, "cs"), "cluster"))  # a row a cluster; routes and vectors stay where they are
     deal = lambda df, key, own, other: df.join(n, "cluster").select(
         *[F.col(c).alias(c) for c in df.columns], F.pmod(F.xxhash64(key), F.col(own)).cast("int").alias(own[0]),
         F.explode(F.sequence(F.lit(0), F.col(other) - 1)).alias(other[0]))

@@ -4,6 +4,7 @@ import re
 import pytest
 
 from shopflow.operators import pairs as PR
+from shopflow.operators import vectors as V
 
 
 def broadcasts(df):
@@ -38,6 +39,14 @@ def catalogue(spark, tmp_path_factory):
     return spark.read.parquet(at)
 
 
+def test_routes_are_not_broadcast(spark, tmp_path, no_estimates):
+    spark.createDataFrame([(i, [1.0, float(i)], -2.0, i % 2) for i in range(6)], "qid long, vec array<double>, floor double, cluster int").write.parquet(str(tmp_path / "q"))
+    spark.createDataFrame([(i, i, [1.0, float(i)], i % 2) for i in range(6)], "cid long, lead long, vec array<double>, cluster int").write.parquet(str(tmp_path / "c"))
+    found = V._visit(spark.read.parquet(str(tmp_path / "q")), spark.read.parquet(str(tmp_path / "c")), 1, None, 2)
+    assert broadcasts(found) and all("HashAggregate" in b for b in broadcasts(found))
+    assert {(r.qid, r.did) for r in found.collect() if r.qid == r.did} == {(i, i) for i in range(6)}
+
+
 def test_orders_are_not_broadcast(spark, catalogue):
     lines = catalogue.selectExpr("id % 2 AS orderNr", "id AS productNr")
     rows = PR.basket_pair_rows(lines)
