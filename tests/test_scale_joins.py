@@ -4,6 +4,7 @@ import re
 import pytest
 
 from shopflow.operators import pairs as PR
+from shopflow.operators import textsearch as TS
 from shopflow.operators import vectors as V
 
 
@@ -39,6 +40,17 @@ def catalogue(spark, tmp_path_factory):
     return spark.read.parquet(at)
 
 
+def test_document_lengths_and_postings_are_not_broadcast(spark, catalogue):
+    post = TS.postings(catalogue, "id", "title")
+    assert not broadcasts(post)
+    assert sorted(tuple(r) for r in post.where("doc_id = 3").collect()) == [
+        (3, t, tf, dl) for t, tf in (("blue", 1), ("bolt", 1), ("red", 1), ("ring", 1), ("twice", 1)) for dl in (2, 3)]
+    asked = spark.createDataFrame([("a", "ring ring"), ("b", "none"), ("c", None)], "item_id string, text string")
+    scores = TS.bm25_scores(asked, catalogue, d_id="id", d_text="title")
+    assert all("ExistingRDD" not in b for b in broadcasts(scores))
+    assert {(r.qid, r.doc_id) for r in scores.collect()} == {("a", 0), ("a", 2), ("a", 3), ("a", 4)}
+
+
 def test_routes_are_not_broadcast(spark, tmp_path, no_estimates):
     spark.createDataFrame([(i, [1.0, float(i)], -2.0, i % 2) for i in range(6)], "qid long, vec array<double>, floor double, cluster int").write.parquet(str(tmp_path / "q"))
     spark.createDataFrame([(i, i, [1.0, float(i)], i % 2) for i in range(6)], "cid long, lead long, vec array<double>, cluster int").write.parquet(str(tmp_path / "c"))
