@@ -68,7 +68,7 @@ def _asked(features: DataFrame) -> DataFrame:
 def _docs(entries: DataFrame, classes: DataFrame) -> DataFrame:
     return (entries.groupBy(F.col("cid").alias("did")).agg(F.collect_list(F.struct("fid", "imp")).alias("e"))
             .select("did", F.col("e.fid").alias("feats"), F.col("e.imp").alias("imps"))
-            .join(classes.select(F.col("cid").alias("did"), "lead"), "did"))
+            .join(classes.select(F.col("cid").alias("did"), "lead").hint("merge"), "did"))
 
 
 def fuzzy_relevance(queries: DataFrame, products: DataFrame, k: int = 10) -> DataFrame:
@@ -109,10 +109,10 @@ def fused_products(queries: DataFrame, products: DataFrame, k: int = 10, vector_
                 .unionByName(terms.join(begun, terms["term"] == begun["gram"]).select("qid", "fid", F.lit(PREFIX).alias("w"))))
     features = written(features.groupBy("qid", "fid").agg(F.sum("w").alias("w")), "features")
     best = impact.top_scores(_asked(features), _docs(entries, classes), k)
-    text = best.join(classes.select(F.col("cid").alias("did"), F.explode("ids").alias("id")), "did").select("qid", "id", "score")
+    text = best.join(classes.select(F.col("cid").alias("did"), F.explode("ids").alias("id")).hint("merge"), "did").select("qid", "id", "score")
     near = written(title_neighbours(asked, products, vector_k).join(asked.where(uses_vector(F.col("query"), F.col("include_vector"))), "query")
             .join(members.hint("merge"), "id").select("qid", "id", "cid", "sim"), "near")
-    pairs = (near.select("qid", "cid").distinct().join(features, "qid").join(entries, ["cid", "fid"])
+    pairs = (near.select("qid", "cid").distinct().join(features, "qid").join(entries.hint("merge"), ["cid", "fid"])
              .groupBy("qid", "cid").agg(F.round(F.sum(F.col("w") * F.col("imp")), 9).alias("text")))
     close = near.join(pairs, ["qid", "cid"], "left").select(
         "qid", "id", F.round(F.coalesce("text", F.lit(0.0)) + (1 + F.col("sim")) / 2 * CLOSE, 9).alias("score"))

@@ -51,6 +51,16 @@ def test_document_lengths_and_postings_are_not_broadcast(spark, catalogue):
     assert {(r.qid, r.doc_id) for r in scores.collect()} == {("a", 0), ("a", 2), ("a", 3), ("a", 4)}
 
 
+def test_rows_of_text_classes_are_not_broadcast(catalogue, monkeypatch, no_estimates):
+    sent, plain = {}, TS.written
+    monkeypatch.setattr(TS, "written", lambda df, name: (sent.setdefault(name, []).append(df), plain(df, name))[1])
+    classes, members = TS.text_classes(catalogue, "id", ["title"], 3)
+    shipped = broadcasts(sent["members"][0])
+    assert shipped and not any("sha2(" in b for b in shipped)
+    lists = {r.title: (r.n, r.ids) for r in classes.collect()}
+    assert lists["red ring"] == (3, [0, 4]) and members.count() == 8
+
+
 def test_routes_are_not_broadcast(spark, tmp_path, no_estimates):
     spark.createDataFrame([(i, [1.0, float(i)], -2.0, i % 2) for i in range(6)], "qid long, vec array<double>, floor double, cluster int").write.parquet(str(tmp_path / "q"))
     spark.createDataFrame([(i, i, [1.0, float(i)], i % 2) for i in range(6)], "cid long, lead long, vec array<double>, cluster int").write.parquet(str(tmp_path / "c"))
