@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from shopflow.functions.text import quote_regex
 from shopflow.operators import textmatch as TM
 from shopflow.operators.topk import top_k
-from shopflow.session import lookup, written
+from shopflow.session import dealt, lookup, written
 
 SEP = "\u0001"  # field separator that cannot occur in a query
 
@@ -101,7 +101,7 @@ def matched_set(requests: DataFrame, products: DataFrame, fields: tuple[str, ...
     """T7 match: (qn, filter_key, id, *carry) for substring hits that pass the request's filters. ``carry`` names
     product columns that come along."""
     keys = keys if keys is not None else written(search_keys(requests), "keys")
-    hits = TM.substring_matches(keys.select(F.col("qn").alias("q")), _product_text(products, list(fields)))
+    hits = TM.substring_matches(keys.select(F.col("qn").alias("q")), dealt(_product_text(products, list(fields))))
     return filtered(hits.withColumnRenamed("q", "qn"), keys, products, carry=carry)
 
 
@@ -175,7 +175,7 @@ def any_term_search(requests: DataFrame, products: DataFrame) -> DataFrame:
              .where(F.length("term") > 0).distinct())
     terms = written(terms, "terms")
     hits = TM.substring_matches(terms.select(F.col("term").alias("q")),
-                                _product_text(products, ["title", "description", "brand"]))
+                                dealt(_product_text(products, ["title", "description", "brand"])))
     pairs = hits.join(lookup(terms), hits.q == F.col("term")).select("qn", "id").distinct()
     m = filtered(pairs, keys, products, only=[PRICE_MIN, PRICE_MAX, "color", "isOnSale"])
     totals = m.groupBy("qn", "filter_key").agg(F.count(F.lit(1)).alias("total"))
@@ -190,7 +190,7 @@ def any_term_search(requests: DataFrame, products: DataFrame) -> DataFrame:
 def prefix_suggest(requests: DataFrame, products: DataFrame) -> DataFrame:
     """Titles starting with the prefix (case-insensitive), first ``lim`` by id."""
     keys = requests.groupBy("prefix").agg(F.max("lim").alias("max_lim"))
-    hits = TM.prefix_matches(keys, products)
+    hits = TM.prefix_matches(keys, dealt(products.select("id", "title")))
     ranked = top_k(hits, ["prefix"], [F.asc("id")], max_of(requests, F.col("lim")) or 0)
     shown = (_titled(ranked, products, "title", "brand").groupBy("prefix")
              .agg(F.array_sort(F.collect_list(F.struct("rank", "id", "title", "brand"))).alias("l")))
@@ -257,7 +257,7 @@ def consolidated_candidates(queries: DataFrame, products: DataFrame, max_col: st
     queries of 3+ characters, exact ids removed)."""
     qs = written(queries.groupBy("query").agg(F.max(max_col).alias("mx")), "queries")
     text = _product_text(products, ["title", "description"])
-    hits = TM.substring_matches(qs.select(F.col("query").alias("q")), text)
+    hits = TM.substring_matches(qs.select(F.col("query").alias("q")), dealt(text))
     pat = F.concat(F.lit("(?iU)\\b"), quote_regex(F.col("q")), F.lit("\\b"))
     cand = hits.join(text.hint("merge"), "id").select("id", F.col("q").alias("query"), F.regexp(F.col("text"), pat).alias("is_exact"))
     cand = written(cand, "candidates").join(lookup(qs), "query")
@@ -301,7 +301,7 @@ def ngram_search(requests: DataFrame, products: DataFrame, min_gram: int = 3, ma
         return F.array_distinct(F.flatten(F.array(*[F.coalesce(a, F.array().cast("array<string>")) for a in arrs])))
     qs = requests.groupBy(F.lower("query").alias("qn")).agg(F.max("lim").alias("max_lim"))
     qg = written(qs.select("qn", F.size(grams(F.col("qn"))).alias("nq"), F.explode(grams(F.col("qn"))).alias("gram")), "grams")
-    pg = products.select("id", F.explode(grams(F.col("title"))).alias("gram"))
+    pg = dealt(products.select("id", "title")).select("id", F.explode(grams(F.col("title"))).alias("gram"))
     hits = (pg.join(lookup(qg), "gram").groupBy("qn", "nq", "id").agg(F.count(F.lit(1)).alias("hit"))
             .select("qn", "id", F.round(F.col("hit") / F.col("nq"), 6).alias("score")))
     ranked = top_k(hits, ["qn"], [F.desc("score"), F.asc("id")], max_of(requests, F.col("lim")) or 0)

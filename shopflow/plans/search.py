@@ -230,6 +230,7 @@ def prefix_recall(spark, sf_dir):
     (first 20 by id); hits = results inside the target set (titles containing the full word)."""
     from shopflow.operators import textmatch as TM
     from shopflow.operators.topk import top_k
+    from shopflow.session import dealt
     products = TB.products(spark, sf_dir)
     targets = (TB.read(spark, sf_dir, "part")
                .select(F.lower(F.try_element_at(F.split("p_name", " "), F.lit(2))).alias("target"))
@@ -237,9 +238,9 @@ def prefix_recall(spark, sf_dir):
     pq = targets.select("target", F.explode(F.transform(F.sequence(F.lit(3), F.greatest(F.length("target"), F.lit(3))),
                                                         lambda i: F.substring("target", 1, i))).alias("prefix")) \
         .where(F.length("prefix") >= 3).distinct()
-    text = products.select("id", F.concat_ws(S.SEP, "title", "description", "brand").alias("text"))
+    text = dealt(products.select("id", F.concat_ws(S.SEP, "title", "description", "brand").alias("text")))
     res = top_k(TM.substring_matches(pq.select(F.col("prefix").alias("q")), text), ["q"], [F.asc("id")], 20)
-    tset = TM.substring_matches(targets.select(F.col("target").alias("q")), products.select("id", F.col("title").alias("text")))
+    tset = TM.substring_matches(targets.select(F.col("target").alias("q")), dealt(products.select("id", F.col("title").alias("text"))))
     j = (pq.join(res.withColumnRenamed("q", "prefix"), "prefix", "left")
          .join(tset.withColumnRenamed("q", "target").withColumn("_t", F.lit(1)).hint("merge"), ["target", "id"], "left"))
     return j.groupBy("target", "prefix").agg(F.count("id").alias("n_results"), F.count("_t").alias("hits")) \
