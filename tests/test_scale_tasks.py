@@ -2,6 +2,7 @@
 import pytest
 
 from shopflow import session
+from shopflow.operators import impact
 from shopflow.operators import search as S
 
 ROWS = [(1, "red ring", "Brand#1"), (2, "red bolt", "Brand#1"), (3, "blue ring", None), (3, "red ring twice", "Brand#2"), (None, "red ring", "x"), (5, None, None), (6, "", "y")]
@@ -42,3 +43,15 @@ def test_grams_are_made_in_dealt_out_tasks(spark, catalogue, monkeypatch):
     plans.clear()
     S.consolidated_candidates(req.selectExpr("query", "10 AS max_products"), catalogue)
     assert dealt_out()
+
+
+def test_shards_of_a_task_do_not_grow_with_the_index(spark):
+    n = 40
+    docs = spark.createDataFrame([(i, i, [i, 100], [1.0 + i, 0.5], i, i) for i in range(n)], "did long, lead long, feats array<long>, imps array<double>, shard int, place long")
+    asked = spark.createDataFrame([(i, 1000 + j, [i, 100], [1.0, 2.0], 0.0) for i in range(n) for j in range(3)], "shard int, qid long, feats array<long>, weights array<double>, floor double")
+    found = impact._visit(asked, docs, 5, 2)
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    # 3 queries a shard, 2 a task: two groups for each shard
+    assert plan.count(f"], {impact.GROUP_PARTITIONS * 2 * n}\n") == 2, plan
+    assert {(r.qid, r.did, r.score) for r in found.collect()} == {(1000 + j, i, 2.0 + i) for i in range(n) for j in range(3)} and found.count() == 3 * n
+    assert impact._visit(asked.where("qid < 0"), docs, 5, 2).count() == 0
