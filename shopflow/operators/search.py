@@ -116,7 +116,7 @@ def search_page(requests: DataFrame, products: DataFrame) -> DataFrame:
     m = matched_set(requests, products, keys=all_keys)
     totals = m.groupBy("qn", "filter_key").agg(F.count(F.lit(1)).alias("total"))
     ranked = top_k(m, ["qn", "filter_key"], [F.asc("id")], max_of(all_keys, F.col("max_end")) or 0)
-    shown = _titled(ranked, products, "title").join(totals, ["qn", "filter_key"])
+    shown = _titled(ranked.join(totals.hint("merge"), ["qn", "filter_key"]), products, "title")
     req = requests.select("query_id", F.lower("query").alias("qn"), "filter_key", "off", "lim")
     return (req.join(lookup(written(shown, "shown")), ["qn", "filter_key"])
             .where((F.col("rank") > F.col("off")) & (F.col("rank") <= F.col("off") + F.col("lim")))
@@ -180,7 +180,7 @@ def any_term_search(requests: DataFrame, products: DataFrame) -> DataFrame:
     m = filtered(pairs, keys, products, only=[PRICE_MIN, PRICE_MAX, "color", "isOnSale"])
     totals = m.groupBy("qn", "filter_key").agg(F.count(F.lit(1)).alias("total"))
     ranked = top_k(m, ["qn", "filter_key"], [F.asc("id")], max_of(keys, F.col("max_end")) or 0)
-    shown = _titled(ranked, products, "title").join(totals, ["qn", "filter_key"])
+    shown = _titled(ranked.join(totals.hint("merge"), ["qn", "filter_key"]), products, "title")
     req = requests.select("query_id", F.lower("query").alias("qn"), "filter_key", "lim")
     return (req.join(lookup(written(shown, "shown")), ["qn", "filter_key"]).where(F.col("rank") <= F.col("lim"))
             .select("query_id", F.col("rank").cast("int").alias("rank"), "id", "title",

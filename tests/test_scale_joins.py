@@ -85,3 +85,40 @@ def test_events_are_not_broadcast_for_result_analysis(spark, tmp_path):
     out = search.result_analysis(spark, str(tmp_path))
     assert not any("event_type" in b for b in broadcasts(out))
     assert [tuple(r) for r in out.collect()] == [("click", 6, 6, 0, 1.0)]
+
+
+@pytest.fixture
+def small_shop(spark, tmp_path):
+    """Clicks at position 1, 2 and beyond the page; a query that names a category, one a brand, one too short."""
+    parts = [(0, "red ring", "Brand#1", "MEDIUM"), (1, "blue bolt", "Brand#2", "LARGE"), (2, "red bolt", "Brand#3", "LARGE"), (3, "old ring", None, "LARGE"),
+             *((i, f"p{i} nut", "Brand#4", "LARGE") for i in range(4, 16)), (16, "small nut", "Brand#4", "SMALL"), (17, "ab nut", "Brand#4", "LARGE")]
+    asked = [("click", 0), ("click", 3), ("click", 1), ("click", 2), ("click", 15), ("view", 0), ("purchase", 16), ("error", 0), ("purchase", 17), ("signup", 1)]
+    spark.createDataFrame([(i, 5, t, f'{{"k": {k}}}') for i, (t, k) in enumerate(asked)], "event_id long, user_id long, event_type string, props string").write.parquet(str(tmp_path / "events.parquet"))
+    spark.createDataFrame([(*p, 1, 9.0) for p in parts],
+                          "p_partkey long, p_name string, p_brand string, p_type string, p_size int, p_retailprice double").write.parquet(str(tmp_path / "part.parquet"))
+    return str(tmp_path)
+
+
+@pytest.mark.parametrize("name, want", [
+    ("feedback_ctr", [("bolt", 2, 2, 1.0, 1.5), ("nut", 1, 0, 0.0, None), ("ring", 2, 2, 1.0, 1.5)])])
+@pytest.mark.parametrize("few", [True, False])
+def test_search_steps_broadcast_only_what_was_measured(spark, small_shop, monkeypatch, name, want, few):
+    """However high Spark's threshold is, joins that are not measured first meet by sorting."""
+    from shopflow import session
+    from shopflow.operators import search as S
+    from shopflow.plans import search
+    sent, plain = [], session.written
+    for module in (S, S.TM):
+        monkeypatch.setattr(module, "written", lambda df, label: (sent.append(broadcasts(df)), plain(df, label))[1])
+    if not few:
+        monkeypatch.setattr(session, "LOOKUP_BYTES", -1)
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", str(2**62))
+    try:
+        out = getattr(search, name)(spark, small_shop)
+        sent.append(broadcasts(out))
+        assert sorted(tuple(r) for r in out.collect()) == want
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    # what is broadcast was written and measured before: a scan of its file and nothing else that makes rows
+    for below in (b for plan in sent for b in plan):
+        assert few and "Scan parquet" in below and not re.search(r"Join|Aggregate|Exchange|Generate", below), below
