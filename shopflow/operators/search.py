@@ -215,10 +215,20 @@ def fuzzy_suggest(requests: DataFrame, products: DataFrame, min_gram: int = 2) -
             .select("query_id", F.col("rank").cast("int").alias("rank"), "id", "title", "brand", "score"))
 
 
-def _first(df: DataFrame, order: list, most: int | None, times: int = 1, rank_col: str = "rank") -> DataFrame:
+def _asked(queries: DataFrame, max_col: str) -> DataFrame:
+    """(query, mx): each distinct query with the largest number of results that any request wants of it."""
+    return queries.groupBy("query").agg(F.max(max_col).alias("mx"))
+
+
+def _first(df: DataFrame, order: list, most: int | None, times: int = 1, rank_col: str = "rank",
+           asked: DataFrame | None = None) -> DataFrame:
     """The first ``times * mx`` rows of each query: the largest limit of all as a literal, so that a
-    popular query is cut before the shuffle, then each query's own."""
-    return top_k(df, ["query"], order, (most or 0) * times, rank_col).where(F.col(rank_col) <= F.col("mx") * times)
+    popular query is cut before the shuffle, then each query's own (``mx`` of ``asked``, if ``df`` has none;
+    its rows lie where the cut's do, and are never broadcast)."""
+    cut = top_k(df, ["query"], order, (most or 0) * times, rank_col)
+    if asked is not None:
+        cut = cut.join(asked.hint("merge"), "query")
+    return cut.where(F.col(rank_col) <= F.col("mx") * times)
 
 
 def category_search(queries: DataFrame, products: DataFrame, max_col: str = "max_categories") -> DataFrame:
@@ -230,11 +240,11 @@ def category_search(queries: DataFrame, products: DataFrame, max_col: str = "max
     dim_text = dim.select(F.concat_ws(SEP, "cid", "name", "slug").alias("key"),
                           F.concat_ws(SEP, F.coalesce("name", F.lit("")), F.coalesce("slug", F.lit(""))).alias("text"),
                           "cid", "name", "slug", "n")
-    qs = queries.groupBy("query").agg(F.max(max_col).alias("mx"))
+    qs = _asked(queries, max_col)
     hits = TM.substring_matches(qs.select(F.col("query").alias("q")), dim_text, "q", "key", "text")
     per_cat = (hits.join(dim_text.hint("merge"), "key").groupBy(F.col("q").alias("query"), "cid")
                .agg(F.min("name").alias("name"), F.min("slug").alias("slug"), F.sum("n").alias("product_count")))
-    ranked = _first(per_cat.join(qs, "query"), [F.desc("product_count"), F.asc("cid")], max_of(queries, F.col(max_col)))
+    ranked = _first(per_cat, [F.desc("product_count"), F.asc("cid")], max_of(queries, F.col(max_col)), asked=qs)
     return ranked.select("query", F.col("rank").cast("int").alias("rank"), F.col("cid").alias("id"), "name", "slug",
                          F.col("product_count").cast("bigint").alias("product_count"))
 
@@ -242,12 +252,12 @@ def category_search(queries: DataFrame, products: DataFrame, max_col: str = "max
 def brand_search(queries: DataFrame, products: DataFrame, max_col: str = "max_brands") -> DataFrame:
     """A4: brands containing the query (case-insensitive) with product counts."""
     brands = products.where(F.col("brand").isNotNull()).groupBy("brand").agg(F.count(F.lit(1)).alias("n"))
-    qs = queries.groupBy("query").agg(F.max(max_col).alias("mx"))
+    qs = _asked(queries, max_col)
     hits = TM.substring_matches(qs.select(F.col("query").alias("q")),
                                 brands.select(F.col("brand").alias("key"), F.col("brand").alias("text")),
                                 "q", "key", "text")
     per = hits.join(brands.hint("merge"), hits.key == F.col("brand")).select(F.col("q").alias("query"), "brand", "n")
-    ranked = _first(per.join(qs, "query"), [F.desc("n"), F.asc("brand")], max_of(queries, F.col(max_col)))
+    ranked = _first(per, [F.desc("n"), F.asc("brand")], max_of(queries, F.col(max_col)), asked=qs)
     return ranked.select("query", F.col("rank").cast("int").alias("rank"), F.col("brand").alias("id"),
                          F.col("brand").alias("name"), F.col("n").cast("bigint").alias("product_count"))
 
@@ -255,7 +265,7 @@ def brand_search(queries: DataFrame, products: DataFrame, max_col: str = "max_br
 def consolidated_candidates(queries: DataFrame, products: DataFrame, max_col: str = "max_products") -> DataFrame:
     """R4's text strategies: exact whole-word (score 1.0, first max by id), then substring (0.8, first 2*max by id,
     queries of 3+ characters, exact ids removed)."""
-    qs = written(queries.groupBy("query").agg(F.max(max_col).alias("mx")), "queries")
+    qs = written(_asked(queries, max_col), "queries")
     text = _product_text(products, ["title", "description"])
     hits = TM.substring_matches(qs.select(F.col("query").alias("q")), dealt(text))
     pat = F.concat(F.lit("(?iU)\\b"), quote_regex(F.col("q")), F.lit("\\b"))
@@ -264,7 +274,7 @@ def consolidated_candidates(queries: DataFrame, products: DataFrame, max_col: st
     most = max_of(queries, F.col(max_col))
     exact = _first(cand.where("is_exact"), [F.asc("id")], most, rank_col="erank")
     sub = _first(cand.where(F.length("query") >= 3), [F.asc("id")], most, 2, "srank")
-    ngram = sub.join(exact.select("query", "id"), ["query", "id"], "left_anti")
+    ngram = sub.join(exact.select("query", "id").hint("merge"), ["query", "id"], "left_anti")
     return (exact.select("query", "id", "mx", F.lit(1.0).alias("score"), F.lit("exact").alias("matchType"),
                            F.lit(0).alias("src"), F.col("erank").alias("srank"))
               .unionByName(ngram.select("query", "id", "mx", F.lit(0.8).alias("score"), F.lit("ngram").alias("matchType"),
@@ -281,14 +291,17 @@ def consolidated_products(queries: DataFrame, products: DataFrame, max_col: str
 
 def consolidated_summary(requests: DataFrame, products: DataFrame, min_len: int = 3) -> DataFrame:
     """Per request the number of categories, brands and products; short queries rejected."""
-    adm = requests.where(F.length("query") >= min_len)
-    cats = category_search(adm, products).groupBy("query").agg(F.count(F.lit(1)).alias("n_categories"))
-    brands = brand_search(adm, products).groupBy("query").agg(F.count(F.lit(1)).alias("n_brands"))
-    prods = consolidated_products(adm, products).groupBy("query").agg(F.count(F.lit(1)).alias("n_products"))
-    out = (requests.join(cats, "query", "left").join(brands, "query", "left").join(prods, "query", "left")
+    # each distinct query is searched once, with the most that any request wants of it; requests are read again at the end
+    most = ["max_categories", "max_brands", "max_products"]
+    adm = written(requests.where(F.length("query") >= min_len).groupBy("query").agg(*[F.max(c).alias(c) for c in most]), "admitted")
+    names = ["n_categories", "n_brands", "n_products"]
+    found = [search(adm, products) for search in (category_search, brand_search, consolidated_products)]
+    kinds = [f.select("query", *[F.lit(int(c == name)).alias(c) for c in names]) for f, name in zip(found, names, strict=True)]
+    counts = (kinds[0].unionByName(kinds[1]).unionByName(kinds[2])
+              .groupBy("query").agg(*[F.sum(c).alias(c) for c in names]))
+    out = (requests.join(lookup(written(counts, "counts")), "query", "left")
            .select("query_id", "query", (F.length("query") >= min_len).alias("admitted"),
-                   *[F.coalesce(F.col(c), F.lit(0)).cast("bigint").alias(c)
-                     for c in ["n_categories", "n_brands", "n_products"]]))
+                   *[F.coalesce(F.col(c), F.lit(0)).cast("bigint").alias(c) for c in names]))
     return out.withColumn("total_results", F.col("n_categories") + F.col("n_brands") + F.col("n_products"))
 
 

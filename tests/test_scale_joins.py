@@ -100,7 +100,8 @@ def small_shop(spark, tmp_path):
 
 
 @pytest.mark.parametrize("name, want", [
-    ("feedback_ctr", [("bolt", 2, 2, 1.0, 1.5), ("nut", 1, 0, 0.0, None), ("ring", 2, 2, 1.0, 1.5)])])
+    ("feedback_ctr", [("bolt", 2, 2, 1.0, 1.5), ("nut", 1, 0, 0.0, None), ("ring", 2, 2, 1.0, 1.5)]),
+    ("query_hit_rate", [(10, 10.0, 10.0, 90.0)])])
 @pytest.mark.parametrize("few", [True, False])
 def test_search_steps_broadcast_only_what_was_measured(spark, small_shop, monkeypatch, name, want, few):
     """However high Spark's threshold is, joins that are not measured first meet by sorting."""
